@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pointspark.llm import markov
+from pointspark.llm import dispersion, leakage, markov, repetition
 from pointspark.session import table
 
 
@@ -19,8 +20,37 @@ def p1_clusters(spark: SparkSession, d: str) -> DataFrame:
     return markov.described(table(spark, d, "points"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return p4_select(spark, d).select("cloud_id", "head_idx").distinct()
+
+
+def p4_select(spark: SparkSession, d: str) -> DataFrame:
+    return dispersion.varied_subset(table(spark, d, "points"), table(spark, d, "subset_requests"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return p7_leaks(spark, d).select("doc_id", "item_id")
+
+
+def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    s = repetition.repeated_share(table(spark, d, "documents"))
+    return s.where((F.col("n_words") >= 40) & (F.col("n_repeated") * 10 >= F.col("n_words") * 6)).select("doc_id")
+
+
+def p8_share(spark: SparkSession, d: str) -> DataFrame:
+    return repetition.repeated_share(table(spark, d, "documents"))
+
+
+def p8_lines(spark: SparkSession, d: str) -> DataFrame:
+    return repetition.line_frequency(table(spark, d, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_clusters": p1_clusters}
+    return {"p1_found": p1_found, "p1_clusters": p1_clusters, "p4_found": p4_found, "p4_select": p4_select, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_found": p8_found, "p8_share": p8_share, "p8_lines": p8_lines}
 
 
 def oracle_sql() -> dict[str, str]:
