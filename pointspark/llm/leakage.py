@@ -33,8 +33,9 @@ RUN = 12  # consecutive words that make a case
 LONG, EDITS = 30, 8  # or so many words in order, one in EDITS of them changed
 WINDOW, STRIDE = 24, 12
 MIN_KNOWN = 12  # words of the passages that a window must have
-RANK = 96
-COSINE = 0.5
+RANK = 128
+COSINE = 0.4
+SHORTEST = 5  # with one word in EDITS changed, so many words somewhere stay together
 #: The items are the stated query set, held by every task: so many at a time.
 BLOCK_ITEMS = 2_000
 
@@ -87,6 +88,33 @@ class Passages:
                 rows.append(p[s : s + WINDOW])
                 at.append(k)
         self.window_item, self.windows = np.array(at, np.int64), rows
+        grams = [_grams(p) for p in self.ids]
+        key, k = np.concatenate(grams), np.repeat(np.arange(len(items)), [len(g) for g in grams])
+        o = np.argsort(key, kind="stable")
+        self.gram, self.gram_item = key[o], k[o]
+
+    def sharing(self, ids: np.ndarray) -> np.ndarray:
+        """For each item whether its passage has a run of SHORTEST words in common with these."""
+        g = np.unique(_grams(ids))
+        lo, hi = np.searchsorted(self.gram, g), np.searchsorted(self.gram, g, "right")
+        n = hi - lo
+        at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        out = np.zeros(len(self.ids), bool)
+        out[self.gram_item[at]] = True
+        return out
+
+
+def _grams(ids: np.ndarray) -> np.ndarray:
+    """A number for each run of SHORTEST known words."""
+    n = len(ids) - SHORTEST + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    x = np.asarray(ids).astype(np.int64)
+    key, known = np.zeros(n, np.uint64), np.ones(n, bool)
+    for k in range(SHORTEST):
+        key = words.mixed(key + x[k : k + n].astype(np.uint64) + np.uint64(1))
+        known &= x[k : k + n] >= 0
+    return key[known]
 
 
 def _known(h: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
@@ -248,13 +276,7 @@ def _confirmed(ids: np.ndarray, hits: dict[int, list[int]], passages: Passages)
         t = ids[lo:hi]
         same = p[:, None] == t[None, :]
         run = _longest_run(same)
-        if run >= min(RUN, max(1, len(p))) and len(p) >= RUN:
-            leak = True
-        elif run < 5:  # with one change in eight some five words stay together
-            leak = False
-        else:
-            leak = _near_copy(p, t)
-        if leak:
+        if run >= RUN or (run >= SHORTEST and _near_copy(p, t)):
             out.append((k, run, _lcs(p, t)))
     return out
 
@@ -276,7 +298,11 @@ def _candidates(batches: Iterator[pd.DataFrame], passages: Passages, idf: np.nda
             hits: dict[int, list[int]] = {}
             for c in range(0, len(w), 512):
                 i, j = np.nonzero(unit(_tfidf(w[c : c + 512], idf)) @ target.T >= cosine)
-                for s, k in zip(i.tolist(), item[j].tolist(), strict=True):
+                j = item[j]
+                if check:  # the exact check begins here: without a common run a candidate cannot be a case
+                    shared = passages.sharing(ids) if c == 0 else shared
+                    i, j = i[shared[j]], j[shared[j]]
+                for s, k in zip(i.tolist(), j.tolist(), strict=True):
                     hits.setdefault(k, []).append(starts[c + s])
             if not check:
                 rows += [(doc_id, passages.item_id[k], 0, 0, False) for k in hits]
