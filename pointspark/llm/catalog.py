@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointspark.llm import dispersion, leakage, markov, repetition
+from pointspark.llm import dispersion, leakage, markov, neighbours, packing, repetition
 from pointspark.session import table
 
 
@@ -28,6 +28,20 @@ def p4_select(spark: SparkSession, d: str) -> DataFrame:
     return dispersion.varied_subset(table(spark, d, "points"), table(spark, d, "subset_requests"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    near = neighbours.most_similar(table(spark, d, "shot_feat"), 5, 0.38)
+    return near.select(F.least("a", "b").alias("vec_a"), F.greatest("a", "b").alias("vec_b")).distinct()
+
+
+def p6_pack(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(table(spark, d, "documents"), table(spark, d, "container_specs"))
+
+
+def p6_fill(spark: SparkSession, d: str) -> DataFrame:
+    specs = table(spark, d, "container_specs")
+    return packing.fill_report(packing.pack(table(spark, d, "documents"), specs), specs)
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p7_leaks(spark, d).select("doc_id", "item_id")
 
@@ -50,7 +64,7 @@ def p8_lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_clusters": p1_clusters, "p4_found": p4_found, "p4_select": p4_select, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_found": p8_found, "p8_share": p8_share, "p8_lines": p8_lines}
+    return {"p1_found": p1_found, "p1_clusters": p1_clusters, "p4_found": p4_found, "p4_select": p4_select, "p5_found": p5_found, "p6_pack": p6_pack, "p6_fill": p6_fill, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_found": p8_found, "p8_share": p8_share, "p8_lines": p8_lines}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -199,4 +199,4 @@ def varied_subset(points: DataFrame, requests: DataFrame, radius: float = RADIUS
     n = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     core = p.repartition(n, "tile").sortWithinPartitions("tile").mapInPandas(lambda it: _core_sets(it, radius, delegates), _CORE)
     out = "cloud_id string, idx long, x double, y double, z double, head_idx long, group_size long, total_distance double"
-    return core.groupBy("cloud_id").applyInPandas(lambda g: _select(g, radius), out)
+    return core.repartition(n, "cloud_id").groupBy("cloud_id").applyInPandas(lambda g: _select(g, radius), out)
