@@ -30,9 +30,9 @@ DIM = 352
 #: The heads are fitted on at most so many vectors, those of smallest hash.
 SAMPLE = 20_000
 #: Vectors of a list in the mean, before replication; at most so many lists.
-LIST_ROWS, MAX_LISTS = 64, 4096
+LIST_ROWS, MAX_LISTS = 256, 4096
 CLOSURE, REPLICAS, SPREAD = 0.10, 4, 0.5
-RATIO, PROBES = 0.12, 8
+RATIO, PROBES = 0.15, 8
 DEGREE, BEAM, STEPS = 16, 16, 24
 
 
