@@ -34,6 +34,8 @@ LIST_ROWS, MAX_LISTS = 256, 4096
 CLOSURE, REPLICAS, SPREAD = 0.10, 4, 0.5
 RATIO, PROBES = 0.15, 8
 DEGREE, BEAM, STEPS = 16, 16, 24
+#: Pairs whose distance is worked out at a time.
+EXACT = 4096
 
 
 def usable(feat: Column, dim: int) -> Column:
@@ -192,8 +194,8 @@ def _within(batches: Iterator[pa.RecordBatch], dim: int, k: int, limit: float |
         s = s[np.argsort(ids[s], kind="stable")]
         xs = x[s].astype(np.float32)
         ns = (xs * xs).sum(1)
-        for at in range(0, len(q), 1024):
-            p = q[at : at + 1024]
+        for at in range(0, len(q), 512):
+            p = q[at : at + 512]
             xq = x[p].astype(np.float32)
             nq = (xq * xq).sum(1)
             d = nq[:, None] + ns[None] - 2 * xq @ xs.T
@@ -203,8 +205,11 @@ def _within(batches: Iterator[pa.RecordBatch], dim: int, k: int, limit: float |
             kth = np.partition(d, m - 1, axis=1)[:, m - 1] if m else np.zeros(len(p))
             most = kth + 2 * margin if limit is None else np.minimum(kth + 2 * margin, limit * limit + margin)
             i, j = np.nonzero((d <= most[:, None]) & np.isfinite(d))
-            diff = x[p[i]].astype(np.float64) - x[s[j]].astype(np.float64)
-            e = np.sqrt(np.einsum("ij,ij->i", diff, diff))
+            e = np.empty(len(i))
+            for c in range(0, len(i), EXACT):
+                diff = x[p[i[c : c + EXACT]]].astype(np.float64)
+                diff -= x[s[j[c : c + EXACT]]]
+                e[c : c + EXACT] = np.sqrt(np.einsum("ij,ij->i", diff, diff))
             o = np.lexsort((ids[s[j]], e, i))
             i, j, e = i[o], j[o], e[o]
             start = np.searchsorted(i, i)
