@@ -70,7 +70,7 @@ def binning_weight(value: Column, step: float, top: float) -> Column:
     With ``last = int(top / step)`` bins: below 0 all to bin 0, from the last bin on all to it; else the floor bin
     and the next one share, the next one clamped to the last.
     """
-    last = int(top / step)
+    last = int(top / step + 1e-9)
     v = value / F.lit(step)
     i = F.floor(v).cast("int")
     frac = v - F.floor(v)

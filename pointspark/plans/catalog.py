@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pointspark.plans import problems
+from pointspark.plans import problems, reference
 
-_PARTS = (problems,)
+_PARTS = (reference, problems)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
