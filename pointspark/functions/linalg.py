@@ -11,19 +11,42 @@ from pyspark.sql import functions as F
 from pointspark.functions.vec import Vec, cross3, dot3
 
 
-def eigenvalues3(xx: Column, xy: Column, xz: Column, yy: Column, yz: Column, zz: Column) -> Vec:
-    """Eigenvalues of a symmetric 3x3 matrix, descending, in closed trigonometric form."""
-    q = (xx + yy + zz) / 3
-    off = xy * xy + xz * xz + yz * yz
-    p2 = (xx - q) * (xx - q) + (yy - q) * (yy - q) + (zz - q) * (zz - q) + 2 * off
-    p = F.sqrt(p2 / 6)
-    s = F.when(p > 0, p).otherwise(1.0)
-    a, b, c, d, e, f = (xx - q) / s, xy / s, xz / s, (yy - q) / s, yz / s, (zz - q) / s
-    det = a * (d * f - e * e) - b * (b * f - e * c) + c * (b * e - d * c)
-    phi = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), det / 2))) / 3
-    l1 = q + 2 * p * F.cos(phi)
-    l3 = q + 2 * p * F.cos(phi + 2 * math.pi / 3)
-    return l1, 3 * q - l1 - l3, l3
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value worked out once, however often the body uses it.
+
+    Nested expressions that use their parts many times would else grow exponentially when the optimizer moves a filter
+    below them.
+    """
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _fields(**c: Column) -> Column:
+    return F.struct(*[v.alias(k) for k, v in c.items()])
+
+
+def eigenvalues3(xx: Column, xy: Column, xz: Column, yy: Column, yz: Column, zz: Column) -> Column:
+    """Struct ``(l1, l2, l3)``: eigenvalues of a symmetric 3x3 matrix, descending, in closed trigonometric form."""
+
+    def scale(m):
+        q = m["q"]
+        p2 = (xx - q) * (xx - q) + (yy - q) * (yy - q) + (zz - q) * (zz - q) + 2 * (xy * xy + xz * xz + yz * yz)
+        return let(_fields(q=q, p=F.sqrt(p2 / 6)), angle)
+
+    def angle(m):
+        q, p = m["q"], m["p"]
+        s = F.when(p > 0, p).otherwise(1.0)
+        return let(_fields(q=q, p=p, a=(xx - q) / s, b=xy / s, c=xz / s, d=(yy - q) / s, e=yz / s, f=(zz - q) / s), roots)
+
+    def roots(m):
+        a, b, c, d, e, f = (m[k] for k in "abcdef")
+        det = a * (d * f - e * e) - b * (b * f - e * c) + c * (b * e - d * c)
+        phi = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), det / 2))) / 3
+        return let(_fields(q=m["q"], p=m["p"], phi=phi), lambda n: let(
+            _fields(q=n["q"], l1=n["q"] + 2 * n["p"] * F.cos(n["phi"]), l3=n["q"] + 2 * n["p"] * F.cos(n["phi"] + 2 * math.pi / 3)),
+            lambda r: _fields(l1=r["l1"], l2=3 * r["q"] - r["l1"] - r["l3"], l3=r["l3"]),
+        ))
+
+    return let(_fields(q=(xx + yy + zz) / 3), scale)
 
 
 def canonical_sign(v: Vec) -> Vec:
@@ -40,16 +63,20 @@ def with_eigenvector(df: DataFrame, value: str, out: tuple[str, str, str], m: tu
     Null where the eigenvalue is repeated so that no direction is distinguished.
     """
     xx, xy, xz, yy, yz, zz = (F.col(c) for c in m)
-    lam = F.col(value)
-    r0, r1, r2 = (xx - lam, xy, xz), (xy, yy - lam, yz), (xz, yz, zz - lam)
     size = F.abs(xx) + F.abs(yy) + F.abs(zz)
-    c = [cross3(r0, r1), cross3(r0, r2), cross3(r1, r2)]
-    df = df.withColumn("_c", F.array(*[F.struct(dot3(v, v).alias("n"), (-F.lit(i)).alias("i"), v[0].alias("x"), v[1].alias("y"), v[2].alias("z")) for i, v in enumerate(c)]))
-    df = df.withColumn("_b", F.array_max("_c"))
-    n = F.sqrt(F.col("_b.n"))
-    v = canonical_sign((F.col("_b.x") / n, F.col("_b.y") / n, F.col("_b.z") / n))
-    ok = n > 1e-10 * size * size
-    return df.withColumns({o: F.when(ok, x) for o, x in zip(out, v, strict=True)}).drop("_c", "_b")
+
+    def longest(a):
+        lam = a["lam"]
+        r0, r1, r2 = (xx - lam, xy, xz), (xy, yy - lam, yz), (xz, yz, zz - lam)
+        c = [cross3(r0, r1), cross3(r0, r2), cross3(r1, r2)]
+        return F.array_max(F.array(*[_fields(n=dot3(v, v), i=-F.lit(i), x=v[0], y=v[1], z=v[2]) for i, v in enumerate(c)]))
+
+    def unit(b):
+        n = F.sqrt(b["n"])
+        return F.when(n > 1e-10 * size * size, let(_fields(x=b["x"] / n, y=b["y"] / n, z=b["z"] / n), lambda u: _fields(**dict(zip("xyz", canonical_sign((u["x"], u["y"], u["z"])), strict=True)))))
+
+    df = df.withColumn("_v", let(let(_fields(lam=F.col(value)), longest), unit))
+    return df.withColumns({o: F.col(f"_v.{c}") for o, c in zip(out, "xyz", strict=True)}).drop("_v")
 
 
 def centroid(points: DataFrame) -> DataFrame:

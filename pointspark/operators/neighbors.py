@@ -12,6 +12,8 @@ from pointspark.session import cut
 _AROUND = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]
 #: Cells are halved until the fullest has at most so many times k points.
 FULL = 8
+#: Clouds of so few points are one cell.
+SMALL = 2048
 
 
 def _finite() -> Column:
@@ -59,14 +61,9 @@ def knn(points: DataFrame, k: int) -> DataFrame:
         return points.sparkSession.createDataFrame([], none)
     low = (s["lx"], s["ly"], s["lz"])
     extent = max(s["hx"] - s["lx"], s["hy"] - s["ly"], s["hz"] - s["lz"]) or 1.0
-    cell = extent / max(1.0, (s["n"] / (k + 1)) ** (1 / 3))
-    most = None
-    for _ in range(20):
-        full = p.groupBy(*_cells(low, cell)).count().agg(F.max("count")).first()[0]
-        if full <= FULL * (k + 1) or (most is not None and full > 0.9 * most):
-            break
-        most, cell = full, cell / 2
-    parts, open_ = [], p
+    cell = 2 * extent if s["n"] <= SMALL else _first_cell(p, low, extent / max(1.0, (s["n"] / (k + 1)) ** (1 / 3)), FULL * (k + 1))
+    parts, settled = [], 0
+    open_ = p
     by_rank = Window.partitionBy("idx").orderBy("dist", "nidx")
     whole = Window.partitionBy("idx")
     while True:
@@ -79,13 +76,31 @@ def knn(points: DataFrame, k: int) -> DataFrame:
         parts.append(got)
         if last:
             break
-        open_ = cut(open_.join(got.where("rank = 1").select("idx"), "idx", "left_anti"))
-        if open_.isEmpty():
+        done = got.where("rank = 1").select("idx")
+        settled += done.count()
+        if settled == s["n"]:
             break
+        open_ = cut(open_.join(done, "idx", "left_anti"))
         cell *= 2
     return reduce(DataFrame.union, parts)
 
 
+def _first_cell(p: DataFrame, low: tuple, cell: float, most: int) -> float:
+    """The edge, halved from ``cell``, at which the fullest cell holds at most ``most`` points; halving ends where it
+    no longer divides the fullest one (repeated positions). The levels are counted in one pass, partial counts first."""
+    levels = [cell / 2**i for i in range(10)]
+    at = F.array(*[F.struct(F.lit(i).alias("l"), *[F.floor((F.col(c) - F.lit(m)) / F.lit(e)).cast("long").alias(c) for c, m in zip("xyz", low, strict=True)]) for i, e in enumerate(levels)])
+    full = p.select(F.explode(at).alias("c")).groupBy("c").count().groupBy("c.l").agg(F.max("count").alias("n")).collect()
+    n = {r["l"]: r["n"] for r in full}
+    best = 0
+    for i in range(1, len(levels)):
+        if n[best] <= most:
+            break
+        if n[i] <= 0.9 * n[best]:
+            best = i
+    return levels[best]
+
+
 def radius_neighbors(points: DataFrame, radius: float) -> DataFrame:
     """``(idx, nidx, dist, dx, dy, dz)``: all other points at most ``radius`` away; cells of that edge make it exact."""
     if radius <= 0:

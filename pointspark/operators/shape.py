@@ -32,7 +32,8 @@ def weighted_covariance(neighbors: DataFrame, radius: float) -> DataFrame:
 
 def eigenvalues(cov: DataFrame) -> DataFrame:
     """Add ``l1 >= l2 >= l3``, the eigenvalues of the covariance columns."""
-    return cov.withColumns(dict(zip(("l1", "l2", "l3"), eigenvalues3(*[F.col(c) for c in COV]), strict=True)))
+    e = cov.withColumn("_l", eigenvalues3(*[F.col(c) for c in COV]))
+    return e.withColumns({k: F.col(f"_l.{k}") for k in ("l1", "l2", "l3")}).drop("_l")
 
 
 def pca(neighbors: DataFrame) -> DataFrame:
