@@ -22,18 +22,18 @@ def voxelize(points: DataFrame, bounds: Bounds, cell: float | tuple[float, float
     """The points with ``ix, iy, iz, voxel_id``; null where a coordinate is missing or outside the bounds."""
     cells = cell if isinstance(cell, tuple) else (cell, cell, cell)
     g = [math.ceil((bounds[2 * k + 1] - bounds[2 * k]) / cells[k] - 1e-9) for k in range(3)]
-    ok = F.lit(True)
-    for k, c in enumerate("xyz"):
-        s = F.col(c)
-        ok = ok & s.isNotNull() & ~F.isnan(s) & (s >= bounds[2 * k]) & (F.floor((s - bounds[2 * k]) * F.lit(1.0 / cells[k])) < g[k])
-    i = {f"i{c}": F.when(ok, cell_index(F.when(ok, F.col(c)), bounds[2 * k], cells[k])) for k, c in enumerate("xyz")}
-    v = points.withColumns(i)
-    return v.withColumn("voxel_id", linear_voxel_id(F.col("ix"), F.col("iy"), F.col("iz"), g[0], g[1]))
+    # beyond the bounds lies also NaN, which Spark orders last
+    near = {f"i{c}": F.when(F.col(c).between(bounds[2 * k], bounds[2 * k + 1] + cells[k]), cell_index(F.col(c), bounds[2 * k], cells[k])) for k, c in enumerate("xyz")}
+    v = points.withColumns(near)
+    inside = (F.col("ix") < g[0]) & (F.col("iy") < g[1]) & (F.col("iz") < g[2])
+    v = v.withColumn("voxel_id", F.when(inside, linear_voxel_id(F.col("ix"), F.col("iy"), F.col("iz"), g[0], g[1])))
+    return v.withColumns({i: F.when(F.col("voxel_id").isNotNull(), F.col(i)) for i in ("ix", "iy", "iz")})
 
 
 def voxel_counts(voxelized: DataFrame, min_pts: int) -> DataFrame:
     """``(voxel_id, ix, iy, iz, n, is_core)`` of voxels that hold points."""
-    g = voxelized.where("voxel_id IS NOT NULL").groupBy("voxel_id", "ix", "iy", "iz").agg(F.count("*").alias("n"))
+    g = voxelized.where("voxel_id IS NOT NULL").groupBy("voxel_id").agg(F.count("*").alias("n"), *[F.min(i).alias(i) for i in ("ix", "iy", "iz")])
+    g = g.select("voxel_id", "ix", "iy", "iz", "n")
     return g.withColumn("is_core", F.col("n") >= min_pts)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pointspark.functions.linalg import with_eigenvector
@@ -81,10 +81,9 @@ def shot(neighbors: DataFrame, normals: DataFrame, radius: float, azimuth: int =
         binning_weight(alpha + math.pi, 2 * math.pi / azimuth, 2 * math.pi).alias("a"),
         binning_weight(cos + 1, 2 / cosine, 2).alias("c"),
     )
-    for c in "reac":
-        p = p.withColumn(c, F.explode(c))
-    p = p.where(F.col("r.w") * F.col("e.w") * F.col("a.w") * F.col("c.w") > 0)
-    b = ((F.col("r.bin") * elevation + F.col("e.bin")) * azimuth + F.col("a.bin")) * cosine + F.col("c.bin")
-    h = p.groupBy("idx", b.alias("bin")).agg(F.sum(F.col("r.w") * F.col("e.w") * F.col("a.w") * F.col("c.w")).alias("v"))
-    norm = h.groupBy("idx").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
-    return h.join(norm, "idx").select("idx", "bin", F.when(F.col("norm") > 1e-6, F.col("v") / F.col("norm")).otherwise(F.col("v")).alias("v"))
+    both = lambda outer, inner, bins: F.flatten(F.transform(outer, lambda x: F.transform(inner, lambda y: F.struct((x["bin"] * bins + y["bin"]).alias("bin"), (x["w"] * y["w"]).alias("w")))))
+    shares = both(both(both(F.col("r"), F.col("e"), elevation), F.col("a"), azimuth), F.col("c"), cosine)
+    p = p.select("idx", F.explode(F.filter(shares, lambda s: s["w"] > 0)).alias("s"))
+    h = p.groupBy("idx", F.col("s.bin").alias("bin")).agg(F.sum("s.w").alias("v"))
+    h = h.withColumn("norm", F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy("idx"))))
+    return h.select("idx", "bin", F.when(F.col("norm") > 1e-6, F.col("v") / F.col("norm")).otherwise(F.col("v")).alias("v"))

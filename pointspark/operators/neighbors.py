@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pointspark.session import cut
+from pointspark.session import BROADCAST_ROWS, cut
 
 _AROUND = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]
 #: Cells are halved until the fullest has at most so many times k points.
@@ -33,13 +33,21 @@ def _cells(low: tuple, cell: float) -> list[Column]:
     return [F.floor((F.col(c) - F.lit(m)) / F.lit(cell)).cast("long").alias(f"c{c}") for c, m in zip("xyz", low, strict=True)]
 
 
-def _near(queries: DataFrame, points: DataFrame, low: tuple, cell: float) -> DataFrame:
-    """Pairs of a query and a point of the 27 cells around its own, by equi-join on the cell."""
+def _near(queries: DataFrame, points: DataFrame, low: tuple, cell: float, small: bool = False, one_cell: bool = False) -> DataFrame:
+    """Pairs of a query and a point of the 27 cells around its own, by equi-join on the cell.
+
+    Queries are laid out by idx before they meet the points, so that what is ranked or reduced per idx afterwards needs no
+    further shuffle where ``small`` points (a counted number of rows below BROADCAST_ROWS) are sent to all tasks.
+    """
     q = queries.select("idx", F.col("x").alias("qx"), F.col("y").alias("qy"), F.col("z").alias("qz"), *_cells(low, cell))
-    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(k).alias("k")) for i, j, k in _AROUND])
-    q = q.withColumn("o", F.explode(around)).select("idx", "qx", "qy", "qz", (F.col("cx") + F.col("o.i")).alias("cx"), (F.col("cy") + F.col("o.j")).alias("cy"), (F.col("cz") + F.col("o.k")).alias("cz"))
+    if small:
+        q = q.repartition(int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")), "idx")
+    if not one_cell:
+        around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(k).alias("k")) for i, j, k in _AROUND])
+        q = q.withColumn("o", F.explode(around)).select("idx", "qx", "qy", "qz", (F.col("cx") + F.col("o.i")).alias("cx"), (F.col("cy") + F.col("o.j")).alias("cy"), (F.col("cz") + F.col("o.k")).alias("cz"))
     p = points.select(F.col("idx").alias("nidx"), "x", "y", "z", *_cells(low, cell))
-    d = q.join(p, ["cx", "cy", "cz"]).select("idx", "nidx", (F.col("x") - F.col("qx")).alias("dx"), (F.col("y") - F.col("qy")).alias("dy"), (F.col("z") - F.col("qz")).alias("dz"), "qx", "qy", "qz")
+    d = q.join(F.broadcast(p) if small else p, ["cx", "cy", "cz"])
+    d = d.select("idx", "nidx", (F.col("x") - F.col("qx")).alias("dx"), (F.col("y") - F.col("qy")).alias("dy"), (F.col("z") - F.col("qz")).alias("dz"), "qx", "qy", "qz")
     return d.withColumn("dist", F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy") + F.col("dz") * F.col("dz")))
 
 
@@ -68,7 +76,7 @@ def knn(points: DataFrame, k: int) -> DataFrame:
     whole = Window.partitionBy("idx")
     while True:
         last = cell > extent
-        d = _near(open_, p, low, cell).where("idx <> nidx").withColumn("rank", F.row_number().over(by_rank)).where(F.col("rank") <= k)
+        d = _near(open_, p, low, cell, s["n"] <= BROADCAST_ROWS, s["n"] <= SMALL).where("idx <> nidx").withColumn("rank", F.row_number().over(by_rank)).where(F.col("rank") <= k)
         rim = reduce(F.least, [F.least(f, 1 - f) for f in (F.pmod((F.col(f"q{c}") - F.lit(m)) / F.lit(cell), F.lit(1.0)) for c, m in zip("xyz", low, strict=True))])
         margin = (rim + 1) * F.lit(cell * (1 - 1e-12))
         d = d.withColumn("ok", F.lit(last) | ((F.count("*").over(whole) == k) & (F.max("dist").over(whole) <= margin)))
@@ -106,11 +114,18 @@ def radius_neighbors(points: DataFrame, radius: float) -> DataFrame:
     if radius <= 0:
         raise ValueError("the radius must be positive")
     p = cut(positions(points))
-    return _near(p, p, (0.0, 0.0, 0.0), radius).where((F.col("idx") != F.col("nidx")) & (F.col("dist") <= radius)).select("idx", "nidx", "dist", "dx", "dy", "dz")
+    near = _near(p, p, (0.0, 0.0, 0.0), radius, p.count() <= BROADCAST_ROWS)
+    return near.where((F.col("idx") != F.col("nidx")) & (F.col("dist") <= radius)).select("idx", "nidx", "dist", "dx", "dy", "dz")
 
 
-def nearest_within(source: DataFrame, target: DataFrame, max_dist: float) -> DataFrame:
-    """``(src_idx, tgt_idx, dist)``: each source point's nearest target nearer than ``max_dist``, ties by smaller idx."""
-    near = _near(positions(source), positions(target), (0.0, 0.0, 0.0), max_dist).where(F.col("dist") < max_dist)
+def nearest_within(source: DataFrame, target: DataFrame, max_dist: float, target_rows: int | None = None) -> DataFrame:
+    """``(src_idx, tgt_idx, dist)``: each source point's nearest target nearer than ``max_dist``, ties by smaller idx.
+
+    With ``target_rows`` both clouds are taken to be ``positions`` already, and the target to have so many.
+    """
+    if target_rows is None:
+        source, target = positions(source), cut(positions(target))
+        target_rows = target.count()
+    near = _near(source, target, (0.0, 0.0, 0.0), max_dist, target_rows <= BROADCAST_ROWS).where(F.col("dist") < max_dist)
     best = near.groupBy("idx").agg(F.min(F.struct("dist", "nidx")).alias("m"))
     return best.select(F.col("idx").alias("src_idx"), F.col("m.nidx").alias("tgt_idx"), F.col("m.dist").alias("dist"))

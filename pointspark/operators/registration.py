@@ -157,9 +157,9 @@ class IcpResult:
     history: list[float] = field(default_factory=list)
 
 
-def _closest(source: DataFrame, target: DataFrame, t: np.ndarray, max_dist: float) -> DataFrame:
+def _closest(source: DataFrame, target: DataFrame, t: np.ndarray, max_dist: float, target_rows: int) -> DataFrame:
     moved = transform(source, t)
-    c = nearest_within(moved, target, max_dist)
+    c = nearest_within(moved, target, max_dist, target_rows)
     return c.join(moved.toDF("src_idx", "sx", "sy", "sz"), "src_idx").join(target.toDF("tgt_idx", "tx", "ty", "tz"), "tgt_idx")
 
 
@@ -173,9 +173,10 @@ def icp_point_to_point(source: DataFrame, target: DataFrame, params: IcpParams |
     params = params or IcpParams()
     t = np.eye(4) if params.initial is None else np.array(params.initial, float).reshape(4, 4)
     s, g = cut(positions(source)), cut(positions(target))
+    n_target = g.count()
     history: list[float] = []
     for _ in range(params.max_iterations):
-        r = pair_sums(_closest(s, g, t, params.max_correspondence_distance)).first()
+        r = pair_sums(_closest(s, g, t, params.max_correspondence_distance, n_target)).first()
         if r["n"] < 3:
             return IcpResult(t, "few", history)
         history.append(r["loss"])
@@ -195,10 +196,11 @@ def icp_point_to_plane(source: DataFrame, target: DataFrame, target_normals: Dat
     params = params or IcpParams()
     t = np.eye(4) if params.initial is None else np.array(params.initial, float).reshape(4, 4)
     s, g = cut(positions(source)), cut(positions(target))
+    n_target = g.count()
     n = target_normals.select(F.col("idx").alias("tgt_idx"), "nx", "ny", "nz").where("nx IS NOT NULL")
     history: list[float] = []
     for _ in range(params.max_iterations):
-        p = _closest(s, g, t, params.max_correspondence_distance).join(n, "tgt_idx")
+        p = _closest(s, g, t, params.max_correspondence_distance, n_target).join(n, "tgt_idx")
         a = [F.col("sy") * F.col("nz") - F.col("sz") * F.col("ny"), F.col("sz") * F.col("nx") - F.col("sx") * F.col("nz"), F.col("sx") * F.col("ny") - F.col("sy") * F.col("nx"), F.col("nx"), F.col("ny"), F.col("nz")]
         b = sum((F.col(f"t{c}") - F.col(f"s{c}")) * F.col(f"n{c}") for c in "xyz")
         sums = [F.sum(a[i] * a[j]).alias(f"a{i}{j}") for i in range(6) for j in range(i, 6)] + [F.sum(v * b).alias(f"b{i}") for i, v in enumerate(a)]
