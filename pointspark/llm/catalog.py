@@ -67,5 +67,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"p1_found": p1_found, "p1_clusters": p1_clusters, "p4_found": p4_found, "p4_select": p4_select, "p5_found": p5_found, "p6_pack": p6_pack, "p6_fill": p6_fill, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_found": p8_found, "p8_share": p8_share, "p8_lines": p8_lines}
 
 
+SQL = {
+    # brute force over all pairs of records of the requested clouds
+    "p4_found": """
+        WITH p AS (SELECT DISTINCT idx, cloud_id, x, y, z FROM points JOIN (SELECT DISTINCT cloud_id FROM subset_requests) USING (cloud_id)
+                   WHERE x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL AND NOT isnan(x) AND NOT isnan(y) AND NOT isnan(z) AND NOT (x = 0 AND y = 0 AND z = 0)),
+        h AS (SELECT a.cloud_id, a.idx, min(b.idx) AS head_idx FROM p a JOIN p b ON a.cloud_id = b.cloud_id
+              AND (a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z) <= 1.21 GROUP BY a.cloud_id, a.idx)
+        SELECT DISTINCT cloud_id, head_idx FROM h
+    """,
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)

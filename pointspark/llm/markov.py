@@ -36,6 +36,8 @@ RADIUS = 0.5
 MIN_SIZE = 10
 #: Edge of a tile in metres. A tile is one block of the link matrix.
 TILE = 64.0
+#: A tile with more records is divided into so many parts along each axis.
+BLOCK_ROWS, FINE = 1_000_000, 16
 INFLATION = 2.0
 PRUNE = 1e-3
 ROUNDS = 8
@@ -288,31 +290,49 @@ def _blocks(batches: Iterator[pa.RecordBatch], radius: float, min_size: int) ->
         yield run(pa.concat_tables(held))
 
 
-def _tiled(points: DataFrame, tile: float, radius: float) -> DataFrame:
-    """Records by block; those within the radius of a face go to the neighbouring block too."""
+def _sides(tile: float, radius: float) -> list[tuple]:
+    """For each axis the tile of a record, and those of the places a radius below and above it."""
+    out = []
+    for c in "xyz":
+        s = (F.col(c) + tile / 2) / tile
+        out.append((F.floor(s), F.floor(s - radius / tile), F.floor(s + radius / tile)))
+    return out
+
+
+def _tiled(points: DataFrame, tile: float, radius: float, block_rows: int) -> DataFrame:
+    """Records by block; those within the radius of a face go to the neighbouring block too.
+
+    Tiles with more than ``block_rows`` records are divided into ``FINE`` parts along each axis, so that no block holds
+    more than a dense spot of a hot cloud. They are found by counting, partial counts first.
+    """
     p = measured(points, "label").withColumn(
         "label", F.when(F.col("label").isNull() | (F.col("label") == -1), NO_LABEL).otherwise(F.col("label")).cast("int")
     )
-    axes = []
-    for c in "xyz":
-        s = (F.col(c) + tile / 2) / tile
-        own, low, high = F.floor(s), F.floor(s - radius / tile), F.floor(s + radius / tile)
-        axes.append((own, low, high))
+    own = [a[0] for a in _sides(tile, radius)]
+    hot = cut(p.groupBy(F.xxhash64("cloud_id", *own).alias("block")).count().where(F.col("count") > block_rows).select("block", F.lit(True).alias("hot")))
+    divided = not hot.isEmpty()
+    axes = _sides(tile / FINE if divided else tile, radius)
     inner = F.lit(True)
-    for own, low, high in axes:
-        inner = inner & (low == own) & (high == own)
-    one = F.array(F.struct(*(own.alias(c) for c, (own, _, _) in zip("abc", axes, strict=True))))
-    sides = [F.array_distinct(F.array(own, low, high)) for own, low, high in axes]
+    for at, low, high in axes:
+        inner = inner & (low == at) & (high == at)
+    one = F.array(F.struct(*(at.alias(c) for c, (at, _, _) in zip("abc", axes, strict=True))))
+    sides = [F.array_distinct(F.array(*a)) for a in axes]
     many = F.flatten(
         F.transform(sides[0], lambda a: F.flatten(F.transform(sides[1], lambda b: F.transform(sides[2], lambda c: F.struct(a.alias("a"), b.alias("b"), c.alias("c"))))))
     )
-    p = p.withColumn("shared", ~inner).withColumn("t", F.explode(F.when(inner, one).otherwise(many)))
-    owned = F.lit(True)
-    for c, (own, _, _) in zip("abc", axes, strict=True):
-        owned = owned & (F.col(f"t.{c}") == own)
-    return p.select(
-        F.xxhash64("cloud_id", "t.a", "t.b", "t.c").alias("block"), "idx", "x", "y", "z", "label", owned.cast("int").alias("owned"), F.col("shared").cast("int").alias("shared")
-    )
+    p = p.withColumn("shared", (~inner).cast("int")).withColumn("t", F.explode(F.when(inner, one).otherwise(many)))
+    same = F.lit(True)
+    for c, (at, _, _) in zip("abc", axes, strict=True):
+        same = same & (F.col(f"t.{c}") == at)
+    if not divided:
+        return p.select(F.xxhash64("cloud_id", "t.a", "t.b", "t.c").alias("block"), "idx", "x", "y", "z", "label", same.cast("int").alias("owned"), "shared")
+    coarse = [F.floor(F.col(f"t.{c}") / FINE) for c in "abc"]
+    inside = F.lit(True)
+    for k, at in zip(coarse, own, strict=True):
+        inside = inside & (k == at)
+    p = p.withColumn("block", F.xxhash64("cloud_id", *coarse)).join(hot, "block", "left")
+    fine = F.xxhash64("block", "t.a", "t.b", "t.c")
+    return p.select(F.when(F.col("hot"), fine).otherwise(F.col("block")).alias("block"), "idx", "x", "y", "z", "label", F.when(F.col("hot"), same).otherwise(inside).cast("int").alias("owned"), "shared")
 
 
 # ---------------------------------------------------------------- the matrix of links across blocks
@@ -361,7 +381,7 @@ def _stitched(links: DataFrame) -> DataFrame:
             return label.join(low, "root").select("node", "final")
 
 
-def clusters(points: DataFrame, radius: float = RADIUS, min_size: int = MIN_SIZE, tile: float = TILE) -> DataFrame:
+def clusters(points: DataFrame, radius: float = RADIUS, min_size: int = MIN_SIZE, tile: float = TILE, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Members of all groups of at least ``min_size`` records: ``(head_idx, idx, flow)``.
 
     ``head_idx`` is the smallest idx of the group; ``flow`` is what the record's row of the link matrix
@@ -369,9 +389,9 @@ def clusters(points: DataFrame, radius: float = RADIUS, min_size: int = MIN_SIZE
     a missing label or -1 differs from none; repeated records count once; an empty table gives no rows;
     further columns are ignored.
     """
-    if tile <= 4 * radius:
-        raise ValueError("a tile must be wider than four radii")
-    tiled = _tiled(points, tile, radius)
+    if tile < 2 * FINE * radius:
+        raise ValueError(f"a tile must be at least {2 * FINE} radii wide")
+    tiled = _tiled(points, tile, radius, block_rows)
     n = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     part = tiled.repartition(n, "block").sortWithinPartitions("block")
     out = cut(part.mapInArrow(lambda it: _blocks(it, radius, min_size), _BLOCK_SCHEMA))
