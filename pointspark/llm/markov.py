@@ -258,7 +258,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], radius: float, min_size: int) ->
         col = {c: x[o] for c, x in col.items()}
         xyz = np.stack([col["x"], col["y"], col["z"]], 1)
         clique, c_n, a, b, w = _clique_links(col["block"], xyz, col["label"].astype(np.int64), radius)
-        flow = c_n + np.bincount(np.r_[a, b], np.r_[w, w], len(c_n))  # what a node's row receives at first
+        flow = (c_n + np.bincount(np.r_[a, b], np.r_[w, w], len(c_n))).astype(float)  # what a node's row receives at first
         cluster = multilevel_mcl(len(c_n), a, b, w)[clique]
         n = cluster.max() + 1
         head = np.full(n, np.iinfo(np.int64).max)
@@ -290,11 +290,11 @@ def _blocks(batches: Iterator[pa.RecordBatch], radius: float, min_size: int) ->
         yield run(pa.concat_tables(held))
 
 
-def _sides(tile: float, radius: float) -> list[tuple]:
+def _sides(tile: float, radius: float, origin: float) -> list[tuple]:
     """For each axis the tile of a record, and those of the places a radius below and above it."""
     out = []
     for c in "xyz":
-        s = (F.col(c) + tile / 2) / tile
+        s = (F.col(c) + origin) / tile
         out.append((F.floor(s), F.floor(s - radius / tile), F.floor(s + radius / tile)))
     return out
 
@@ -308,10 +308,10 @@ def _tiled(points: DataFrame, tile: float, radius: float, block_rows: int) -> Da
     p = measured(points, "label").withColumn(
         "label", F.when(F.col("label").isNull() | (F.col("label") == -1), NO_LABEL).otherwise(F.col("label")).cast("int")
     )
-    own = [a[0] for a in _sides(tile, radius)]
+    own = [a[0] for a in _sides(tile, radius, tile / 2)]
     hot = cut(p.groupBy(F.xxhash64("cloud_id", *own).alias("block")).count().where(F.col("count") > block_rows).select("block", F.lit(True).alias("hot")))
     divided = not hot.isEmpty()
-    axes = _sides(tile / FINE if divided else tile, radius)
+    axes = _sides(tile / FINE if divided else tile, radius, tile / 2)
     inner = F.lit(True)
     for at, low, high in axes:
         inner = inner & (low == at) & (high == at)
