@@ -65,5 +65,21 @@ _P2 = """
 """
 
 
+_NUMBER = r"[-+]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][-+]?[0-9]+)?"
+
+_P3 = f"""
+    WITH c AS (SELECT DISTINCT file_id, file_text, replace(url_decode(replace(regexp_replace(trim(save_path), '^file:(//)?', ''), '+', '%2B')), chr(92), '/') AS p FROM txt_files),
+    d0 AS (SELECT file_id, file_text, regexp_replace(regexp_replace(p, '/(\\./)+', '/', 'g'), '/+', '/', 'g') AS p FROM c),
+    d1 AS (SELECT file_id, file_text, regexp_replace(regexp_replace(p, '/(\\./)+', '/', 'g'), '/[^/]+/\\.\\.(/|$)', '/') AS p FROM d0),
+    n AS (SELECT file_id, p, unnest(string_split(replace(file_text, chr(13), chr(10)), chr(10))) AS line, unnest(range(1, len(string_split(replace(file_text, chr(13), chr(10)), chr(10))) + 1)) AS no FROM d1),
+    v AS (SELECT file_id, p, no, regexp_extract_all(line, '{_NUMBER}') AS x FROM n),
+    w AS (SELECT file_id, p, no, round(CAST(x[1] AS DOUBLE), 6) + 0.0 AS a, round(CAST(x[2] AS DOUBLE), 6) + 0.0 AS b, round(CAST(x[3] AS DOUBLE), 6) + 0.0 AS c FROM v WHERE len(x) > 0),
+    k AS (SELECT file_id, p, row_number() OVER (PARTITION BY file_id ORDER BY no) AS k, a, b, c, count(*) OVER (PARTITION BY file_id) AS n FROM w),
+    m AS (SELECT x.file_id AS file_a, y.file_id AS file_b, least(x.n, y.n) AS need, count(*) AS got FROM k x JOIN k y ON x.p = y.p AND x.file_id < y.file_id AND x.k = y.k
+          AND x.a IS NOT DISTINCT FROM y.a AND x.b IS NOT DISTINCT FROM y.b AND x.c IS NOT DISTINCT FROM y.c GROUP BY 1, 2, 3)
+    SELECT file_a, file_b FROM m WHERE need = got
+"""
+
+
 def oracle_sql():
-    return {"p2_found": _P2}
+    return {"p2_found": _P2, "p3_found": _P3}
