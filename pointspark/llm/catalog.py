@@ -67,6 +67,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"p1_found": p1_found, "p1_clusters": p1_clusters, "p4_found": p4_found, "p4_select": p4_select, "p5_found": p5_found, "p6_pack": p6_pack, "p6_fill": p6_fill, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_found": p8_found, "p8_share": p8_share, "p8_lines": p8_lines}
 
 
+_REPEATED = """
+    WITH l AS (SELECT doc_id, regexp_extract_all(lower(text), '\\p{L}+') AS w FROM documents),
+    u AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM l),
+    g AS (SELECT doc_id, pos, lead(pos, 7) OVER o AS last, """ + " || ' ' || ".join(f"lead(word, {k}) OVER o" for k in range(8)) + """ AS gram FROM u WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
+    f AS (SELECT doc_id, pos, CASE WHEN last IS NOT NULL AND row_number() OVER (PARTITION BY doc_id, gram ORDER BY pos) > 1 THEN 1 ELSE 0 END AS again FROM g),
+    r AS (SELECT doc_id, max(again) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS rep FROM f),
+    s AS (SELECT doc_id, count(*) AS n_words, CAST(sum(rep) AS BIGINT) AS n_repeated FROM r GROUP BY doc_id)
+"""
+
 SQL = {
     # brute force over all pairs of records of the requested clouds
     "p4_found": """
@@ -76,6 +85,12 @@ SQL = {
               AND (a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z) <= 1.21 GROUP BY a.cloud_id, a.idx)
         SELECT DISTINCT cloud_id, head_idx FROM h
     """,
+    # every window of 8 words of every text
+    "p8_found": _REPEATED + "SELECT doc_id FROM s WHERE n_words >= 40 AND n_repeated * 10 >= n_words * 6",
+    "p8_share": _REPEATED + """
+        SELECT d.doc_id, coalesce(s.n_words, 0) AS n_words, coalesce(s.n_repeated, 0) AS n_repeated,
+               CASE WHEN s.n_words > 0 THEN CAST(s.n_repeated AS DOUBLE) / s.n_words ELSE 0.0 END AS share FROM documents d LEFT JOIN s ON s.doc_id = d.doc_id
+    """,
 }
 
 
