@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -42,7 +44,9 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder shared by all executors")
         d = spark.conf.get("pointspark.shared.dir", None)
         if not d:
-            d = "file://" + tempfile.mkdtemp(prefix="pointspark-")
+            d = tempfile.mkdtemp(prefix="pointspark-")
+            atexit.register(shutil.rmtree, d, ignore_errors=True)
+            d = f"file://{d}"
             spark.conf.set("pointspark.shared.dir", d)
     return d.rstrip("/")
 
