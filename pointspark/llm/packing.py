@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from pointspark.session import cut
 
+MAX_SPECS = 1000
 #: Folder of public vocabulary files, and the file of byte-pair ranks used to measure texts.
 TOKENIZERS = "/opt/tokenizers"
 RANKS = "byte_bpe_50k.tiktoken"
@@ -191,6 +192,21 @@ def _slots(capacity: int, hist: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["size", "first", "until", "per", "base"])
 
 
+def _specs(specs: DataFrame) -> list[tuple[int, int]]:
+    """(spec_id, capacity) of usable specs; they are part of the plan, so their number is bounded."""
+    w = specs.where(F.col("spec_id").isNotNull() & (F.col("capacity_tokens") > 0)).groupBy("spec_id").agg(F.max("capacity_tokens").alias("c"))
+    rows = w.limit(MAX_SPECS + 1).collect()
+    if len(rows) > MAX_SPECS:
+        raise ValueError(f"more than {MAX_SPECS} specs")
+    return sorted((int(r["spec_id"]), int(r["c"])) for r in rows)
+
+
+def _for_each_spec(df: DataFrame, specs: list[tuple[int, int]]) -> DataFrame:
+    each = [F.struct(F.lit(i).cast("int").alias("spec_id"), F.lit(c).cast("long").alias("capacity")) for i, c in specs]
+    each = F.array(*each) if each else F.array().cast("array<struct<spec_id:int,capacity:bigint>>")
+    return df.withColumn("_s", F.explode(each)).select("_s.*", *df.columns)
+
+
 def pack(documents: DataFrame, specs: DataFrame, folder: str = TOKENIZERS, name: str = RANKS) -> DataFrame:
     """``(spec_id, doc_id, piece, start, n_tokens, container_id)`` for every document and capacity.
 
@@ -202,10 +218,10 @@ def pack(documents: DataFrame, specs: DataFrame, folder: str = TOKENIZERS, name:
     spark = documents.sparkSession
     counted = cut(token_counts(documents, folder, name))
     sizes = counted.groupBy("n_tokens").agg(F.count("*").alias("n"))
-    wanted = specs.where(F.col("spec_id").isNotNull() & (F.col("capacity_tokens") > 0)).groupBy("spec_id").agg(F.max("capacity_tokens").cast("long").alias("capacity"))
+    wanted = _specs(specs)
     # a piece of one size for each document and spec: the remainder of long texts, whole short ones
     size = F.when(F.col("n_tokens") <= F.col("capacity"), F.col("n_tokens")).otherwise(F.col("n_tokens") % F.col("capacity"))
-    hist = sizes.crossJoin(F.broadcast(wanted)).select("spec_id", "capacity", size.alias("size"), "n").where("size > 0").groupBy("spec_id", "capacity", "size").agg(F.sum("n").alias("n"))
+    hist = _for_each_spec(sizes, wanted).select("spec_id", "capacity", size.alias("size"), "n").where("size > 0").groupBy("spec_id", "capacity", "size").agg(F.sum("n").alias("n"))
     slots = cut(
         hist.groupBy("spec_id").applyInPandas(
             lambda g: _slots(int(g["capacity"].iloc[0]), g).assign(spec_id=g["spec_id"].iloc[0])[["spec_id", "size", "first", "until", "per", "base"]],
@@ -214,7 +230,7 @@ def pack(documents: DataFrame, specs: DataFrame, folder: str = TOKENIZERS, name:
     )
     # number the documents of each size, hot sizes too: ranks within parts, then the parts' offsets
     parts = int(spark.conf.get("spark.sql.shuffle.partitions")) * 4
-    d = counted.crossJoin(F.broadcast(wanted)).select("spec_id", "capacity", "doc_id", "n_tokens", size.alias("size"))
+    d = _for_each_spec(counted, wanted).select("spec_id", "capacity", "doc_id", "n_tokens", size.alias("size"))
     d = d.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)))
     per_part = d.groupBy("spec_id", "size", "part").count()
     before = Window.partitionBy("spec_id", "size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
