@@ -7,7 +7,8 @@
   many vectors at a time).
 * A vector is stored in its nearest lists: those whose head is at most ``1 + closure`` times as far as the
   nearest one, unless a list already taken has its head within ``spread`` times the vector's distance of that head.
-* A vector looks into the lists whose head is at most ``1 + ratio`` times as far as the nearest one.
+* A vector looks into the lists whose head is at most ``1 + ratio`` times as far as the nearest one, with a limit
+  on the distance wanted also into those up to twice the limit farther.
 * Within a list single precision preselects, double precision decides; results of the lists are merged.
 
 Exact copies are taken out first. Of copies only the k + 1 with the smallest vec_id are indexed: no other can
@@ -148,14 +149,18 @@ class Heads:
             twice[:, k] = (ids[:, :k] == ids[:, k : k + 1]).any(1)
         return np.where(twice, -1, ids), np.where(twice | (ids < 0), np.inf, np.sqrt(d))
 
-    def lists(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, list, role) of each vector: role 1 stored there, 2 looks there, 3 both."""
+    def lists(self, x: np.ndarray, slack: float = 0.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, list, role) of each vector: role 1 stored there, 2 looks there, 3 both.
+
+        A vector looks also into lists up to ``slack`` farther than the nearest one: in a dense group, where the nearest
+        head is very near, the ratio alone would leave out the group's other lists.
+        """
         ids, d = self.nearest(x)
         first = np.min(d, axis=1, keepdims=True)
         o = np.argsort(d, axis=1, kind="stable")
         ids, d = np.take_along_axis(ids, o, 1), np.take_along_axis(d, o, 1)
         rank = np.arange(ids.shape[1])[None]
-        look = (d <= first * (1 + RATIO)) & (rank < PROBES)
+        look = (d <= np.maximum(first * (1 + RATIO), first + slack)) & (rank < PROBES)
         store = np.zeros_like(look)
         store[:, 0] = True
         near = d <= first * (1 + CLOSURE)
@@ -175,11 +180,11 @@ class Heads:
         return i, ids[i, j].astype(np.int32), role[i, j]
 
 
-def _post(batches: Iterator[pa.RecordBatch], heads: Heads, dim: int) -> Iterator[pa.RecordBatch]:
+def _post(batches: Iterator[pa.RecordBatch], heads: Heads, dim: int, slack: float) -> Iterator[pa.RecordBatch]:
     for b in batches:
         x = _matrix(b.column(1), dim).astype(np.float32)
         for at in range(0, len(x), 512):
-            i, lists, role = heads.lists(x[at : at + 512])
+            i, lists, role = heads.lists(x[at : at + 512], slack)
             rows = pa.array(i + at)
             yield pa.RecordBatch.from_arrays([pa.array(lists), pa.array(role), b.column(0).take(rows), b.column(1).take(rows)], names=["list", "role", "vec_id", "feat"])
 
@@ -261,7 +266,9 @@ def most_similar(vectors: DataFrame, k: int = 5, limit: float | None = None, dim
     sample = indexed if total <= SAMPLE else indexed.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE)
     x = np.concatenate([np.frombuffer(r["m"], np.float32).reshape(-1, dim) for r in sample.select("feat").mapInArrow(lambda it: _packed(it, dim), "m binary").collect()])
     heads = Heads(fit_heads(x[np.lexsort(x[:, :8].T)], int(np.clip(total // LIST_ROWS, 1, MAX_LISTS))))
-    posted = indexed.repartition(n_parts).mapInArrow(lambda it: _post(it, heads, dim), "list int, role int, vec_id long, feat array<float>")
+    # a neighbour within the limit has its own nearest head at most twice the limit farther from here than this one's
+    slack = 2 * limit if limit is not None else 0.0
+    posted = indexed.repartition(n_parts).mapInArrow(lambda it: _post(it, heads, dim, slack), "list int, role int, vec_id long, feat array<float>")
     found = posted.repartition(n_parts, "list").sortWithinPartitions("list").mapInArrow(lambda it: _within(it, dim, k, limit), "a long, b long, dist double")
     best = found.groupBy("a", "b").agg(F.min("dist").alias("dist"))
     best = best.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy("dist", "b"))).where(F.col("r") <= k).drop("r")
