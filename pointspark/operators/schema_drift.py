@@ -21,6 +21,7 @@ from pointspark.session import cut
 SPAN_SECONDS = 7 * 86_400
 #: The table has one set of columns: more distinct names than this are refused.
 MAX_NAMES = 10_000
+_OWN = ("file_id", "rec_no", "sensor_id", "corrupt")
 _LISTS = ("fields", "sizes", "types", "counts")
 #: numpy codes of the PCD types (fixed values).
 _CODES = {("F", 4): "<f4", ("F", 8): "<f8", ("I", 1): "i1", ("I", 2): "<i2", ("I", 4): "<i4", ("I", 8): "<i8", ("U", 1): "u1", ("U", 2): "<u2", ("U", 4): "<u4", ("U", 8): "<u8"}
@@ -156,7 +157,12 @@ def column_names(headers: DataFrame) -> dict[str, str]:
             a |= b
             for x in b:
                 group[x] = a
-    return {x: min(group[x], key=lambda y: (-n[y], y)) for x in sorted(group)}
+    return {x: _column(min(group[x], key=lambda y: (-n[y], y))) for x in sorted(group)}
+
+
+def _column(name: str) -> str:
+    """A field's name as a column: own columns of the table and the empty name get a trailing underscore."""
+    return f"{name}_" if name in _OWN or not name else name.replace("`", "'")
 
 
 def _decoded(batches: Iterator[pd.DataFrame], route: dict[str, str], columns: list[str]) -> Iterator[pd.DataFrame]:
@@ -215,8 +221,8 @@ def one_table(headers: DataFrame, body: DataFrame) -> DataFrame:
             columns.add(c)
         if (r["n"] or 1) > 1:
             columns |= {f"{c}_{k}" for k in range(r["n"])}
-    names = sorted(columns - {"file_id", "rec_no", "sensor_id", "corrupt"})
+    names = sorted(columns)
     b = body.where("file_id IS NOT NULL AND rec_no IS NOT NULL").groupBy("file_id", "rec_no").agg(F.min("payload").alias("payload"))
-    schema = "file_id long, rec_no int, sensor_id long, corrupt boolean, " + ", ".join(f"`{c}` double" for c in names)
+    schema = ", ".join(["file_id long", "rec_no int", "sensor_id long", "corrupt boolean", *(f"`{c}` double" for c in names)])
     out = b.join(f, "file_id").mapInPandas(lambda it: _decoded(it, route, names), schema)
     return out.select("file_id", "rec_no", "sensor_id", "corrupt", *[F.when(~F.isnan(f"`{c}`"), F.col(f"`{c}`")).alias(c) for c in names])

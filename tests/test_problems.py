@@ -50,6 +50,14 @@ def test_one_table(spark):
     assert r[1, 1]["corrupt"] and r[1, 2]["corrupt"] and r[2, 1]["corrupt"] and not r[1, 0]["corrupt"]
 
 
+def test_field_names_that_clash(spark):
+    h = spark.createDataFrame([head(1, 1, 0, ["file_id", "a b", "", "q`r", "x.y"])], H)
+    r = schema_drift.one_table(h, spark.createDataFrame([(1, 0, bytearray(b"1 2 3 4 5"))], "file_id long, rec_no int, payload binary"))
+    assert r.columns == ["file_id", "rec_no", "sensor_id", "corrupt", "_", "a b", "file_id_", "q'r", "x.y"]
+    assert list(r.first())[4:] == [3.0, 2.0, 1.0, 4.0, 5.0]
+    assert schema_drift.one_table(h.limit(0), spark.createDataFrame([], "file_id long, rec_no int, payload binary")).count() == 0
+
+
 T = "file_id long, save_path string, n_bytes long, written_at timestamp, file_text string, path string"
 
 
