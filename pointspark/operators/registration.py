@@ -17,7 +17,7 @@ from pointspark.operators.descriptors import dense, fpfh
 from pointspark.operators.keypoints import iss
 from pointspark.operators.neighbors import knn, nearest_within, positions
 from pointspark.operators.shape import normals
-from pointspark.session import cut
+from pointspark.session import BROADCAST_ROWS, cut
 
 #: Anchor descriptors that divide the targets; read to the driver, so a fixed bound.
 PIVOTS = 64
@@ -47,8 +47,14 @@ def feature_match(source: DataFrame, target: DataFrame, max_dist: float = 20.0,
     reach = tgt.groupBy("part").agg(F.max("d").alias("reach"))
     look = cut(src.withColumn("p", F.array_sort(to_all("fs"))))
 
+    small = tgt.count() <= BROADCAST_ROWS
+    n_parts = int(src.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
     def best(parts: DataFrame) -> DataFrame:
-        pairs = parts.join(tgt.select("part", "tgt_idx", "ft"), "part").withColumn("dist", d("fs", "ft"))
+        t = tgt.select("part", "tgt_idx", "ft")
+        if small:  # sources stay spread over the tasks by their own idx
+            parts, t = parts.repartition(n_parts, "src_idx"), F.broadcast(t)
+        pairs = parts.join(t, "part").withColumn("dist", d("fs", "ft"))
         return pairs.groupBy("src_idx").agg(F.min(F.struct("dist", "tgt_idx")).alias("m"))
 
     first = cut(best(look.select("src_idx", "fs", F.get("p", 0)["part"].alias("part"))))
