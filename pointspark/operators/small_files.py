@@ -3,11 +3,14 @@
 The bytes of each file are laid into a large block; an index keeps for each file its path, container, offset,
 length and checksum, so a file is found and read again byte by byte, and blocks are read in parallel. The index
 also has a digest of the file's points. Files that lead to the same path are compared through the index: one whose
-points are those of another, or the beginning of them, is not stored again but points to the other.
+points are those of another, or the beginning of them, is not stored again but points to the other. Equal points do
+not mean equal bytes (further columns, spelling of numbers, line ends), so where its bytes are not the beginning of the
+other's, a patch against the other's bytes is stored too: every file of the input comes back byte by byte.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -76,6 +79,36 @@ def _index_of(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
     return out.select("file_id", "path", "length", "checksum", "n_points", F.coalesce("class_id", "file_id").alias("class_id"), keep.alias("stored_as")), begins
 
 
+def _patches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Files whose bytes do not begin their keeper's, each deflated with the keeper's bytes as dictionary."""
+    for b in batches:
+        at, out = [], []
+        for i, (own, kept) in enumerate(zip(b.column("own").to_pylist(), b.column("kept").to_pylist(), strict=True)):
+            if not kept.startswith(own):
+                z = zlib.compressobj(9, wbits=-15, zdict=kept)
+                at.append(i)
+                out.append(z.compress(own) + z.flush())
+        rows = b.take(pa.array(at, pa.int64()))
+        yield pa.RecordBatch.from_arrays([rows.column("file_id"), rows.column("path"), rows.column("stored_as"), pa.array(out, pa.binary())], names=["file_id", "path", "stored_as", "data"])
+
+
+def _patched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bytes of each file from its keeper's and its patch; null where they cannot be had."""
+
+    def file(kept, patch, length):
+        if kept is None or patch is None:
+            return kept and kept[:length]
+        try:
+            return zlib.decompressobj(wbits=-15, zdict=kept).decompress(patch)
+        except zlib.error:
+            return None
+
+    for b in batches:
+        data = map(file, b.column("kept").to_pylist(), b.column("patch").to_pylist(), b.column("own_length").to_pylist())
+        rest = ["file_id", "path", "container_id", "own_length", "own_checksum"]
+        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), pa.array(list(data), pa.binary())], names=[*rest, "data"])
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows in order of container and offset become one row a container."""
     schema = pa.schema([("container_id", pa.int64()), ("block", pa.binary())])
@@ -102,38 +135,58 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def pack(files: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(index, blocks, begins)``.
 
-    index: ``(file_id, path, n_points, class_id, stored_as, container_id, offset, length, checksum, own_length, own_checksum)``
-    with one row for every file of the input. ``stored_as`` is the file whose bytes are stored; offset, length and
-    checksum are that file's. ``class_id`` is the smallest file_id with the same path and points.
-    blocks: ``(container_id, block)``. begins: ``(class_id, long_id, long_n)``, classes that begin other classes.
-    Files without points are stored as they are. Null file_id or save_path: left out; null text: empty. Files are
-    spread over containers by a hash of the path, so containers fill evenly whatever the order or the classes.
+    index: ``(file_id, path, n_points, class_id, stored_as, container_id, offset, length, checksum, own_length,
+    own_checksum, patch_offset, patch_length)`` with one row for every file of the input. ``stored_as`` is the file
+    whose bytes are stored; offset, length and checksum are that file's. A file whose own bytes are not the beginning of
+    those has a patch in the same container, else patch_offset and patch_length are null. ``class_id`` is the smallest
+    file_id with the same path and points.
+    blocks: ``(container_id, block)``, the stored files and after them the patches. begins: ``(class_id, long_id,
+    long_n)``, classes that begin other classes. Files without points are stored as they are. Null file_id or save_path:
+    left out; null text: empty. Files are spread over containers by a hash of the path, so containers fill evenly
+    whatever the order or the classes.
     """
     entries = cut(_entries(files))
     index, begins = _index_of(entries)
     index = cut(index)
-    total = index.where("stored_as = file_id").agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    bytes_of = entries.select("file_id", "data")
+    others = index.where("stored_as <> file_id").select("file_id", "path", "stored_as")
+    pairs = others.join(bytes_of.withColumnRenamed("data", "own"), "file_id").join(bytes_of.toDF("stored_as", "kept"), "stored_as")
+    patches = cut(pairs.select("file_id", "path", "stored_as", "own", "kept").mapInArrow(_patches, "file_id long, path string, stored_as long, data binary"))
+    whole = index.where("stored_as = file_id").select("file_id", "path", "stored_as", "length", F.lit(False).alias("is_patch"))
+    pieces = whole.union(patches.select("file_id", "path", "stored_as", F.octet_length("data").cast("long"), F.lit(True)))
+    total = pieces.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
     n = max(1, -(-total // block_bytes))
-    kept = index.where("stored_as = file_id").withColumn("container_id", F.pmod(F.xxhash64("path", "file_id"), F.lit(n)))
-    w = Window.partitionBy("container_id").orderBy("path", "file_id").rowsBetween(Window.unboundedPreceding, -1)
-    kept = cut(kept.withColumn("offset", F.coalesce(F.sum("length").over(w), F.lit(0))))
-    place = kept.select(F.col("file_id").alias("stored_as"), "container_id", "offset", "length", "checksum")
+    w = Window.partitionBy("container_id").orderBy("is_patch", "path", "file_id").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = pieces.withColumn("container_id", F.pmod(F.xxhash64("path", "stored_as"), F.lit(n)))
+    pieces = cut(pieces.withColumn("offset", F.coalesce(F.sum("length").over(w), F.lit(0))))
+    kept, patch = pieces.where("NOT is_patch"), pieces.where("is_patch")
+    place = kept.select("stored_as", "container_id", "offset", "length").join(index.select(F.col("file_id").alias("stored_as"), "checksum"), "stored_as")
     own = index.withColumnsRenamed({"length": "own_length", "checksum": "own_checksum"})
-    index = own.join(place, "stored_as").select("file_id", "path", "n_points", "class_id", "stored_as", "container_id", "offset", "length", "checksum", "own_length", "own_checksum")
+    index = own.join(place, "stored_as").join(patch.select("file_id", F.col("offset").alias("patch_offset"), F.col("length").alias("patch_length")), "file_id", "left")
+    index = index.select("file_id", "path", "n_points", "class_id", "stored_as", "container_id", "offset", "length", "checksum", "own_length", "own_checksum", "patch_offset", "patch_length")
     parts = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = kept.select("file_id", "container_id", "offset").join(entries.select("file_id", "data"), "file_id")
+    rows = kept.select("file_id", "container_id", "offset").join(bytes_of, "file_id").union(patch.select("file_id", "container_id", "offset").join(patches.select("file_id", "data"), "file_id"))
     blocks = rows.repartition(parts, "container_id").sortWithinPartitions("container_id", "offset", "file_id").select("container_id", "data").mapInArrow(_blocks, "container_id long, block binary")
     return index, blocks, begins
 
 
 def unpack(index: DataFrame, blocks: DataFrame) -> DataFrame:
-    """``(file_id, path, data, intact)`` of the stored files: the original bytes, checked against length and checksum."""
+    """``(file_id, path, data, intact)`` of the files stored whole: the original bytes, checked against length and checksum."""
     own = index.where("stored_as = file_id").join(blocks, "container_id")
     data = F.expr("substring(block, CAST(offset + 1 AS INT), CAST(length AS INT))")
     out = own.select("file_id", "path", data.alias("data"), "length", "checksum")
     return out.select("file_id", "path", "data", ((F.octet_length("data") == F.col("length")) & (F.crc32("data") == F.col("checksum"))).alias("intact"))
 
 
+def restore(index: DataFrame, blocks: DataFrame) -> DataFrame:
+    """``(file_id, path, container_id, data, intact)`` of every file of the input: its own bytes, checked against its own length and checksum."""
+    part = lambda at, n: F.expr(f"substring(block, CAST({at} + 1 AS INT), CAST({n} AS INT))")
+    read = index.join(blocks, "container_id", "left").select("file_id", "path", "container_id", "own_length", "own_checksum", part("offset", "length").alias("kept"), part("patch_offset", "patch_length").alias("patch"))
+    out = read.mapInArrow(_patched, "file_id long, path string, container_id long, own_length long, own_checksum long, data binary")
+    intact = (F.octet_length("data") == F.col("own_length")) & (F.crc32("data") == F.col("own_checksum"))
+    return out.select("file_id", "path", "container_id", "data", F.coalesce(intact, F.lit(False)).alias("intact"))
+
+
 def same_files(index: DataFrame, begins: DataFrame) -> DataFrame:
     """``(file_a, file_b)``, file_a < file_b: files of one path whose points are equal or one's the other's beginning.
 

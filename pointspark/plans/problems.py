@@ -35,10 +35,11 @@ def p3_index(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_containers(spark: SparkSession, d: str) -> DataFrame:
-    """Each container with its number of bytes and files, all stored files read back and checked."""
+    """Each container with its number of bytes, the files stored whole and all files it restores, every file of the input read back and checked."""
     index, blocks, _ = small_files.pack(table(spark, d, "txt_files"), 1 << 20)
-    back = small_files.unpack(index, blocks).join(index.select("file_id", "container_id", "length"), "file_id")
-    return back.groupBy("container_id").agg(F.count("*").alias("n_files"), F.sum("length").alias("n_bytes"), F.min("intact").alias("intact"))
+    held = index.select("file_id", (F.col("stored_as") == F.col("file_id")).alias("whole"), (F.when(F.col("stored_as") == F.col("file_id"), F.col("length")).otherwise(0) + F.coalesce("patch_length", F.lit(0))).alias("n"))
+    back = small_files.restore(index, blocks).join(held, "file_id")
+    return back.groupBy("container_id").agg(F.count_if("whole").alias("n_files"), F.sum("n").alias("n_bytes"), F.min("intact").alias("intact"), F.count("*").alias("n_restored"))
 
 
 def queries():

@@ -89,6 +89,24 @@ def test_pack_keeps_every_point_once(spark):
     assert blocks.count() > 1
 
 
+def test_every_file_comes_back(spark):
+    rows = [
+        (1, "/p/a", "1,2,3,1.000000,7\n4,5,6,1.000000,7\n"), (2, "/p/./a", "1 2 3\r\n4 5 6\r\n7 8 9\r\n"), (3, "/p/a", "1 2 3\r\n4 5 6\r\n"), (4, "/p/a", "1.0000000001 2 3"),
+        (5, "/p/b", "1,2,3\n"), (6, "/p/b", "1,2,3\n"), (7, "/p/b", "+1;2;3;\u00e4\n"), (8, "/p/a", ""), (9, "/p/a", None), (10, "/p/c", "# none\n"),
+    ]
+    index, blocks, _ = small_files.pack(files(spark, rows), 32)
+    index, blocks = index.cache(), blocks.cache()
+    back = {r["file_id"]: r for r in small_files.restore(index, blocks).collect()}
+    assert {i: bytes(r["data"]).decode() for i, r in back.items()} == {i: t or "" for i, _, t in rows}
+    assert all(r["intact"] for r in back.values())
+    at = {r["file_id"]: (r["stored_as"], r["patch_length"] is not None) for r in index.collect()}
+    assert at == {1: (2, True), 2: (2, False), 3: (2, False), 4: (2, True), 5: (5, False), 6: (5, False), 7: (5, True), 8: (8, False), 9: (9, False), 10: (10, False)}
+    broken = small_files.restore(index, blocks.selectExpr("container_id", "CAST(repeat('x', octet_length(block)) AS BINARY) AS block"))
+    assert {r["file_id"] for r in broken.where("intact").collect()} == {8, 9}
+    lost = small_files.restore(index, blocks.limit(0))
+    assert lost.count() == len(rows) and lost.where("intact").count() == 0
+
+
 def test_pack_nothing(spark):
     index, blocks, begins = small_files.pack(files(spark, []))
     assert index.count() == 0 and blocks.count() == 0 and small_files.same_files(index, begins).count() == 0
