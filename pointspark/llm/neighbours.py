@@ -1,4 +1,11 @@
-"""The most similar vectors for every vector, by balanced posting lists.
+"""The most similar vectors for every vector: exact within a limit on the distance, else by balanced posting lists.
+
+With a limit every pair is looked at. Vectors are dealt into blocks by a hash of the id, so that no group, however dense,
+makes a block large; each two blocks meet in one place. There the first axes of a rotation (principal axes of a bounded
+sample), which never lengthen a distance, leave only pairs that may be within the limit. In many dimensions bounds on whole
+lists leave out next to none, so the work grows with the square of the vectors.
+
+Without a limit the search is approximate:
 
 * A bounded sample is split by balanced k-means, node by node, until each leaf has its share; the leaves'
   centres are the heads of posting lists. Dense regions get as many lists as their part of the sample, so
@@ -7,8 +14,7 @@
   many vectors at a time).
 * A vector is stored in its nearest lists: those whose head is at most ``1 + closure`` times as far as the
   nearest one, unless a list already taken has its head within ``spread`` times the vector's distance of that head.
-* A vector looks into the lists whose head is at most ``1 + ratio`` times as far as the nearest one, with a limit
-  on the distance wanted also into those up to twice the limit farther.
+* A vector looks into the lists whose head is at most ``1 + ratio`` times as far as the nearest one, 8 at most.
 * Within a list single precision preselects, double precision decides; results of the lists are merged.
 
 Exact copies are taken out first. Of copies only the k + 1 with the smallest vec_id are indexed: no other can
@@ -28,7 +34,7 @@ from pyspark.sql import functions as F
 from pointspark.session import cut
 
 DIM = 352
-#: The heads are fitted on at most so many vectors, those of smallest hash.
+#: The heads, or the axes, are fitted on at most so many vectors, those of smallest hash.
 SAMPLE = 20_000
 #: Vectors of a list in the mean, before replication; at most so many lists.
 LIST_ROWS, MAX_LISTS = 256, 4096
@@ -37,6 +43,10 @@ RATIO, PROBES = 0.15, 8
 DEGREE, BEAM, STEPS = 16, 16, 24
 #: Pairs whose distance is worked out at a time.
 EXACT = 4096
+#: Vectors of a block in the mean; axes that preselect; pairs of one vector in a block up to which all are worked out.
+BLOCK_ROWS, AXES, FEW = 8192, 64, 64
+#: Tasks for the cells, each two blocks that meet, at most.
+MAX_CELL_PARTS = 4096
 
 
 def usable(feat: Column, dim: int) -> Column:
@@ -149,18 +159,14 @@ class Heads:
             twice[:, k] = (ids[:, :k] == ids[:, k : k + 1]).any(1)
         return np.where(twice, -1, ids), np.where(twice | (ids < 0), np.inf, np.sqrt(d))
 
-    def lists(self, x: np.ndarray, slack: float = 0.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, list, role) of each vector: role 1 stored there, 2 looks there, 3 both.
-
-        A vector looks also into lists up to ``slack`` farther than the nearest one: in a dense group, where the nearest
-        head is very near, the ratio alone would leave out the group's other lists.
-        """
+    def lists(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, list, role) of each vector: role 1 stored there, 2 looks there, 3 both."""
         ids, d = self.nearest(x)
         first = np.min(d, axis=1, keepdims=True)
         o = np.argsort(d, axis=1, kind="stable")
         ids, d = np.take_along_axis(ids, o, 1), np.take_along_axis(d, o, 1)
         rank = np.arange(ids.shape[1])[None]
-        look = (d <= np.maximum(first * (1 + RATIO), first + slack)) & (rank < PROBES)
+        look = (d <= first * (1 + RATIO)) & (rank < PROBES)
         store = np.zeros_like(look)
         store[:, 0] = True
         near = d <= first * (1 + CLOSURE)
@@ -180,20 +186,53 @@ class Heads:
         return i, ids[i, j].astype(np.int32), role[i, j]
 
 
-def _post(batches: Iterator[pa.RecordBatch], heads: Heads, dim: int, slack: float) -> Iterator[pa.RecordBatch]:
+def _post(batches: Iterator[pa.RecordBatch], heads: Heads, dim: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         x = _matrix(b.column(1), dim).astype(np.float32)
         for at in range(0, len(x), 512):
-            i, lists, role = heads.lists(x[at : at + 512], slack)
+            i, lists, role = heads.lists(x[at : at + 512])
             rows = pa.array(i + at)
             yield pa.RecordBatch.from_arrays([pa.array(lists), pa.array(role), b.column(0).take(rows), b.column(1).take(rows)], names=["list", "role", "vec_id", "feat"])
 
 
-def _within(batches: Iterator[pa.RecordBatch], dim: int, k: int, limit: float | None) -> Iterator[pa.RecordBatch]:
-    """The k nearest stored vectors of each vector that looks into a list; lists come one after the other."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("dist", pa.float64())])
+def _exact(x: np.ndarray, i: np.ndarray, y: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Distances of the pairs x[i], y[j] in double precision."""
+    e = np.empty(len(i))
+    for c in range(0, len(i), EXACT):
+        diff = x[i[c : c + EXACT]].astype(np.float64)
+        diff -= y[j[c : c + EXACT]]
+        e[c : c + EXACT] = np.sqrt(np.einsum("ij,ij->i", diff, diff))
+    return e
+
+
+def _first(a: np.ndarray, b: np.ndarray, e: np.ndarray, k: int) -> pa.RecordBatch:
+    """The k nearest of each a."""
+    o = np.lexsort((b, e, a))
+    a, b, e = a[o], b[o], e[o]
+    ok = np.arange(len(a)) - np.searchsorted(a, a) < k
+    return pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok]), pa.array(e[ok])], names=["a", "b", "dist"])
+
+
+def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """One table for each run of equal keys."""
+    held: list[pa.Table] = []
+    for b in batches:
+        t = pa.Table.from_batches([b])
+        keys = t.column(key).to_numpy()
+        edge = np.r_[0, np.flatnonzero(keys[1:] != keys[:-1]) + 1, len(keys)]
+        for f, g in zip(edge[:-1], edge[1:], strict=True):
+            if g > f:
+                if held and held[-1].column(key)[0].as_py() != keys[f]:
+                    yield pa.concat_tables(held)
+                    held = []
+                held.append(t.slice(f, g - f))
+    if held:
+        yield pa.concat_tables(held)
 
-    def search(t: pa.Table):
+
+def _within(batches: Iterator[pa.RecordBatch], dim: int, k: int) -> Iterator[pa.RecordBatch]:
+    """The k nearest stored vectors of each vector that looks into a list; lists come one after the other."""
+    for t in _runs(batches, "list"):
         role, ids, x = t.column("role").to_numpy(), t.column("vec_id").to_numpy(), _matrix(t.column("feat"), dim)
         q, s = np.flatnonzero(role >= 2), np.flatnonzero(role % 2 == 1)
         s = s[np.argsort(ids[s], kind="stable")]
@@ -208,33 +247,67 @@ def _within(batches: Iterator[pa.RecordBatch], dim: int, k: int, limit: float |
             margin = 1e-5 * (nq + (ns.max() if len(ns) else 0)) + 1e-6
             m = min(k, len(s))
             kth = np.partition(d, m - 1, axis=1)[:, m - 1] if m else np.zeros(len(p))
-            most = kth + 2 * margin if limit is None else np.minimum(kth + 2 * margin, limit * limit + margin)
-            i, j = np.nonzero((d <= most[:, None]) & np.isfinite(d))
-            e = np.empty(len(i))
-            for c in range(0, len(i), EXACT):
-                diff = x[p[i[c : c + EXACT]]].astype(np.float64)
-                diff -= x[s[j[c : c + EXACT]]]
-                e[c : c + EXACT] = np.sqrt(np.einsum("ij,ij->i", diff, diff))
-            o = np.lexsort((ids[s[j]], e, i))
-            i, j, e = i[o], j[o], e[o]
-            start = np.searchsorted(i, i)
-            ok = np.arange(len(i)) - start < k
-            if limit is not None:
-                ok &= e <= limit
-            yield pa.RecordBatch.from_arrays([pa.array(ids[p[i[ok]]]), pa.array(ids[s[j[ok]]]), pa.array(e[ok])], schema=schema)
+            i, j = np.nonzero((d <= (kth + 2 * margin)[:, None]) & np.isfinite(d))
+            yield _first(ids[p[i]], ids[s[j]], _exact(x, p[i], x, s[j]), k)
 
-    held: list[pa.Table] = []
-    for b in batches:
-        t = pa.Table.from_batches([b])
-        lists = t.column("list").to_numpy()
-        edge = np.r_[0, np.flatnonzero(lists[1:] != lists[:-1]) + 1, len(lists)]
-        for f, g in zip(edge[:-1], edge[1:], strict=True):
-            if held and held[-1].column("list")[0].as_py() != lists[f]:
-                yield from search(pa.concat_tables(held))
-                held = []
-            held.append(t.slice(f, g - f))
-    if held:
-        yield from search(pa.concat_tables(held))
+
+def fit_axes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(mean, the AXES orthonormal directions of largest variance)."""
+    x = x.astype(np.float64)
+    mean = x.mean(0)
+    x -= mean
+    return mean, np.linalg.eigh(x.T @ x)[1][:, ::-1][:, :AXES]
+
+
+def _pairs(x: np.ndarray, px: np.ndarray, y: np.ndarray, py: np.ndarray, k: int, limit: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row of x, row of y): all pairs that can be one of the k nearest of x in y and within the limit.
+
+    Squared distances in single precision are off by less than a part of ``off`` of both squared lengths.
+    """
+    off, most = np.float32(4e-5), np.float32(limit * limit * (1 + 1e-5) + 1e-6)
+    ny, sy = (py * py).sum(1) * (1 - off) - most, (y * y).sum(1)
+    for at in range(0, len(x), 512):
+        p = px[at : at + 512]
+        low = (-2 * p) @ py.T
+        low += ny
+        if same:
+            low[np.arange(len(p)), np.arange(at, at + len(p))] = np.inf
+        i, j = np.nonzero(low <= -((p * p).sum(1) * (1 - off))[:, None])
+        n = np.bincount(i, minlength=len(p))
+        many = np.flatnonzero(n > max(FEW, k))
+        if len(many):
+            # a dense group: all its pairs are within the limit, and only the k nearest are worked out
+            dense = n[i] > max(FEW, k)
+            cols = np.unique(j[dense])
+            xq = x[at + many]
+            both = (xq * xq).sum(1)[:, None] + sy[cols]
+            d = both - 2 * xq @ y[cols].T
+            if same:
+                d[(at + many)[:, None] == cols] = np.inf
+            d -= off * both
+            both *= 2 * off
+            both += d
+            kth = np.partition(both, k - 1, axis=1)[:, k - 1] + np.float32(1e-6)
+            a, b = np.nonzero(d <= np.minimum(kth, most)[:, None])
+            i, j = np.concatenate([i[~dense], many[a]]), np.concatenate([j[~dense], cols[b]])
+        yield i + at, j
+
+
+def _cells(batches: Iterator[pa.RecordBatch], axes: tuple[np.ndarray, np.ndarray], dim: int, k: int, limit: float) -> Iterator[pa.RecordBatch]:
+    """The k nearest within the limit of each vector among those of the other block, or of its own in a cell of one block."""
+    mean, turn = axes
+    for t in _runs(batches, "cell"):
+        side, ids, x = t.column("side").to_numpy(), t.column("vec_id").to_numpy(), _matrix(t.column("feat"), dim).astype(np.float32)
+        flat = ((x - mean) @ turn).astype(np.float32)
+        here = [np.flatnonzero(side == n) for n in (0, 1, 2)]
+        for f, g in ((0, 0), (1, 2), (2, 1)):
+            q, s = here[f], here[g]
+            if len(q) and len(s):
+                xs, fs = x[s], flat[s]
+                for i, j in _pairs(x[q], flat[q], xs, fs, k, limit, f == 0):
+                    e = _exact(x, q[i], xs, j)
+                    ok = e <= limit
+                    yield _first(ids[q[i[ok]]], ids[s[j[ok]]], e[ok], k)
 
 
 def _packed(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[pa.RecordBatch]:
@@ -245,9 +318,9 @@ def _packed(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[pa.RecordBa
 def most_similar(vectors: DataFrame, k: int = 5, limit: float | None = None, dim: int = DIM, id_col: str = "vec_id", vec_col: str = "feat") -> DataFrame:
     """``(a, b, dist)``: for each vector a its k nearest others by L2 in double precision, ties by smaller id.
 
-    With ``limit`` only neighbours at most so far away come out. Vectors that are null, of wrong length, not finite
-    or all zero, and null ids, take no part; a repeated id counts once; extra columns are ignored. The search is
-    approximate, as a neighbour is found only in a list that both reach; distances are exact.
+    With ``limit`` only neighbours at most so far away come out, and all of them. Vectors that are null, of wrong length, not finite
+    or all zero, and null ids, take no part; a repeated id counts once; extra columns are ignored. Without ``limit``
+    the search is approximate, as a neighbour is found only in a list that both reach; distances are exact.
     """
     spark = vectors.sparkSession
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -265,11 +338,17 @@ def most_similar(vectors: DataFrame, k: int = 5, limit: float | None = None, dim
         return copies
     sample = indexed if total <= SAMPLE else indexed.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE)
     x = np.concatenate([np.frombuffer(r["m"], np.float32).reshape(-1, dim) for r in sample.select("feat").mapInArrow(lambda it: _packed(it, dim), "m binary").collect()])
-    heads = Heads(fit_heads(x[np.lexsort(x[:, :8].T)], int(np.clip(total // LIST_ROWS, 1, MAX_LISTS))))
-    # a neighbour within the limit has its own nearest head at most twice the limit farther from here than this one's
-    slack = 2 * limit if limit is not None else 0.0
-    posted = indexed.repartition(n_parts).mapInArrow(lambda it: _post(it, heads, dim, slack), "list int, role int, vec_id long, feat array<float>")
-    found = posted.repartition(n_parts, "list").sortWithinPartitions("list").mapInArrow(lambda it: _within(it, dim, k, limit), "a long, b long, dist double")
+    if limit is not None:
+        axes, n = fit_axes(x), -(-total // BLOCK_ROWS)
+        own = indexed.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n))).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+        side = F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2)
+        cells = own.select((F.least("block", "other") * n + F.greatest("block", "other")).alias("cell"), side.alias("side"), "vec_id", "feat")
+        parts = max(n_parts, min(n * (n + 1) // 2, MAX_CELL_PARTS))
+        found = cells.repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(lambda it: _cells(it, axes, dim, k, limit), "a long, b long, dist double")
+    else:
+        heads = Heads(fit_heads(x[np.lexsort(x[:, :8].T)], int(np.clip(total // LIST_ROWS, 1, MAX_LISTS))))
+        posted = indexed.repartition(n_parts).mapInArrow(lambda it: _post(it, heads, dim), "list int, role int, vec_id long, feat array<float>")
+        found = posted.repartition(n_parts, "list").sortWithinPartitions("list").mapInArrow(lambda it: _within(it, dim, k), "a long, b long, dist double")
     best = found.groupBy("a", "b").agg(F.min("dist").alias("dist"))
     best = best.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy("dist", "b"))).where(F.col("r") <= k).drop("r")
     return best.union(copies)

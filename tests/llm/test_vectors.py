@@ -37,6 +37,23 @@ def test_recall(spark, monkeypatch):
     assert all(abs(near[p] - true[p]) < 1e-9 for p in set(near) & set(true))
 
 
+def test_dense_group_is_exact(spark, monkeypatch):
+    """A third of the vectors in one group, all within the limit, over many lists and blocks."""
+    monkeypatch.setattr(nb, "LIST_ROWS", 20)
+    monkeypatch.setattr(nb, "BLOCK_ROWS", 400)
+    monkeypatch.setattr(nb, "AXES", 12)
+    r = np.random.default_rng(3)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    x = np.concatenate([unit(unit(r.normal(size=(1, 48))) + r.normal(0, 0.025, (700, 48))), unit(np.repeat(unit(r.normal(size=(100, 48))), 14, 0) + r.normal(0, 0.03, (1400, 48))), 50 * unit(r.normal(size=(9, 48)))])
+    x = x.astype(np.float32)
+    ids = r.permutation(len(x)).astype(np.int64)
+    true = {(i, j): d for i, w in brute(ids, x.astype(float), 5).items() for j, d in w if d <= 0.38}
+    got = {(q["a"], q["b"]): q["dist"] for q in nb.most_similar(frame(spark, [(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)]), 5, 0.38, dim=48).collect()}
+    assert len([1 for i, _ in true if i in set(ids[:700].tolist())]) == 3500
+    assert set(got) == set(true)
+    assert all(abs(got[p] - true[p]) < 1e-9 for p in got)
+
+
 def test_copies_and_unusable_vectors(spark):
     one, other = [1.0, 0.0, 0.0], [0.9, 0.1, 0.0]
     rows = [(i, one) for i in range(20)] + [(50, other), (51, None), (52, [0.0] * 3), (53, [1.0, float("nan"), 0.0]), (54, [1.0, 0.0]), (55, [1.0, None, 0.0]), (None, one), (3, one), (56, [float("inf"), 0.0, 0.0])]
