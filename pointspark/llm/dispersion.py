@@ -2,14 +2,16 @@
 
 Each requested cloud is cut into tiles. A tile's core-set comes from farthest-first traversal, stopped when
 every record of the tile is within ``radius`` of a chosen one; each chosen one brings a few delegates, the
-records of its surroundings that lie farthest out. Core-sets compose: the union of the tiles' core-sets
+records of its surroundings that lie farthest out, or as many as may be chosen of one group where that is more.
+Core-sets compose: the union of the tiles' core-sets
 represents the cloud, and only it is gathered for the last step. Its size follows the number of places of
-the cloud, not that of its records.
+the cloud and of the records wanted of a place, not that of its records.
 
 On the union, records within ``radius`` of each other form a group. At most ``ceil(n / groups)`` records of a
 group may be chosen (a partition matroid, for which local search keeps its guarantee), so large groups are
 not over-represented and, when as many records are wanted as there are groups, every group is. From a
-farthest-first start, selected and unselected candidates are swapped while the total pairwise distance grows.
+farthest-first start, selected and unselected candidates are swapped until no swap makes the total pairwise
+distance grow.
 """
 
 from __future__ import annotations
@@ -26,13 +28,12 @@ from pointspark.session import cut
 
 RADIUS = 1.1
 TILE = 16.0
+#: Delegates of a group at least.
 DELEGATES = 2
 #: A tile with more records is dealt out to several parts; core-sets of parts compose like those of tiles.
 PART_ROWS = 500_000
-#: Passes over all candidates; each pass only ends the search if it found no swap.
-MAX_PASSES = 50
 
-_CORE = "cloud_id string, n_wanted int, idx long, x double, y double, z double, seed long, low long, n long"
+_CORE = "cloud_id string, n_wanted int, delegates int, idx long, x double, y double, z double, seed long, low long, n long"
 
 
 def _farthest_first(p: np.ndarray, radius: float) -> tuple[list[int], np.ndarray]:
@@ -50,7 +51,7 @@ def _farthest_first(p: np.ndarray, radius: float) -> tuple[list[int], np.ndarray
         seeds.append(k)
 
 
-def _core_set(g: pd.DataFrame, radius: float, delegates: int) -> pd.DataFrame:
+def _core_set(g: pd.DataFrame, radius: float) -> pd.DataFrame:
     g = g.drop_duplicates("idx").sort_values("idx", kind="stable")
     p = g[["x", "y", "z"]].to_numpy()
     seeds, near = _farthest_first(p, radius)
@@ -60,17 +61,17 @@ def _core_set(g: pd.DataFrame, radius: float, delegates: int) -> pd.DataFrame:
     first = np.flatnonzero(np.r_[True, near[o][1:] != near[o][:-1]])
     n = np.diff(np.r_[first, len(o)])
     rank = np.arange(len(o)) - np.repeat(first, n)
-    take = o[rank < delegates]
+    take = o[rank < g["delegates"].to_numpy()[o]]
     take = np.unique(np.r_[take, seeds])
     low = np.minimum.reduceat(g["idx"].to_numpy()[o], first)
-    out = g.iloc[take][["cloud_id", "n_wanted", "idx", "x", "y", "z"]].copy()
+    out = g.iloc[take][["cloud_id", "n_wanted", "delegates", "idx", "x", "y", "z"]].copy()
     out["seed"] = g["idx"].to_numpy()[np.array(seeds)[near[take]]]
     out["low"] = low[near[take]]
     out["n"] = n[near[take]]
     return out
 
 
-def _core_sets(batches: Iterator[pd.DataFrame], radius: float, delegates: int) -> Iterator[pd.DataFrame]:
+def _core_sets(batches: Iterator[pd.DataFrame], radius: float) -> Iterator[pd.DataFrame]:
     """Core-sets of tiles; the rows of a partition come in order of tile. A tile is cut where it gets too long."""
     held = None
     for b in batches:
@@ -81,14 +82,14 @@ def _core_sets(batches: Iterator[pd.DataFrame], radius: float, delegates: int) -
         tile = held["tile"].to_numpy()
         if tile[0] == tile[-1]:
             if len(held) >= PART_ROWS:
-                yield _core_set(held, radius, delegates)
+                yield _core_set(held, radius)
                 held = None
             continue
         last = int(np.flatnonzero(tile != tile[-1])[-1]) + 1
         done, held = held.iloc[:last], held.iloc[last:]
-        yield pd.concat([_core_set(g, radius, delegates) for _, g in done.groupby("tile", sort=False)])
+        yield pd.concat([_core_set(g, radius) for _, g in done.groupby("tile", sort=False)])
     if held is not None and len(held):
-        yield _core_set(held, radius, delegates)
+        yield _core_set(held, radius)
 
 
 def _groups(p: np.ndarray, seed: np.ndarray, radius: float) -> np.ndarray:
@@ -143,11 +144,13 @@ def local_search(p: np.ndarray, group: np.ndarray, n: int) -> tuple[np.ndarray,
         d = ((p - p[k]) ** 2).sum(1)
         best, first = (d if first else np.minimum(best, d)), False
     far = lambda k: np.sqrt(((p - p[k]) ** 2).sum(1))
-    to_all = np.zeros(m)  # distance of each candidate to all chosen ones
-    for k in np.flatnonzero(chosen):
-        to_all += far(k)
-    for _ in range(MAX_PASSES):
+    swapped = True
+    while swapped:
         swapped = False
+        to_all = np.zeros(m)  # distance of each candidate to all chosen ones, anew so that rounding does not add up to a gain
+        for k in np.flatnonzero(chosen):
+            to_all += far(k)
+        least = max(1e-9, 1e-12 * to_all.max())
         for q in np.flatnonzero(~chosen):
             if chosen[q]:
                 continue
@@ -155,17 +158,29 @@ def local_search(p: np.ndarray, group: np.ndarray, n: int) -> tuple[np.ndarray,
             out = chosen & ((group == group[q]) | (used[group[q]] < most))
             gain = np.where(out, to_all[q] - d - to_all, -np.inf)
             k = int(gain.argmax())
-            if gain[k] > 1e-9:
+            if gain[k] > least:
                 chosen[k], chosen[q] = False, True
                 used[group[k]] -= 1
                 used[group[q]] += 1
                 to_all += d - far(k)
                 swapped = True
-        if not swapped:
-            break
     return np.flatnonzero(chosen), float(to_all[chosen].sum() / 2)
 
 
+def _short(c: pd.DataFrame, radius: float) -> pd.DataFrame:
+    """The delegates a cloud needs, if groups must give more records than they sent although they have them."""
+    n, used = int(c["n_wanted"].iloc[0]), int(c["delegates"].iloc[0])
+    c = c.sort_values("idx", kind="stable").reset_index(drop=True)
+    group = _groups(c[["x", "y", "z"]].to_numpy(), c["seed"].to_numpy(), radius)
+    seeds = c.drop_duplicates("seed")
+    size = np.bincount(group[seeds.index], seeds["n"], group.max() + 1).astype(np.int64)
+    level = -(-n // len(size))
+    while (left := min(n, size.sum()) - np.minimum(size, level).sum()) > 0:  # small groups leave more to the others
+        level += -(-left // len(size))
+    need = level > used and (seeds["n"] > used).any()
+    return pd.DataFrame({"cloud_id": c["cloud_id"].iloc[:1], "delegates": np.int32(min(n, max(level, 2 * used)))})[: int(need)]
+
+
 def _select(c: pd.DataFrame, radius: float) -> pd.DataFrame:
     c = c.sort_values("idx", kind="stable").reset_index(drop=True)
     p = c[["x", "y", "z"]].to_numpy()
@@ -185,8 +200,7 @@ def varied_subset(points: DataFrame, requests: DataFrame, radius: float = RADIUS
 
     ``head_idx`` is the smallest idx of the chosen record's group and ``group_size`` the number of its records,
     counted over all of them. Of several requests for a cloud the largest holds; null clouds and null or
-    non-positive numbers are left out; a cloud with fewer candidates than wanted gives all of its candidates
-    (at least one for every group). Records without a measured position take no part, repeated records count once.
+    non-positive numbers are left out; a cloud with fewer records than wanted gives all of them. Records without a measured position take no part, repeated records count once.
     """
     wanted = requests.groupBy("cloud_id").agg(F.max("n_wanted").cast("int").alias("n_wanted")).where("n_wanted > 0")
     p = measured(points).join(wanted, "cloud_id")
@@ -197,6 +211,12 @@ def varied_subset(points: DataFrame, requests: DataFrame, radius: float = RADIUS
         part = F.pmod(F.xxhash64("idx"), F.coalesce("parts", F.lit(1)))
         p = p.join(large, "tile", "left").withColumn("tile", F.xxhash64("tile", part)).drop("parts")
     n = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    core = p.repartition(n, "tile").sortWithinPartitions("tile").mapInPandas(lambda it: _core_sets(it, radius, delegates), _CORE)
+    core_of = lambda p: p.repartition(n, "tile").sortWithinPartitions("tile").mapInPandas(lambda it: _core_sets(it, radius), _CORE)
+    short_of = lambda core: cut(core.repartition(n, "cloud_id").groupBy("cloud_id").applyInPandas(lambda g: _short(g, radius), "cloud_id string, delegates int"))
+    core = cut(core_of(p.withColumn("delegates", F.lit(delegates))))
+    short = short_of(core)
+    while not short.isEmpty():  # delegates at least double, up to the number wanted
+        core = cut(core.join(short, "cloud_id", "left_anti").union(core_of(p.join(short, "cloud_id"))))
+        short = short_of(core)
     out = "cloud_id string, idx long, x double, y double, z double, head_idx long, group_size long, total_distance double"
     return core.repartition(n, "cloud_id").groupBy("cloud_id").applyInPandas(lambda g: _select(g, radius), out)

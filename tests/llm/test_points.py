@@ -127,6 +127,22 @@ def test_every_place_is_chosen_once(spark, part_rows, monkeypatch):
     assert dispersion.varied_subset(frame(spark, []), req).count() == 0
 
 
+@pytest.mark.parametrize("part_rows", [500_000, 60])
+def test_as_many_records_as_wanted(spark, part_rows, monkeypatch):
+    monkeypatch.setattr(dispersion, "PART_ROWS", part_rows)
+    r = np.random.default_rng(6)
+    size = [300, 1, 40] + [75] * 17
+    centre = [[k % 5 * 3.5 + 0.5, k // 5 * 3.5 + 0.5, 0.5] for k in range(20)]
+    at = np.repeat(np.arange(20), size)
+    rows = [(i, "a", *map(float, centre[k] + r.uniform(-0.3, 0.3, 3)), None) for i, k in enumerate(at)]
+    rows += [(5000 + i, "b", *map(float, centre[i % 3] + r.uniform(-0.3, 0.3, 3)), None) for i in range(30)]
+    got = dispersion.varied_subset(frame(spark, rows), spark.createDataFrame([("a", 500), ("b", 99)], "cloud_id string, n_wanted int"), tile=5.0).collect()
+    a = [q["idx"] for q in got if q["cloud_id"] == "a"]
+    assert len(a) == len(set(a)) == 500 and len({q["idx"] for q in got if q["cloud_id"] == "b"}) == 30
+    n = np.bincount(at[a], minlength=20)
+    assert n[1] == 1 and n.max() <= 27 and n.min() >= 1
+
+
 def test_local_search_ends_where_no_swap_helps():
     r = np.random.default_rng(4)
     p = r.normal(size=(40, 3))
