@@ -69,28 +69,34 @@ def repeated_share(documents: DataFrame, window: int = WINDOW) -> DataFrame:
     return out.withColumn("share", F.when(F.col("n_words") > 0, F.col("n_repeated") / F.col("n_words")).otherwise(0.0))
 
 
-def line_frequency(documents: DataFrame, host: str = "repo", limit: int = 10, keep: float = 0.5, min_chars: int = 12) -> DataFrame:
-    """Cross-document line frequency: ``(doc_id, n_lines, n_removed, kept_share, depleted)``.
+def line_frequency(documents: DataFrame, host: str = "repo", limit: int = 10, keep: float = 0.5, min_chars: int = 1) -> DataFrame:
+    """Cross-document line frequency: ``(doc_id, n_lines, n_removed, kept_share, depleted, kept_text)``.
 
     A line is normalised (lower case, digits as 0, runs of blanks as one, ends trimmed) and counts if at least
-    ``min_chars`` are left. Lines that more than ``limit`` distinct documents of one host hold are removed; a
-    document is depleted if less than ``keep`` of its counted lines remain. A null host is a host of its own;
-    documents without lines have share 1. Counts are pre-aggregated on (host, line), so a hot host is spread over
+    ``min_chars`` are left, so by default all but blank lines do. Lines that more than ``limit`` distinct documents of
+    one host hold are removed; a document is depleted if less than ``keep`` of its counted lines remain. ``kept_text``
+    is the text without the removed lines, the others as they were, with their line ends. A null host is a host of its
+    own; documents without lines have share 1. Counts are pre-aggregated on (host, line), so a hot host is spread over
     its lines and a hot line is one partial count a task.
     """
     h = F.coalesce(F.col(host).cast("string"), F.lit("\u0000"))
-    norm = F.transform(
-        F.split(F.coalesce("text", F.lit("")), "\r\n|\n|\r"),
-        lambda s: F.trim(F.regexp_replace(F.regexp_replace(F.lower(s), r"\d", "0"), r"\s+", " ")),
-    )
-    lines = F.transform(F.filter(norm, lambda s: F.length(s) >= min_chars), lambda s: F.xxhash64(h, s))
-    d = cut(documents.where(F.col("doc_id").isNotNull()).select("doc_id", lines.alias("lines")))
+    split = F.regexp_extract_all("text", F.lit("([^\\r\\n]*(?:\\r\\n|\\n|\\r)|[^\\r\\n]+)"), F.lit(1))  # with line ends
+    norm = lambda s: F.trim(F.regexp_replace(F.regexp_replace(F.lower(s), r"\d", "0"), r"\s+", " "))
+    # a line that does not count has no hash
+    hashes = F.transform(F.transform(split, norm), lambda s: F.when(F.length(s) >= min_chars, F.xxhash64(h, s)))
+    lines = F.coalesce(F.filter(hashes, lambda x: x.isNotNull()), F.array().cast("array<bigint>"))
+    known = documents.where(F.col("doc_id").isNotNull())
+    d = cut(known.select("doc_id", lines.alias("lines")))
     often = (
         d.select(F.explode(F.array_distinct("lines")).alias("line")).groupBy("line").count().where(F.col("count") > limit).select("line")
     )
     counted = d.select("doc_id", F.explode("lines").alias("line")).groupBy("doc_id", "line").count()
-    gone = counted.join(often, "line", "left_semi").groupBy("doc_id").agg(F.sum("count").alias("n_removed"))
-    out = d.select("doc_id", F.size("lines").cast("long").alias("n_lines")).join(gone, "doc_id", "left")
-    out = out.withColumn("n_removed", F.coalesce("n_removed", F.lit(0)).cast("long"))
+    gone = counted.join(often, "line", "left_semi").groupBy("doc_id").agg(F.sum("count").alias("n_removed"), F.collect_set("line").alias("gone"))
+    # texts are read again and hashed again where lines go, as texts and hashes together would double what is written
+    texts = known.select("doc_id", "text", F.col(host).alias(host), F.size(lines).cast("long").alias("n_lines"))
+    out = texts.join(gone, "doc_id", "left").withColumn("n_removed", F.coalesce("n_removed", F.lit(0)).cast("long"))
+    stays = F.filter(F.arrays_zip(split.alias("s"), hashes.alias("h")), lambda x: x["h"].isNull() | ~F.array_contains("gone", x["h"]))
+    kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stays, lambda x: x["s"]), ""))
+    out = out.select("doc_id", "n_lines", "n_removed", kept.alias("kept_text"))
     share = F.when(F.col("n_lines") > 0, 1 - F.col("n_removed") / F.col("n_lines")).otherwise(1.0)
-    return out.withColumn("kept_share", share).withColumn("depleted", share < keep)
+    return out.select("doc_id", "n_lines", "n_removed", share.alias("kept_share"), (share < keep).alias("depleted"), "kept_text")

@@ -54,6 +54,17 @@ def test_line_frequency(spark):
     assert got[12]["n_removed"] == 0 and got[22]["n_removed"] == 0 and got[20]["kept_share"] == 1.0 and len(got) == 17
 
 
+def test_short_lines_count_and_the_rest_is_kept(spark):
+    rows = [(i, f" Fix {i}\r\n\r\nmerge\n", "r", 1, "") for i in range(7)]
+    rows += [(10, "MERGE\rown Line \n\n\tfix  9\nend", "r", 1, ""), (11, "merge\n", "q", 1, ""), (12, " \n\n", "r", 1, ""), (13, None, "r", 1, "")]
+    got = {q["doc_id"]: q for q in repetition.line_frequency(spark.createDataFrame(rows, D), limit=5).collect()}
+    assert len(got) == 11
+    assert all((got[i]["n_lines"], got[i]["n_removed"], got[i]["kept_share"], got[i]["depleted"], got[i]["kept_text"]) == (2, 2, 0.0, True, "\r\n") for i in range(7))
+    assert (got[10]["n_lines"], got[10]["n_removed"], got[10]["depleted"], got[10]["kept_text"]) == (4, 2, False, "own Line \n\nend")
+    assert got[11]["kept_text"] == "merge\n" and got[12]["kept_text"] == " \n\n" and got[13]["kept_text"] is None
+    assert [(got[i]["n_lines"], got[i]["kept_share"]) for i in (11, 12, 13)] == [(1, 1.0), (0, 1.0), (0, 1.0)]
+
+
 def best(c, items):
     items = sorted(items, reverse=True)
     top = [len(items)]
