@@ -291,7 +291,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], radius: float, min_size: int) ->
 
 
 def _sides(tile: float, radius: float, origin: float) -> list[tuple]:
-    """For each axis the tile of a record, and those of the places a radius below and above it."""
+    """For each axis the tile of a record, and those of the places ``radius`` below and above it."""
     out = []
     for c in "xyz":
         s = (F.col(c) + origin) / tile
@@ -300,7 +300,10 @@ def _sides(tile: float, radius: float, origin: float) -> list[tuple]:
 
 
 def _tiled(points: DataFrame, tile: float, radius: float, block_rows: int) -> DataFrame:
-    """Records by block; those within the radius of a face go to the neighbouring block too.
+    """Records by block; those near a face go to the neighbouring block too.
+
+    Near is the radius and twice the edge of a clique's cell: a clique that a face divides and the cliques linked to it are
+    then whole in each block that owns a part of it, and flows do not depend on the tiles.
 
     Tiles with more than ``block_rows`` records are divided into ``FINE`` parts along each axis, so that no block holds
     more than a dense spot of a hot cloud. They are found by counting, partial counts first.
@@ -311,12 +314,12 @@ def _tiled(points: DataFrame, tile: float, radius: float, block_rows: int) -> Da
     own = [a[0] for a in _sides(tile, radius, tile / 2)]
     hot = cut(p.groupBy(F.xxhash64("cloud_id", *own).alias("block")).count().where(F.col("count") > block_rows).select("block", F.lit(True).alias("hot")))
     divided = not hot.isEmpty()
-    axes = _sides(tile / FINE if divided else tile, radius, tile / 2)
+    axes = _sides(tile / FINE if divided else tile, radius * (1 + 2 / 3**0.5), tile / 2)
     inner = F.lit(True)
     for at, low, high in axes:
         inner = inner & (low == at) & (high == at)
     one = F.array(F.struct(*(at.alias(c) for c, (at, _, _) in zip("abc", axes, strict=True))))
-    sides = [F.array_distinct(F.array(*a)) for a in axes]
+    sides = [F.sequence(low, high) for _, low, high in axes]
     many = F.flatten(
         F.transform(sides[0], lambda a: F.flatten(F.transform(sides[1], lambda b: F.transform(sides[2], lambda c: F.struct(a.alias("a"), b.alias("b"), c.alias("c"))))))
     )
@@ -384,8 +387,8 @@ def _stitched(links: DataFrame) -> DataFrame:
 def clusters(points: DataFrame, radius: float = RADIUS, min_size: int = MIN_SIZE, tile: float = TILE, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Members of all groups of at least ``min_size`` records: ``(head_idx, idx, flow)``.
 
-    ``head_idx`` is the smallest idx of the group; ``flow`` is what the record's row of the link matrix
-    receives, large for typical members. Records without idx, cloud or measured position take no part;
+    ``head_idx`` is the smallest idx of the group; ``flow`` is what the record's row of the first link matrix
+    receives (its weighted degree, before squaring and inflation), large for typical members. Records without idx, cloud or measured position take no part;
     a missing label or -1 differs from none; repeated records count once; an empty table gives no rows;
     further columns are ignored.
     """

@@ -61,6 +61,15 @@ def test_clusters_are_the_linked_groups(spark, tile, block_rows):
     assert set(got) == linked(rows, 0.5, 10)
 
 
+def test_flow_does_not_depend_on_tiles(spark):
+    r = np.random.default_rng(8)
+    rows = [(i, "a", *map(float, [32.0, 32.0, 0.5] + r.normal(0, 0.6, 3)), [None, 1, 2][i % 3]) for i in range(300)]
+    flows = [{q["idx"]: q["flow"] for q in markov.clusters(frame(spark, rows), tile=t, block_rows=n).collect()} for t, n in ((1000.0, 10**6), (64.0, 10**6), (16.0, 20))]
+    assert len(flows[0]) > 200
+    for f in flows[1:]:
+        assert f.keys() == flows[0].keys() and all(abs(f[i] - v) < 1e-9 for i, v in flows[0].items())
+
+
 def test_typical_members(spark):
     rows = scene(2)
     d = markov.described(frame(spark, rows)).collect()
