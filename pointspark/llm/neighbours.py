@@ -1,21 +1,19 @@
-"""The most similar vectors for every vector: exact within a limit on the distance, else by balanced posting lists.
-
-With a limit every pair is looked at. Vectors are dealt into blocks by a hash of the id, so that no group, however dense,
-makes a block large; each two blocks meet in one place. There the first axes of a rotation (principal axes of a bounded
-sample), which never lengthen a distance, leave only pairs that may be within the limit. In many dimensions bounds on whole
-lists leave out next to none, so the work grows with the square of the vectors.
-
-Without a limit the search is approximate:
-
-* A bounded sample is split by balanced k-means, node by node, until each leaf has its share; the leaves'
-  centres are the heads of posting lists. Dense regions get as many lists as their part of the sample, so
-  lists stay balanced where many vectors are alike.
-* Heads are searched by a graph of their nearest heads, held in memory, from a few entry points (beam search,
-  many vectors at a time).
-* A vector is stored in its nearest lists: those whose head is at most ``1 + closure`` times as far as the
-  nearest one, unless a list already taken has its head within ``spread`` times the vector's distance of that head.
-* A vector looks into the lists whose head is at most ``1 + ratio`` times as far as the nearest one, 8 at most.
-* Within a list single precision preselects, double precision decides; results of the lists are merged.
+"""The most similar vectors for every vector by balanced posting lists.
+
+* A bounded sample is split by balanced k-means, node by node, until each leaf has its share; the leaves' centres are the
+  heads of posting lists. Dense regions get as many lists as their part of the sample. A leaf whose vectors lie within the
+  limit of each other is not split: in many dimensions no division of such a group keeps neighbours together.
+* Heads are searched by a graph of their nearest heads, held in memory, from a few entry points (beam search, many vectors
+  at a time); a vector that may have more lists to look into than the beam holds is compared with all heads.
+* A vector goes to its nearest list and, near a boundary, to several: list j with head h_j is pruned by the ratio of the
+  distances d_j and d_1 to its head and the nearest one, as (d_j / d_1)^2 > 1 + 2 slack |h_j - h_1| / d_1^2 means that the
+  vector is farther than ``slack`` from the boundary of the two lists. The number of lists is not limited. It is stored in
+  all of them and looks into all of them, so two vectors miss each other only if their difference goes straight across a
+  boundary by more than twice the slack.
+* A list that would be too long for one task is dealt into blocks by a hash of the id, each two of which meet once; a long
+  block is divided again by lists of its own, fitted where it lies, unless it is one dense group.
+* Within a list the first principal axes, which never lengthen a distance, leave only pairs that may be within the limit;
+  single precision preselects, double precision decides; results of the lists are merged.
 
 Exact copies are taken out first. Of copies only the k + 1 with the smallest vec_id are indexed: no other can
 be among anyone's k nearest, and the nearest of the others are these.
@@ -26,27 +24,27 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pointspark.session import cut
+from pointspark.llm.words import mixed
+from pointspark.session import BROADCAST_ROWS, cut
 
 DIM = 352
-#: The heads, or the axes, are fitted on at most so many vectors, those of smallest hash.
+#: Heads and axes are fitted on about so many vectors, chosen by a hash of the id.
 SAMPLE = 20_000
-#: Vectors of a list in the mean, before replication; at most so many lists.
-LIST_ROWS, MAX_LISTS = 256, 4096
-CLOSURE, REPLICAS, SPREAD = 0.10, 4, 0.5
-RATIO, PROBES = 0.15, 8
-DEGREE, BEAM, STEPS = 16, 16, 24
+#: Vectors of a list in the mean, before replication; vectors of the sample that a list stands for at least.
+LIST_ROWS, LEAF = 512, 4
+#: Width of the band along the boundary of two lists whose vectors go to both, as a part of the limit.
+SLACK = 0.12
+DEGREE, BEAM, AT_ONCE = 12, 16, 4
 #: Pairs whose distance is worked out at a time.
 EXACT = 4096
-#: Vectors of a block in the mean; axes that preselect; pairs of one vector in a block up to which all are worked out.
-BLOCK_ROWS, AXES, FEW = 8192, 64, 64
-#: Tasks for the cells, each two blocks that meet, at most.
-MAX_CELL_PARTS = 4096
+#: Vectors of a block at most, as far as the sample tells; of a cell that is not divided again.
+BLOCK_ROWS, FINE_ROWS = 16_384, 4096
+#: Axes that preselect; pairs of one vector in a list up to which all are worked out.
+AXES, FEW = 64, 64
 
 
 def usable(feat: Column, dim: int) -> Column:
@@ -69,15 +67,16 @@ def _sq(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T, 0)
 
 
-def fit_heads(x: np.ndarray, n_lists: int, seed: int = 5) -> np.ndarray:
-    """Centres of the leaves of a balanced k-means tree over the sample."""
+def fit_heads(x: np.ndarray, n_lists: int, near: float, seed: int = 5) -> np.ndarray:
+    """Centres of the leaves of a balanced k-means tree over the sample; vectors that in the mean are within ``near`` of each
+    other are one leaf, and leaves that balancing made of one such group are put together again."""
     rng = np.random.default_rng(seed)
     leaf = max(1, len(x) // max(1, n_lists))
-    heads, todo = [], [np.arange(len(x))]
+    leaves, todo = [], [np.arange(len(x))]
     while todo:
         at = todo.pop()
-        if len(at) <= leaf:
-            heads.append(x[at].mean(0))
+        if len(at) <= leaf or 2 * _sq(x[at], x[at].mean(0)[None]).mean() <= near * near:  # of all pairs, in the mean
+            leaves.append(at)
             continue
         k = int(min(8, max(2, round(len(at) / leaf)), len(at)))
         c = x[rng.choice(at, k, replace=False)]
@@ -97,14 +96,22 @@ def fit_heads(x: np.ndarray, n_lists: int, seed: int = 5) -> np.ndarray:
         if len(parts) == 1:  # all alike
             parts = np.array_split(at, k)
         todo += parts
-    return np.stack(heads).astype(np.float32)
+    heads = np.stack([x[at].mean(0) for at in leaves])
+    spread = np.array([_sq(x[at], h[None]).mean() for at, h in zip(leaves, heads, strict=True)])
+    dense = np.flatnonzero(spread <= near * near)
+    root = np.arange(len(dense))
+    for k, i in enumerate(dense):  # the mean of squared distances between two leaves
+        one = np.flatnonzero(spread[i] + spread[dense[: k + 1]] + _sq(heads[i : i + 1], heads[dense[: k + 1]])[0] <= near * near)
+        root[np.isin(root, root[np.r_[one, k]])] = root[np.r_[one, k]].min()
+    merged = [x[np.concatenate([leaves[dense[k]] for k in np.flatnonzero(root == r)])].mean(0) for r in np.unique(root)]
+    return np.concatenate([np.delete(heads, dense, 0), np.reshape(merged, (-1, x.shape[1]))]).astype(np.float32)
 
 
 class Heads:
     """The heads of all lists with their graph."""
 
-    def __init__(self, centres: np.ndarray, seed: int = 5):
-        self.c = centres
+    def __init__(self, centres: np.ndarray, slack: float, seed: int = 5):
+        self.c, self.slack = centres, slack
         n = len(centres)
         self.norm = (centres * centres).sum(1)
         g = min(DEGREE, max(1, n - 1))
@@ -113,86 +120,97 @@ class Heads:
             d = _sq(centres[at : at + 1024], centres)
             d[np.arange(len(d)), np.arange(at, at + len(d))] = np.inf if n > 1 else 0
             near[at : at + 1024] = np.argpartition(d, g - 1, axis=1)[:, :g]
-        # a few far edges keep the graph connected
-        far = np.random.default_rng(seed).integers(0, n, (n, 4), np.int32)
-        self.edge = np.concatenate([near, far], 1)
+        # a few far edges keep the graph connected; an edge given twice leads nowhere
+        edge = np.concatenate([near, np.random.default_rng(seed).integers(0, n, (n, 4), np.int32)], 1)
+        for k in range(1, edge.shape[1]):
+            again = (edge[:, :k] == edge[:, k : k + 1]).any(1)
+            edge[again, k] = np.flatnonzero(again)
+        self.edge = edge
         self.entry = np.unique(np.linspace(0, n - 1, min(n, 48)).astype(np.int64))
 
     def nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The BEAM nearest heads of each row found by the graph, and their distances, ascending (inf: none)."""
+        """The BEAM nearest heads of each row found by the graph, and their distances, ascending (-1 and inf: none)."""
         n, m = len(x), len(self.c)
         norm = (x * x).sum(1)
         seen = np.zeros((n, m), bool)
-        beam = min(BEAM, m)
         d = np.maximum(norm[:, None] + self.norm[self.entry] - 2 * x @ self.c[self.entry].T, 0)
-        o = np.argsort(d, axis=1, kind="stable")[:, :beam]
-        ids = self.entry[o]
-        d = np.take_along_axis(d, o, 1)
-        if ids.shape[1] < beam:
-            ids = np.pad(ids, ((0, 0), (0, beam - ids.shape[1])), constant_values=-1)
-            d = np.pad(d, ((0, 0), (0, beam - d.shape[1])), constant_values=np.inf)
+        ids = np.broadcast_to(self.entry, d.shape)
+        if (short := BEAM - d.shape[1]) > 0:
+            ids = np.pad(ids, ((0, 0), (0, short)), constant_values=-1)
+            d = np.pad(d, ((0, 0), (0, short)), constant_values=np.inf)
+        o = np.argsort(d, axis=1, kind="stable")[:, :BEAM]
+        ids, d = np.take_along_axis(ids, o, 1), np.take_along_axis(d, o, 1)
         seen[:, self.entry] = True
         done = ids < 0
-        for _ in range(STEPS):
-            rows = np.flatnonzero(~done.all(1))
-            if not len(rows):
-                break
-            pick = np.where(done[rows], np.inf, d[rows]).argmin(1)
-            done[rows, pick] = True
-            nb = self.edge[ids[rows, pick]]
-            new = ~np.take_along_axis(seen[rows], nb, 1)
-            seen[rows[:, None], nb] = True
-            dist = np.full(nb.shape, np.inf, d.dtype)
+        while len(rows := np.flatnonzero(~done.all(1))):
+            pick = np.argsort(done[rows], axis=1, kind="stable")[:, :AT_ONCE]  # the nearest that were not followed yet
+            idle = np.take_along_axis(done[rows], pick, 1)
+            done[rows[:, None], pick] = True
+            nb = self.edge[np.take_along_axis(ids[rows], pick, 1)]
+            nb[idle] = -1
+            nb = np.sort(nb.reshape(len(rows), -1), axis=1)
+            new = nb >= 0
+            new[:, 1:] &= nb[:, 1:] != nb[:, :-1]
+            new &= ~np.take_along_axis(seen[rows], np.maximum(nb, 0), 1)
             i, j = np.nonzero(new)
-            if len(i):
-                k = nb[i, j]
-                dist[i, j] = np.maximum(norm[rows[i]] + self.norm[k] - 2 * np.einsum("ij,ij->i", x[rows[i]], self.c[k]), 0)
+            k = nb[i, j]
+            seen[rows[i], k] = True
+            dist = np.full(nb.shape, np.inf, d.dtype)
+            dist[i, j] = np.maximum(norm[rows[i]] + self.norm[k] - 2 * np.einsum("ij,ij->i", x[rows[i]], self.c[k]), 0)
             all_d = np.concatenate([d[rows], dist], 1)
-            all_i = np.concatenate([ids[rows], nb], 1)
-            all_done = np.concatenate([done[rows], np.isinf(dist)], 1)
-            o = np.argsort(all_d, axis=1, kind="stable")[:, :beam]
+            all_i = np.concatenate([ids[rows], np.where(new, nb, -1)], 1)
+            all_done = np.concatenate([done[rows], ~new], 1)
+            o = np.argsort(all_d, axis=1, kind="stable")[:, :BEAM]
             d[rows] = np.take_along_axis(all_d, o, 1)
             ids[rows] = np.take_along_axis(all_i, o, 1)
             done[rows] = np.take_along_axis(all_done, o, 1)
-        twice = np.zeros(ids.shape, bool)  # an edge given twice
-        for k in range(1, ids.shape[1]):
-            twice[:, k] = (ids[:, :k] == ids[:, k : k + 1]).any(1)
-        return np.where(twice, -1, ids), np.where(twice | (ids < 0), np.inf, np.sqrt(d))
+        return ids, np.sqrt(d)
+
+    def lists(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, list): each vector's nearest list and those whose boundary with it is at most ``slack`` away.
 
-    def lists(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, list, role) of each vector: role 1 stored there, 2 looks there, 3 both."""
+        No head that is more than twice the slack farther than the nearest one can be among them. Where the beam ends
+        before that, the vector is compared with all heads.
+        """
         ids, d = self.nearest(x)
-        first = np.min(d, axis=1, keepdims=True)
-        o = np.argsort(d, axis=1, kind="stable")
-        ids, d = np.take_along_axis(ids, o, 1), np.take_along_axis(d, o, 1)
-        rank = np.arange(ids.shape[1])[None]
-        look = (d <= first * (1 + RATIO)) & (rank < PROBES)
-        store = np.zeros_like(look)
-        store[:, 0] = True
-        near = d <= first * (1 + CLOSURE)
-        for k in range(1, ids.shape[1]):
-            ok = near[:, k] & (store.sum(1) < REPLICAS)
-            rows = np.flatnonzero(ok)
-            if not len(rows):
-                continue
-            for j in range(k):
-                a, b = self.c[ids[rows, k]], self.c[ids[rows, j]]
-                nearer = ((a - b) ** 2).sum(1) < (SPREAD * d[rows, k]) ** 2
-                ok[rows[nearer & store[rows, j]]] = False
-            store[:, k] |= ok
-        role = (store + 2 * look).astype(np.int32)
-        role[np.isinf(d)] = 0
-        i, j = np.nonzero(role)
-        return i, ids[i, j].astype(np.int32), role[i, j]
-
-
-def _post(batches: Iterator[pa.RecordBatch], heads: Heads, dim: int) -> Iterator[pa.RecordBatch]:
+        short = (d[:, -1] <= d[:, 0] + 2 * self.slack) & (len(self.c) > BEAM)
+        row, lists = self._banded(np.flatnonzero(~short), ids[~short], d[~short])
+        if short.any():
+            d = np.sqrt(_sq(x[short], self.c))
+            o = np.argsort(d, axis=1, kind="stable")
+            more = self._banded(np.flatnonzero(short), o, np.take_along_axis(d, o, 1))
+            row, lists = np.concatenate([row, more[0]]), np.concatenate([lists, more[1]])
+        return row, lists
+
+    def _banded(self, rows: np.ndarray, ids: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        i, j = np.nonzero((d <= d[:, :1] + 2 * self.slack) & np.isfinite(d))
+        gap = self.c[ids[i, j]] - self.c[ids[i, 0]]
+        ok = (j == 0) | (d[i, j] ** 2 - d[i, 0] ** 2 <= 2 * self.slack * np.sqrt(np.einsum("ij,ij->i", gap, gap)))
+        return rows[i[ok]], ids[i[ok], j[ok]]
+
+
+def _lists(heads: Heads, x: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for at in range(0, len(x), 512):
+        i, lists = heads.lists(x[at : at + 512])
+        yield i + at, lists
+
+
+def _post(batches: Iterator[pa.RecordBatch], heads: Heads, blocks: np.ndarray, dim: int) -> Iterator[pa.RecordBatch]:
+    """Rows (cell, side, vec_id, feat). A list of one block is one cell (side 0). Of a list of several blocks each two meet
+    in a cell, a block being side 1 or 2 of it, or side 0 of its own."""
+    base = np.r_[0, np.cumsum(blocks * blocks)[:-1]]
     for b in batches:
-        x = _matrix(b.column(1), dim).astype(np.float32)
-        for at in range(0, len(x), 512):
-            i, lists, role = heads.lists(x[at : at + 512])
-            rows = pa.array(i + at)
-            yield pa.RecordBatch.from_arrays([pa.array(lists), pa.array(role), b.column(0).take(rows), b.column(1).take(rows)], names=["list", "role", "vec_id", "feat"])
+        x, ids = _matrix(b.column(1), dim).astype(np.float32), b.column(0).to_numpy()
+        for i, lists in _lists(heads, x):
+            n = blocks[lists]
+            own = (mixed(ids[i].astype(np.uint64)) % n.astype(np.uint64)).astype(np.int64)
+            row = np.repeat(np.arange(len(i)), n)
+            other = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            own, at = own[row], lists[row]
+            cell = base[at] + np.minimum(own, other) * blocks[at] + np.maximum(own, other)
+            side = np.where(own == other, 0, np.where(own < other, 1, 2))
+            rows = pa.array(i[row])
+            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(side, pa.int32()), b.column(0).take(rows), b.column(1).take(rows)], names=["cell", "side", "vec_id", "feat"])
 
 
 def _exact(x: np.ndarray, i: np.ndarray, y: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -230,27 +248,6 @@ def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield pa.concat_tables(held)
 
 
-def _within(batches: Iterator[pa.RecordBatch], dim: int, k: int) -> Iterator[pa.RecordBatch]:
-    """The k nearest stored vectors of each vector that looks into a list; lists come one after the other."""
-    for t in _runs(batches, "list"):
-        role, ids, x = t.column("role").to_numpy(), t.column("vec_id").to_numpy(), _matrix(t.column("feat"), dim)
-        q, s = np.flatnonzero(role >= 2), np.flatnonzero(role % 2 == 1)
-        s = s[np.argsort(ids[s], kind="stable")]
-        xs = x[s].astype(np.float32)
-        ns = (xs * xs).sum(1)
-        for at in range(0, len(q), 512):
-            p = q[at : at + 512]
-            xq = x[p].astype(np.float32)
-            nq = (xq * xq).sum(1)
-            d = nq[:, None] + ns[None] - 2 * xq @ xs.T
-            d[ids[p][:, None] == ids[s][None]] = np.inf
-            margin = 1e-5 * (nq + (ns.max() if len(ns) else 0)) + 1e-6
-            m = min(k, len(s))
-            kth = np.partition(d, m - 1, axis=1)[:, m - 1] if m else np.zeros(len(p))
-            i, j = np.nonzero((d <= (kth + 2 * margin)[:, None]) & np.isfinite(d))
-            yield _first(ids[p[i]], ids[s[j]], _exact(x, p[i], x, s[j]), k)
-
-
 def fit_axes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(mean, the AXES orthonormal directions of largest variance)."""
     x = x.astype(np.float64)
@@ -293,21 +290,37 @@ def _pairs(x: np.ndarray, px: np.ndarray, y: np.ndarray, py: np.ndarray, k: int,
         yield i + at, j
 
 
-def _cells(batches: Iterator[pa.RecordBatch], axes: tuple[np.ndarray, np.ndarray], dim: int, k: int, limit: float) -> Iterator[pa.RecordBatch]:
+def _parts(flat: np.ndarray, near: float, slack: float) -> list[np.ndarray]:
+    """The rows of a cell: all of them together, or those of its finer lists where it is long."""
+    if len(flat) <= FINE_ROWS:
+        return [np.arange(len(flat))]
+    heads = Heads(fit_heads(flat, len(flat) // LIST_ROWS, near), slack)
+    if len(heads.c) == 1:
+        return [np.arange(len(flat))]
+    found = list(_lists(heads, flat))
+    row, at = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+    o = np.argsort(at, kind="stable")
+    return np.split(row[o], np.flatnonzero(np.diff(at[o])) + 1)
+
+
+def _cells(batches: Iterator[pa.RecordBatch], axes: tuple[np.ndarray, np.ndarray], dim: int, k: int, limit: float, near: float, slack: float) -> Iterator[pa.RecordBatch]:
     """The k nearest within the limit of each vector among those of the other block, or of its own in a cell of one block."""
     mean, turn = axes
     for t in _runs(batches, "cell"):
-        side, ids, x = t.column("side").to_numpy(), t.column("vec_id").to_numpy(), _matrix(t.column("feat"), dim).astype(np.float32)
+        ids = t.column("vec_id").to_numpy()
+        once = np.unique(ids, return_index=True)[1]  # a repeated row counts once
+        ids, side, x = ids[once], t.column("side").to_numpy()[once], _matrix(t.column("feat"), dim).astype(np.float32)[once]
         flat = ((x - mean) @ turn).astype(np.float32)
-        here = [np.flatnonzero(side == n) for n in (0, 1, 2)]
-        for f, g in ((0, 0), (1, 2), (2, 1)):
-            q, s = here[f], here[g]
-            if len(q) and len(s):
-                xs, fs = x[s], flat[s]
-                for i, j in _pairs(x[q], flat[q], xs, fs, k, limit, f == 0):
-                    e = _exact(x, q[i], xs, j)
-                    ok = e <= limit
-                    yield _first(ids[q[i[ok]]], ids[s[j[ok]]], e[ok], k)
+        for rows in _parts(flat, near, slack):
+            here = [rows[side[rows] == n] for n in (0, 1, 2)]
+            for f, g in ((0, 0), (1, 2), (2, 1)):
+                q, s = here[f], here[g]
+                if len(q) and len(s):
+                    xs, fs = x[s], flat[s]
+                    for i, j in _pairs(x[q], flat[q], xs, fs, min(k, len(s)), limit, f == 0):
+                        e = _exact(x, q[i], xs, j)
+                        ok = e <= limit
+                        yield _first(ids[q[i[ok]]], ids[s[j[ok]]], e[ok], k)
 
 
 def _packed(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[pa.RecordBatch]:
@@ -315,40 +328,56 @@ def _packed(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_arrays([pa.array([_matrix(b.column(0), dim).astype(np.float32).tobytes()], pa.binary())], names=["m"])
 
 
+def _usual(x: np.ndarray, k: int) -> float:
+    """The distance within which nine of ten vectors of a sample have their k-th nearest."""
+    n = min(1000, len(x))
+    d = np.partition(_sq(x[:n], x), min(k, len(x) - 1), axis=1)[:, min(k, len(x) - 1)]
+    return float(np.sqrt(np.quantile(d, 0.9)))
+
+
 def most_similar(vectors: DataFrame, k: int = 5, limit: float | None = None, dim: int = DIM, id_col: str = "vec_id", vec_col: str = "feat") -> DataFrame:
     """``(a, b, dist)``: for each vector a its k nearest others by L2 in double precision, ties by smaller id.
 
-    With ``limit`` only neighbours at most so far away come out, and all of them. Vectors that are null, of wrong length, not finite
-    or all zero, and null ids, take no part; a repeated id counts once; extra columns are ignored. Without ``limit``
-    the search is approximate, as a neighbour is found only in a list that both reach; distances are exact.
+    With ``limit`` only neighbours at most so far away come out. Vectors that are null, of wrong length, not finite
+    or all zero, and null ids, take no part; a repeated id counts once (of different vectors under one id the one of
+    largest hash counts); extra columns are ignored. The search is approximate, as a neighbour is found only in a list that
+    both reach; distances are exact. Without ``limit`` the band along the boundaries is as wide as for the distance within
+    which nine of ten vectors of the sample have their k-th nearest in it.
     """
     spark = vectors.sparkSession
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     v = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<float>").alias("feat"))
-    v = cut(v.where(F.col("vec_id").isNotNull() & usable(F.col("feat"), dim)).groupBy("vec_id").agg(F.max("feat").alias("feat")).withColumn("copy", F.xxhash64("feat")))
-    # the smallest ids of each set of copies; the limit of the window works before its shuffle
-    low = v.select("copy", "vec_id").withColumn("rank", F.row_number().over(Window.partitionBy("copy").orderBy("vec_id"))).where(F.col("rank") <= k + 1)
-    low = cut(low)
+    v = v.where(F.col("vec_id").isNotNull() & usable(F.col("feat"), dim)).withColumn("copy", F.xxhash64("feat"))
+    # ids and hashes only; the vectors themselves are read again where they are needed
+    ids = cut(v.groupBy("vec_id").agg(F.max("copy").alias("copy"), F.min("copy").alias("other")))
+    low = ids.select("copy", "vec_id").withColumn("rank", F.row_number().over(Window.partitionBy("copy").orderBy("vec_id"))).where(F.col("rank") <= k + 1)
+    low = cut(low)  # the smallest ids of each set of copies; the limit of the window works before its shuffle
     many = low.where(F.col("rank") == k + 1).select("copy", F.col("vec_id").alias("last"))
-    rest = v.select("copy", "vec_id").join(many, "copy").where("vec_id > last")
+    rest = ids.select("copy", "vec_id").join(many, "copy").where("vec_id > last")
     copies = rest.join(low.where(F.col("rank") <= k).select("copy", F.col("vec_id").alias("b")), "copy").select(F.col("vec_id").alias("a"), "b", F.lit(0.0).alias("dist"))
-    indexed = v.join(many, "copy", "left").where("last IS NULL OR vec_id <= last").select("vec_id", "feat")
-    total = low.count()
+    # what is not indexed: copies beyond the first, and other vectors under the same id
+    out = rest.select("vec_id", F.lit(None).cast("long").alias("copy")).union(ids.where("other <> copy").select("vec_id", "copy"))
+    out = cut(out.select(F.col("vec_id").alias("o_id"), F.col("copy").alias("o_copy")))
+    n_out, total = out.count(), low.count()
     if not total:
         return copies
-    sample = indexed if total <= SAMPLE else indexed.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE)
-    x = np.concatenate([np.frombuffer(r["m"], np.float32).reshape(-1, dim) for r in sample.select("feat").mapInArrow(lambda it: _packed(it, dim), "m binary").collect()])
-    if limit is not None:
-        axes, n = fit_axes(x), -(-total // BLOCK_ROWS)
-        own = indexed.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n))).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-        side = F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2)
-        cells = own.select((F.least("block", "other") * n + F.greatest("block", "other")).alias("cell"), side.alias("side"), "vec_id", "feat")
-        parts = max(n_parts, min(n * (n + 1) // 2, MAX_CELL_PARTS))
-        found = cells.repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(lambda it: _cells(it, axes, dim, k, limit), "a long, b long, dist double")
-    else:
-        heads = Heads(fit_heads(x[np.lexsort(x[:, :8].T)], int(np.clip(total // LIST_ROWS, 1, MAX_LISTS))))
-        posted = indexed.repartition(n_parts).mapInArrow(lambda it: _post(it, heads, dim), "list int, role int, vec_id long, feat array<float>")
-        found = posted.repartition(n_parts, "list").sortWithinPartitions("list").mapInArrow(lambda it: _within(it, dim, k), "a long, b long, dist double")
-    best = found.groupBy("a", "b").agg(F.min("dist").alias("dist"))
+    indexed = v
+    if n_out:
+        small = F.broadcast(out) if n_out <= BROADCAST_ROWS else out
+        indexed = v.join(small, (F.col("vec_id") == F.col("o_id")) & (F.col("o_copy").isNull() | (F.col("copy") != F.col("o_copy"))), "left_anti")
+    indexed = indexed.select("vec_id", "feat")
+    share = SAMPLE / total
+    sample = indexed if share >= 1 else indexed.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 32)) < int(share * (1 << 32)))
+    x = np.concatenate([np.frombuffer(r["m"], np.float32).reshape(-1, dim) for r in sample.select("feat").mapInArrow(lambda it: _packed(it, dim), "m binary").collect()] or [np.zeros((1, dim), np.float32)])
+    x = x[np.lexsort(x[:, :8].T)]
+    axes = fit_axes(x)
+    near = limit if limit is not None else _usual(x, k)
+    most, slack = np.inf if limit is None else limit, SLACK * near
+    heads = Heads(fit_heads(x, max(1, min(total // LIST_ROWS, len(x) // LEAF)), near), slack)
+    in_sample = np.bincount(np.concatenate([at for _, at in _lists(heads, x)]), minlength=len(heads.c))
+    blocks = np.maximum(1, np.ceil(in_sample * (total / len(x)) / BLOCK_ROWS)).astype(np.int64)
+    posted = indexed.mapInArrow(lambda it: _post(it, heads, blocks, dim), "cell long, side int, vec_id long, feat array<float>")
+    found = posted.repartition(n_parts, "cell").sortWithinPartitions("cell").mapInArrow(lambda it: _cells(it, axes, dim, k, most, near, slack), "a long, b long, dist double")
+    best = found.repartition(n_parts, "a").groupBy("a", "b").agg(F.min("dist").alias("dist"))
     best = best.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy("dist", "b"))).where(F.col("r") <= k).drop("r")
     return best.union(copies)

@@ -71,8 +71,31 @@ def test_copies_and_unusable_vectors(spark):
 @pytest.mark.parametrize("n", [1, 7, 300])
 def test_heads_cover_the_sample(n):
     x = np.random.default_rng(2).normal(size=(n, 8)).astype(np.float32)
-    h = nb.Heads(nb.fit_heads(x, max(1, n // 10)))
-    i, lists, role = h.lists(x)
-    assert set(i.tolist()) == set(range(n)) and (lists < len(h.c)).all()
-    assert all((role[i == k] % 2 == 1).any() and (role[i == k] >= 2).any() for k in range(n))
+    h = nb.Heads(nb.fit_heads(x, max(1, n // 3), 0.0), 0.2)
+    i, lists = h.lists(x)
+    assert set(i.tolist()) == set(range(n)) and (lists >= 0).all() and (lists < len(h.c)).all()
     assert len({(a, b) for a, b in zip(i.tolist(), lists.tolist(), strict=True)}) == len(i)
+    d = np.sqrt(((x[:, None] - h.c[None]) ** 2).sum(2))
+    first = d.argmin(1)
+    apart = np.sqrt(((h.c[:, None] - h.c[None]) ** 2).sum(2))
+    band = {(k, j) for k in range(n) for j in range(len(h.c)) if d[k, j] ** 2 - d[k, first[k]] ** 2 <= 0.4 * apart[first[k], j]}
+    assert len(band & set(zip(i.tolist(), lists.tolist(), strict=True))) >= 0.95 * len(band)
+
+
+def test_long_lists_are_divided(spark, monkeypatch):
+    """Lists of several blocks, and blocks divided by lists of their own, find what short lists find."""
+    monkeypatch.setattr(nb, "SAMPLE", 150)
+    monkeypatch.setattr(nb, "BLOCK_ROWS", 120)
+    monkeypatch.setattr(nb, "FINE_ROWS", 60)
+    monkeypatch.setattr(nb, "LIST_ROWS", 30)
+    r = np.random.default_rng(5)
+    x = np.concatenate([c + r.normal(0, 0.02, (12, 24)) for c in r.normal(size=(120, 24)) / 5]).astype(np.float32)
+    ids = r.permutation(len(x)).astype(np.int64)
+    true = {(i, j) for i, w in brute(ids, x.astype(float), 5).items() for j, d in w if d <= 0.38}
+    got = {(q["a"], q["b"]) for q in nb.most_similar(frame(spark, [(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)]), 5, 0.38, dim=24).collect()}
+    assert len(got & true) >= 0.97 * len(true)
+
+
+def test_other_vectors_under_one_id(spark):
+    got = {(q["a"], q["b"], round(q["dist"], 6)) for q in nb.most_similar(frame(spark, [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.0]), (2, [1.0, 0.0])]), 2, dim=2).collect()}
+    assert len(got) == 2 and {(a, b) for a, b, _ in got} == {(1, 2), (2, 1)} and len({e for _, _, e in got}) == 1
