@@ -7,20 +7,23 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pointspark.functions.linalg import kabsch, rigid_from_triples
-from pointspark.functions.vec import affine, col3, distance_l2
+from pointspark.functions.vec import affine, col3
 from pointspark.operators.components import numbered
 from pointspark.operators.descriptors import dense, fpfh
 from pointspark.operators.keypoints import iss
-from pointspark.operators.neighbors import knn, nearest_within, positions
+from pointspark.operators.neighbors import Target, knn, positions, runs
 from pointspark.operators.shape import normals
-from pointspark.session import BROADCAST_ROWS, cut
+from pointspark.session import cut
 
-#: Anchor descriptors that divide the targets; read to the driver, so a fixed bound.
-PIVOTS = 64
+#: Targets travel with the plan if they have no more numbers than this (counted).
+BROADCAST_NUMBERS = 1_000_000
+#: Beyond it anchors divide the targets, about the root of their number; read to the driver, so bounded.
+PIVOTS = 1024
 
 
 def transform(points: DataFrame, t) -> DataFrame:
@@ -28,40 +31,106 @@ def transform(points: DataFrame, t) -> DataFrame:
     return points.withColumns(dict(zip("xyz", affine(col3("x", "y", "z"), t), strict=True)))
 
 
+def _sq(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T, 0)
+
+
+def _best(q: np.ndarray, t: np.ndarray, t_id: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row of t, distance) of the nearest of t for each q, ties by smaller id; t comes in order of id."""
+    at, dist = np.zeros(len(q), np.int64), np.full(len(q), np.inf)
+    scale = (t * t).sum(1).max()
+    for f in range(0, len(q), 256):
+        d = _sq(q[f : f + 256], t)
+        margin = 1e-12 * (scale + (q[f : f + 256] ** 2).sum(1)) * t.shape[1]
+        i, j = np.nonzero(d <= (d.min(1) + 2 * margin)[:, None])  # products preselect, differences decide
+        e = np.sqrt(((q[f + i] - t[j]) ** 2).sum(1))
+        o = np.lexsort((t_id[j], e, i))
+        first = o[np.r_[True, i[o][1:] != i[o][:-1]]]
+        at[f + i[first]], dist[f + i[first]] = j[first], e[first]
+    return at, dist
+
+
+def _features(b, column: str, dim: int) -> np.ndarray:
+    c = b.column(column)
+    c = c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c
+    return c.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+
+
+_MATCH = "src_idx long, tgt_idx long, dist double"
+
+
 def feature_match(source: DataFrame, target: DataFrame, max_dist: float = 20.0, dim: int | None = None) -> DataFrame:
     """``(src_idx, tgt_idx, dist)``: for each source descriptor ``(idx, f)`` the nearest target one, if nearer than
-    ``max_dist``; ties by smaller tgt_idx. Null descriptors take no part.
+    ``max_dist``; ties by smaller tgt_idx. Descriptors that are null, shorter than ``dim`` (or of another length than the
+    first target, without it), or not finite take no part.
 
-    Exact without comparing all pairs: targets belong to the nearest of some anchors. A source looks first into the
-    part of its nearest anchor, then only into those parts that by the triangle inequality may hold a nearer one.
+    Exact. Targets of a counted size travel with the plan, and sources stay where they are. Else targets belong to the
+    nearest of some anchors; a source looks first into the part of its nearest anchor, then only into those parts that by
+    the triangle inequality may hold a nearer one.
     """
-    d = lambda a, b: distance_l2(F.col(a), F.col(b), dim)
-    src = cut(source.select(F.col("idx").alias("src_idx"), F.col("f").cast("array<double>").alias("fs")).where("fs IS NOT NULL"))
-    tgt = cut(target.select(F.col("idx").alias("tgt_idx"), F.col("f").cast("array<double>").alias("ft")).where("ft IS NOT NULL"))
-    anchors = [list(r["ft"]) for r in tgt.orderBy(F.xxhash64("tgt_idx"), "tgt_idx").limit(PIVOTS).select("ft").collect()]
-    if not anchors:
-        return src.sparkSession.createDataFrame([], "src_idx long, tgt_idx long, dist double")
-    table = F.array(*[F.array(*[F.lit(float(v)) for v in a]) for a in anchors])
-    to_all = lambda c: F.transform(table, lambda a, i: F.struct(distance_l2(F.col(c), a, dim).alias("d"), i.alias("part")))
-    tgt = cut(tgt.withColumn("m", F.array_min(to_all("ft"))).select("tgt_idx", "ft", F.col("m.part").alias("part"), F.col("m.d").alias("d")))
-    reach = tgt.groupBy("part").agg(F.max("d").alias("reach"))
-    look = cut(src.withColumn("p", F.array_sort(to_all("fs"))))
-
-    small = tgt.count() <= BROADCAST_ROWS
+    f = F.col("f").cast("array<double>")
+    if dim is None:
+        one = target.where("f IS NOT NULL").select(F.size("f").alias("n")).first()
+        if one is None:
+            return source.sparkSession.createDataFrame([], _MATCH)
+        dim = one["n"]
+        ok = F.size("f") == dim
+    else:
+        ok = F.size("f") >= dim
+    ok = ok & F.col("idx").isNotNull() & F.forall(f, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    src, tgt = (d.where(ok).select("idx", F.slice(f, 1, dim).alias("f")) for d in (source, target))
+    tgt = cut(tgt)
+    n = tgt.count()
+    if n * dim <= BROADCAST_NUMBERS:
+        t = tgt.orderBy("idx").toArrow()
+        t_id, tf = t.column("idx").to_numpy(), _features(t, "f", dim)
+
+        def direct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if len(t_id) and len(b):
+                    at, dist = _best(_features(b, "f", dim), tf, t_id)
+                    yield pa.RecordBatch.from_arrays([b.column("idx"), pa.array(t_id[at]), pa.array(dist)], names=["src_idx", "tgt_idx", "dist"])
+
+        return src.mapInArrow(direct, _MATCH).where(F.col("dist") < max_dist)
     n_parts = int(src.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    share = min(1.0, min(PIVOTS, n**0.5) / n)
+    anchors = np.array([r["f"] for r in tgt.where(F.pmod(F.xxhash64("idx"), F.lit(1 << 32)) <= int(share * (1 << 32))).limit(2 * PIVOTS).collect()] or [tgt.first()["f"]])
+
+    def to_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            d = _sq(_features(b, "f", dim), anchors)
+            yield pa.RecordBatch.from_arrays([pa.array(d.argmin(1)), pa.array(np.sqrt(d.min(1))), b.column("idx"), b.column("f")], names=["part", "d", "idx", "f"])
+
+    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in runs(batches, "part"):
+            ids, x, asks = t.column("idx").to_numpy(), _features(t, "f", dim), t.column("asks").to_numpy()
+            q, p = np.flatnonzero(asks), np.flatnonzero(~asks)
+            p = p[np.argsort(ids[p], kind="stable")]
+            if len(q) and len(p):
+                at, dist = _best(x[q], x[p], ids[p])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(ids[p[at]]), pa.array(dist)], names=["src_idx", "tgt_idx", "dist"])
+
+    def visited(asked: DataFrame) -> DataFrame:
+        both = tgt.select("part", "idx", "f", F.lit(False).alias("asks")).union(asked.select("part", "idx", "f", F.lit(True)))
+        return both.repartition(n_parts, "part").sortWithinPartitions("part").mapInArrow(visit, _MATCH)
+
+    tgt = cut(tgt.mapInArrow(to_parts, "part long, d double, idx long, f array<double>"))
+    reach = np.full(len(anchors), -np.inf)
+    for r in tgt.groupBy("part").agg(F.max("d").alias("reach")).collect():  # one number an anchor
+        reach[r["part"]] = r["reach"]
+    src = src.mapInArrow(to_parts, "part long, d double, idx long, f array<double>")
+    first = cut(visited(src))
+    bound = src.join(first.select(F.col("src_idx").alias("idx"), "dist"), "idx", "left").select("idx", "f", "part", F.least(F.coalesce("dist", F.lit(float("inf"))), F.lit(float(max_dist))).alias("limit"))
+
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            d = np.sqrt(_sq(_features(b, "f", dim), anchors)) * (1 - 1e-6) - reach[None]
+            i, j = np.nonzero((d <= b.column("limit").to_numpy()[:, None] * (1 + 1e-9)) & (np.arange(len(anchors))[None] != b.column("part").to_numpy()[:, None]))
+            rows = pa.array(i)
+            yield pa.RecordBatch.from_arrays([pa.array(j), b.column("idx").take(rows), b.column("f").take(rows)], names=["part", "idx", "f"])
 
-    def best(parts: DataFrame) -> DataFrame:
-        t = tgt.select("part", "tgt_idx", "ft")
-        if small:  # sources stay spread over the tasks by their own idx
-            parts, t = parts.repartition(n_parts, "src_idx"), F.broadcast(t)
-        pairs = parts.join(t, "part").withColumn("dist", d("fs", "ft"))
-        return pairs.groupBy("src_idx").agg(F.min(F.struct("dist", "tgt_idx")).alias("m"))
-
-    first = cut(best(look.select("src_idx", "fs", F.get("p", 0)["part"].alias("part"))))
-    bound = look.join(first, "src_idx", "left").withColumn("limit", F.least(F.coalesce("m.dist", F.lit(float("inf"))), F.lit(float(max_dist))))
-    more = bound.select("src_idx", "fs", "limit", F.posexplode("p").alias("at", "q")).where("at > 0").select("src_idx", "fs", "limit", F.col("q.part").alias("part"), F.col("q.d").alias("d"))
-    more = more.join(reach, "part").where(F.col("d") - F.col("reach") <= F.col("limit") * (1 + 1e-9))
-    both = first.union(best(more.select("src_idx", "fs", "part"))).groupBy("src_idx").agg(F.min("m").alias("m"))
+    more = visited(bound.mapInArrow(others, "part long, idx long, f array<double>"))
+    both = first.union(more).groupBy("src_idx").agg(F.min(F.struct("dist", "tgt_idx")).alias("m"))
     return both.select("src_idx", F.col("m.tgt_idx").alias("tgt_idx"), F.col("m.dist").alias("dist")).where(F.col("dist") < max_dist)
 
 
@@ -163,10 +232,9 @@ class IcpResult:
     history: list[float] = field(default_factory=list)
 
 
-def _closest(source: DataFrame, target: DataFrame, t: np.ndarray, max_dist: float, target_rows: int) -> DataFrame:
-    moved = transform(source, t)
-    c = nearest_within(moved, target, max_dist, target_rows)
-    return c.join(moved.toDF("src_idx", "sx", "sy", "sz"), "src_idx").join(target.toDF("tgt_idx", "tx", "ty", "tz"), "tgt_idx")
+def _closest(source: DataFrame, target: Target, t: np.ndarray, max_dist: float) -> DataFrame:
+    n = target.nearest(transform(source, t), max_dist)
+    return n.select(F.col("idx").alias("src_idx"), F.col("nidx").alias("tgt_idx"), "dist", *[F.col(c).alias(f"s{c}") for c in "xyz"], *[(F.col(c) + F.col(f"d{c}")).alias(f"t{c}") for c in "xyz"])
 
 
 def icp_point_to_point(source: DataFrame, target: DataFrame, params: IcpParams | None = None) -> IcpResult:
@@ -178,11 +246,10 @@ def icp_point_to_point(source: DataFrame, target: DataFrame, params: IcpParams |
     """
     params = params or IcpParams()
     t = np.eye(4) if params.initial is None else np.array(params.initial, float).reshape(4, 4)
-    s, g = cut(positions(source)), cut(positions(target))
-    n_target = g.count()
+    s, g = cut(positions(source)), Target(target)
     history: list[float] = []
     for _ in range(params.max_iterations):
-        r = pair_sums(_closest(s, g, t, params.max_correspondence_distance, n_target)).first()
+        r = pair_sums(_closest(s, g, t, params.max_correspondence_distance)).first()
         if r["n"] < 3:
             return IcpResult(t, "few", history)
         history.append(r["loss"])
@@ -201,12 +268,11 @@ def icp_point_to_plane(source: DataFrame, target: DataFrame, target_normals: Dat
     equations that are one aggregate."""
     params = params or IcpParams()
     t = np.eye(4) if params.initial is None else np.array(params.initial, float).reshape(4, 4)
-    s, g = cut(positions(source)), cut(positions(target))
-    n_target = g.count()
+    s, g = cut(positions(source)), Target(target)
     n = target_normals.select(F.col("idx").alias("tgt_idx"), "nx", "ny", "nz").where("nx IS NOT NULL")
     history: list[float] = []
     for _ in range(params.max_iterations):
-        p = _closest(s, g, t, params.max_correspondence_distance, n_target).join(n, "tgt_idx")
+        p = _closest(s, g, t, params.max_correspondence_distance).join(n, "tgt_idx")
         a = [F.col("sy") * F.col("nz") - F.col("sz") * F.col("ny"), F.col("sz") * F.col("nx") - F.col("sx") * F.col("nz"), F.col("sx") * F.col("ny") - F.col("sy") * F.col("nx"), F.col("nx"), F.col("ny"), F.col("nz")]
         b = sum((F.col(f"t{c}") - F.col(f"s{c}")) * F.col(f"n{c}") for c in "xyz")
         sums = [F.sum(a[i] * a[j]).alias(f"a{i}{j}") for i in range(6) for j in range(i, 6)] + [F.sum(v * b).alias(f"b{i}") for i, v in enumerate(a)]

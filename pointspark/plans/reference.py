@@ -214,6 +214,15 @@ def knn_k32(spark, d):
     return _nb(spark, d, 32).select("idx", "nidx", "rank", *_r("dist"))
 
 
+_MAP = "e AS (SELECT idx, min(x) AS x, min(y) AS y, min(z) AS z FROM points WHERE cloud_id = 'map-000' AND x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL AND NOT isnan(x) AND NOT isnan(y) AND NOT isnan(z) GROUP BY idx)"
+
+
+@_q(f"WITH {_MAP}, {_knn_sql(8)} SELECT idx, nidx, rank, round(dist, 6) + 0.0 AS dist FROM nb")
+def knn_map(spark, d):
+    """The largest cloud of the point table, of many blocks and very unequal density."""
+    return neighbors.knn(table(spark, d, "points").where("cloud_id = 'map-000'"), 8).select("idx", "nidx", "rank", *_r("dist"))
+
+
 @_q(f"WITH {E}, {_knn_sql(8)} SELECT idx, list(nidx ORDER BY rank) AS nn FROM nb GROUP BY idx")
 def knn_wide(spark, d):
     g = _nb(spark, d, 8).groupBy("idx").agg(F.array_sort(F.collect_list(F.struct("rank", "nidx"))).alias("s"))

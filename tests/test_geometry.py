@@ -30,9 +30,11 @@ def brute(xyz, k):
     return [[(int(j), d[i, j]) for j in np.lexsort((np.arange(len(xyz)), d[i]))[:k]] for i in range(len(xyz))]
 
 
-@pytest.mark.parametrize("small", [0, 2048])
-def test_knn_is_exact(spark, xyz, small, monkeypatch):
-    monkeypatch.setattr(neighbors, "SMALL", small)
+@pytest.mark.parametrize(("block", "least", "leaf"), [(4096, 8, 64), (16, 8, 64), (16, 2, 4)])
+def test_knn_is_exact(spark, xyz, block, least, leaf, monkeypatch):
+    monkeypatch.setattr(neighbors, "BLOCK_ROWS", block)
+    monkeypatch.setattr(neighbors, "LEAST", least)
+    monkeypatch.setattr(neighbors, "LEAF", leaf)
     bad = [(900, None, 1.0, 1.0, 1.0, 1), (None, 1.0, 1.0, 1.0, 1.0, 1), (901, float("nan"), 0.0, 0.0, None, None), (3, *map(float, xyz[3]), 1.0, -1)]
     got = {}
     for r in neighbors.knn(cloud(spark, xyz, bad), 5).collect():
@@ -44,23 +46,43 @@ def test_knn_is_exact(spark, xyz, small, monkeypatch):
         assert np.allclose([got[i][k + 1][1] for k in range(5)], [e for _, e in w])
 
 
+def test_knn_with_far_outliers_and_a_hot_position(spark, monkeypatch):
+    """A dense cloud with a point 10^6 times as far out, and a third of all points at one position."""
+    monkeypatch.setattr(neighbors, "BLOCK_ROWS", 20)
+    r = np.random.default_rng(9)
+    p = np.concatenate([r.uniform(0, 1, (250, 3)), np.full((150, 3), 0.5), [[1e6, 0, 0], [-1e6, 5, 5]]])[r.permutation(402)]
+    got = {}
+    for q in neighbors.knn(cloud(spark, p), 2).collect():
+        got.setdefault(q["idx"], {})[q["rank"]] = (q["nidx"], q["dist"])
+    for i, w in enumerate(brute(p, 2)):
+        assert [got[i][1][0], got[i][2][0]] == [w[0][0], w[1][0]] and abs(got[i][2][1] - w[1][1]) < 1e-6
+    s = neighbors.Space(p, len(p), 2)
+    assert s.hot == [(0.5, 0.5, 0.5)] and len(s.lows) > 8
+    assert np.bincount(s.block(p)).sum() == len(p)
+
+
 def test_knn_small_clouds_and_repeated_positions(spark, monkeypatch):
     assert neighbors.knn(cloud(spark, []), 3).count() == 0
     assert neighbors.knn(cloud(spark, [(1, 2, 3)]), 3).count() == 0
-    monkeypatch.setattr(neighbors, "SMALL", 0)
     r = neighbors.knn(cloud(spark, [(1, 1, 1)] * 6), 2).orderBy("idx", "rank").collect()
     assert [(x["idx"], x["nidx"], x["dist"]) for x in r][:4] == [(0, 1, 0.0), (0, 2, 0.0), (1, 0, 0.0), (1, 2, 0.0)]
     with pytest.raises(ValueError):
         neighbors.knn(cloud(spark, []), 0)
 
 
-def test_radius_and_nearest(spark, xyz):
+def test_radius_and_nearest(spark, xyz, monkeypatch):
     d = np.sqrt(((xyz[:, None] - xyz[None]) ** 2).sum(2))
     got = {(r["idx"], r["nidx"]) for r in neighbors.radius_neighbors(cloud(spark, xyz), 0.2).collect()}
     assert got == {(i, j) for i, j in zip(*np.nonzero(d <= 0.2)) if i != j}
     near = {r["src_idx"]: r["tgt_idx"] for r in neighbors.nearest_within(cloud(spark, xyz), cloud(spark, xyz + 0.001), 0.5).collect()}
     e = np.sqrt(((xyz[:, None] - xyz[None] - 0.001) ** 2).sum(2))
     assert near == {i: int(e[i].argmin()) for i in range(len(xyz)) if e[i].min() < 0.5}
+    monkeypatch.setattr(neighbors, "BROADCAST_ROWS", 10)
+    monkeypatch.setattr(neighbors, "BLOCK_ROWS", 20)
+    near = {r["src_idx"]: r["tgt_idx"] for r in neighbors.nearest_within(cloud(spark, xyz), cloud(spark, xyz + 0.3), 0.9).collect()}
+    e = np.sqrt(((xyz[:, None] - xyz[None] - 0.3) ** 2).sum(2))
+    assert near == {i: int(e[i].argmin()) for i in range(len(xyz)) if e[i].min() < 0.9}
+    assert neighbors.nearest_within(cloud(spark, []), cloud(spark, xyz), 0.9).count() == 0 == neighbors.nearest_within(cloud(spark, xyz), cloud(spark, []), 0.9).count()
 
 
 def test_eigen_matches_lapack(spark):
@@ -103,7 +125,9 @@ def test_voxel_clusters(spark):
     assert cluster.voxel_dbscan(cloud(spark, []), (0, 1, 0, 1, 0, 1), 0.1, 3).count() == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("most", [0, 20_000])
+def test_components(spark, most, monkeypatch):
+    monkeypatch.setattr(components, "BROADCAST_ROWS", most)
     r = np.random.default_rng(2)
     e = [(int(a), int(b)) for a, b in r.integers(0, 300, (200, 2))] + [(i, i + 1) for i in range(1000, 1100)]
     parent = {}
@@ -158,8 +182,9 @@ def test_descriptors(spark, xyz):
     assert np.allclose(m @ m.T, np.eye(3), atol=1e-6)
 
 
-def test_feature_match_is_exact(spark, monkeypatch):
-    monkeypatch.setattr(registration, "PIVOTS", 5)
+@pytest.mark.parametrize("most", [0, 1_000_000])
+def test_feature_match_is_exact(spark, most, monkeypatch):
+    monkeypatch.setattr(registration, "BROADCAST_NUMBERS", most)
     r = np.random.default_rng(4)
     a, b = r.normal(size=(60, 6)), r.normal(size=(70, 6))
     s = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(a)] + [(99, None)], "idx long, f array<double>")
