@@ -1,23 +1,26 @@
 """Markov clustering of records that lie together.
 
-A similarity graph links two records of a cloud that are at most ``radius`` apart and whose labels do
-not differ. Its link matrix is clustered by alternating squaring, inflation and pruning of small
-entries. The rows that keep flow (attractors) define the clusters. Clusters that still have a link
-between them are contracted to one node each and clustered again, until no link is left: the result is
-a hierarchy whose top is closed under the similarity relation, whatever the inflation cut on the way.
+A similarity graph links two records of a cloud that are at most ``radius`` apart and whose labels do not differ. Two steps
+follow each other:
+
+* Markov clustering: the link matrix is squared, inflated and pruned in turn, from the first matrix on, until it no longer
+  changes. Rows that keep flow are the attractors; each column belongs to its attractor, and what a row receives in the end
+  says how typical a member is.
+* The closure: clusters that still have a link between them are contracted to one node each and clustered again, until no
+  link is left. The groups are then exactly the linked ones, whatever the inflation cut on the way.
 
 The matrix is distributed twice over:
 
-* Space is cut into tiles, so the link matrix is block diagonal but for links across tile faces. A
-  block is squared where it lies, in vectorised sparse form (``sparse_mcl``). No task holds more than the
-  blocks of one batch; a large cloud has many blocks.
+* Space is cut into tiles, so the link matrix is block diagonal but for links across tile faces. A block is squared where it
+  lies, in vectorised sparse form (``sparse_mcl``). No task holds more than the blocks of one batch; a large cloud has many
+  blocks.
 * Links across faces form a matrix of clusters, much smaller than that of records. It stays a DataFrame
-  ``(row, col, v)``: squaring is a join on the inner index and a sum, inflation a power with a sum per
-  column, pruning a filter (``distributed_mcl``).
+  ``(col, row, v)``: squaring is a join on the inner index and a sum, inflation a power with a sum per column, pruning a
+  top-k per column (``distributed_mcl``). Its closure is that of connected components.
 
-Nodes of the first matrix are cliques: the records of one label within a cell whose diagonal is no
-longer than ``radius``. As all of them are mutually similar, that contraction loses nothing and keeps the
-matrix small where records are dense, also for any number of repeated records.
+Nodes of the first matrix are cliques: the records of one label within a cell whose diagonal is no longer than ``radius``. As
+all of them are mutually similar, that contraction loses nothing and keeps the matrix small where records are dense, also for
+any number of repeated records.
 """
 
 from __future__ import annotations
@@ -26,10 +29,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pointspark.llm.points import measured
+from pointspark.operators.components import components
 from pointspark.session import cut
 
 RADIUS = 0.5
@@ -39,20 +43,23 @@ TILE = 64.0
 #: A tile with more records is divided into so many parts along each axis.
 BLOCK_ROWS, FINE = 1_000_000, 16
 INFLATION = 2.0
-PRUNE = 1e-3
-ROUNDS = 8
+#: Entries of a column smaller than PRUNE go, and of the others all but the STRONGEST ones.
+PRUNE, STRONGEST = 2e-2, 8
+ROUNDS = 12
+#: Products of a squaring that are held at a time.
+PRODUCTS = 4_000_000
 #: Blocks are handed to numpy together until they have so many records.
 BATCH_ROWS = 60_000
 NO_LABEL = -(2**31)
 
-_BLOCK_SCHEMA = "kind int, head long, idx long, flow double, size long"
+_BLOCK_SCHEMA = "kind int, head long, idx long, flow double, attracted double, size long"
 
 
 # ---------------------------------------------------------------- sparse matrices in numpy
 
 
 def _sum_by(key: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    o = np.argsort(key, kind="stable")
+    o = np.argsort(key)
     k, s = key[o], v[o]
     at = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]) if len(k) else np.zeros(0, np.int64)
     return k[at], (np.add.reduceat(s, at) if len(at) else s)
@@ -72,39 +79,81 @@ def _contract(parent: np.ndarray) -> tuple[np.ndarray, int]:
     return inv, len(u)
 
 
-def sparse_mcl(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """Attractor of each node after some rounds of squaring, inflation and pruning; links each given once."""
+def _columns(key: np.ndarray, v: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Prune the columns of a matrix given by sorted keys column * n + row, and bring them to sum 1."""
+    j = key // n
+    start = np.flatnonzero(np.r_[True, j[1:] != j[:-1]])
+    many = np.diff(np.r_[start, len(j)])
+    v = v / np.repeat(np.add.reduceat(v, start), many)
+    keep = v >= np.repeat(np.minimum(PRUNE, np.maximum.reduceat(v, start)), many)
+    key, v, j = key[keep], v[keep], j[keep]
+    start = np.flatnonzero(np.r_[True, j[1:] != j[:-1]])
+    many = np.diff(np.r_[start, len(j)])
+    if many.max() > STRONGEST:
+        long = np.flatnonzero(np.repeat(many > STRONGEST, many))
+        o = long[np.lexsort((-v[long], j[long]))]
+        n_long = many[many > STRONGEST]
+        keep = np.ones(len(v), bool)
+        keep[o[np.arange(len(o)) - np.repeat(np.cumsum(n_long) - n_long, n_long) >= STRONGEST]] = False
+        key, v, j = key[keep], v[keep], j[keep]
+        start = np.flatnonzero(np.r_[True, j[1:] != j[:-1]])
+        many = np.diff(np.r_[start, len(j)])
+    return key, v / np.repeat(np.add.reduceat(v, start), many)
+
+
+def sparse_mcl(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray, mass: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Markov clustering of a link matrix (links each given once): the attractor of each node, and what flows into each node
+    in the end if each sends out its mass.
+
+    Squaring, inflation and pruning alternate until nothing changes. A column that has one entry left, in a row whose own
+    column has only that entry, stays as it is and is not squared again.
+    """
+    mass = np.ones(n) if mass is None else mass
     if not len(a):
-        return np.arange(n)
+        return np.arange(n), mass.astype(float)
     loop = np.zeros(n)
     np.maximum.at(loop, a, w)
     np.maximum.at(loop, b, w)
     loop[loop == 0] = 1
     i, j, v = np.r_[a, b, np.arange(n)], np.r_[b, a, np.arange(n)], np.r_[w, w, loop]
-    key, v = _sum_by(j * n + i, v)
+    key, v = _columns(*_sum_by(j * n + i, v), n)
     for _ in range(ROUNDS):
         j, i = key // n, key % n
-        v = v / np.bincount(j, v, n)[j]
         start = np.searchsorted(j, np.arange(n + 1))
-        many = (start[1:] - start[:-1])[i]  # entry (i, j) meets each entry of column i
-        src = np.repeat(start[i] - (np.cumsum(many) - many), many) + np.arange(many.sum())
-        key2, v2 = _sum_by(np.repeat(j, many) * n + i[src], np.repeat(v, many) * v[src])
-        j2 = key2 // n
-        v2 **= INFLATION
-        v2 /= np.bincount(j2, v2, n)[j2]
-        top = np.zeros(n)
-        np.maximum.at(top, j2, v2)
-        keep = v2 >= np.minimum(PRUNE, top)[j2]
-        key2, v2 = key2[keep], v2[keep]
-        if len(key2) == len(key) and np.array_equal(key2, key) and np.allclose(v2, v, atol=1e-4):
+        only = np.where(np.diff(start) == 1, i[start[:-1]], -1)
+        end = (only >= 0) & (only[only] == only)
+        open_ = ~end[j]
+        if not open_.any():
+            break
+        k, m, u = j[open_], i[open_], v[open_]
+        many = start[m + 1] - start[m]  # entry (m, k) meets each entry of column m
+        ahead = np.cumsum(many)
+        cuts = [0]
+        while cuts[-1] < len(k):  # whole columns at a time
+            at = int(np.searchsorted(ahead, (ahead[cuts[-1] - 1] if cuts[-1] else 0) + PRODUCTS, "right"))
+            at = len(k) if at >= len(k) else int(np.searchsorted(k, k[at]))
+            cuts.append(at if at > cuts[-1] else int(np.searchsorted(k, k[cuts[-1]], "right")))
+        keys, values = [key[~open_]], [v[~open_]]
+        for f, g in zip(cuts[:-1], cuts[1:], strict=True):
+            c = many[f:g]
+            src = np.repeat(start[m[f:g]] - (np.cumsum(c) - c), c) + np.arange(c.sum())
+            key2, v2 = _sum_by(np.repeat(k[f:g], c) * n + i[src], np.repeat(u[f:g], c) * v[src])
+            key2, v2 = _columns(key2, v2**INFLATION, n)
+            keys.append(key2)
+            values.append(v2)
+        new, v2 = np.concatenate(keys), np.concatenate(values)
+        o = np.argsort(new)
+        new, v2 = new[o], v2[o]
+        if len(new) == len(key) and np.array_equal(new, key) and np.allclose(v2, v, atol=1e-4):
+            key, v = new, v2
             break
-        key, v = key2, v2
+        key, v = new, v2
     j, i = key // n, key % n
     o = np.lexsort((i, -v, j))
     first = np.flatnonzero(np.r_[True, j[o][1:] != j[o][:-1]])
     out = np.arange(n)
     out[j[o][first]] = i[o][first]
-    return out
+    return out, np.bincount(i, v * mass[j], n)
 
 
 def _strongest(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -117,22 +166,27 @@ def _strongest(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray) -> np.ndarra
     return out
 
 
-def multilevel_mcl(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """Cluster until no link is left between clusters. Returns a cluster number for each node.
+def multilevel_mcl(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray, mass: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(group, what flows into each node): Markov clustering of the matrix as it is, then the closure.
 
-    The first level is coarsened by contracting each node's strongest link, as multi-level Markov
-    clustering does; every further level is Markov clustering of the contracted matrix.
+    The closure contracts clusters that still have a link and clusters them again until no link is left between groups. A
+    level of it that joins nothing is followed by joining each cluster to its strongest neighbour, so that it ends.
     """
-    label, m, level = np.arange(n), n, 0
-    while len(a):
-        step, m = _contract(_strongest(m, a, b, w) if level == 0 else sparse_mcl(m, a, b, w))
-        label, level = step[label], level + 1
-        a, b = step[a], step[b]
+    to, flow = sparse_mcl(n, a, b, w, mass)
+    label, m = _contract(to)
+    a, b = label[a], label[b]
+    while True:
         between = a != b
         a, b, w = a[between], b[between], w[between]
+        if not len(a):
+            return label, flow
         key, w = _sum_by(np.minimum(a, b) * m + np.maximum(a, b), w)
         a, b = key // m, key % m
-    return label
+        step, left = _contract(sparse_mcl(m, a, b, w)[0])
+        if left == m:
+            step, left = _contract(_strongest(m, a, b, w))
+        label, m = step[label], left
+        a, b = step[a], step[b]
 
 
 # ---------------------------------------------------------------- the similarity graph of blocks
@@ -259,7 +313,8 @@ def _blocks(batches: Iterator[pa.RecordBatch], radius: float, min_size: int) ->
         xyz = np.stack([col["x"], col["y"], col["z"]], 1)
         clique, c_n, a, b, w = _clique_links(col["block"], xyz, col["label"].astype(np.int64), radius)
         flow = (c_n + np.bincount(np.r_[a, b], np.r_[w, w], len(c_n))).astype(float)  # what a node's row receives at first
-        cluster = multilevel_mcl(len(c_n), a, b, w)[clique]
+        cluster, attracted = multilevel_mcl(len(c_n), a, b, w, c_n)
+        cluster = cluster[clique]
         n = cluster.max() + 1
         head = np.full(n, np.iinfo(np.int64).max)
         np.minimum.at(head, cluster, col["idx"])
@@ -270,8 +325,8 @@ def _blocks(batches: Iterator[pa.RecordBatch], radius: float, min_size: int) ->
         keep = (kind > 0) | (own & (size[cluster] >= min_size))
         c = cluster[keep]
         return pa.RecordBatch.from_arrays(
-            [pa.array(kind[keep].astype(np.int32)), pa.array(head[c]), pa.array(col["idx"][keep]), pa.array(flow[clique][keep]), pa.array(size[c])],
-            names=["kind", "head", "idx", "flow", "size"],
+            [pa.array(kind[keep].astype(np.int32)), pa.array(head[c]), pa.array(col["idx"][keep]), pa.array(flow[clique][keep]), pa.array(attracted[clique][keep]), pa.array(size[c])],
+            names=["kind", "head", "idx", "flow", "attracted", "size"],
         )
 
     for batch in batches:
@@ -344,11 +399,15 @@ def _tiled(points: DataFrame, tile: float, radius: float, block_rows: int) -> Da
 def distributed_mcl(links: DataFrame, rounds: int = 3) -> DataFrame:
     """One level of Markov clustering of a link matrix that is a DataFrame ``(a, b, w)``, each link once.
 
+    Of a column the STRONGEST entries stay, found by a window whose limit works before its shuffle.
     Returns ``(node, root)``: the attractor of each node, its own number where no row is stronger.
     """
     sides = links.select("a", "b", "w").union(links.select("b", "a", "w"))
     m = sides.union(sides.groupBy("a").agg(F.max("w").alias("w")).select("a", F.col("a").alias("b"), "w"))
     m = m.toDF("col", "row", "v")
+    # a hub links to many, but has few entries in its column: as many products as entries times STRONGEST at most
+    rank = F.row_number().over(Window.partitionBy("col").orderBy(F.desc("v"), "row"))
+    m = m.withColumn("r", rank).where(F.col("r") <= STRONGEST).select("col", "row", "v")
     for _ in range(rounds):
         total = m.groupBy("col").agg(F.sum("v").alias("total"))
         m = m.join(total, "col").select("col", "row", (F.col("v") / F.col("total")).alias("v"))
@@ -356,39 +415,27 @@ def distributed_mcl(links: DataFrame, rounds: int = 3) -> DataFrame:
         right = m.select(F.col("col").alias("k"), "row", F.col("v").alias("v2"))
         squared = left.join(right, "k").groupBy("col", "row").agg(F.sum(F.col("v1") * F.col("v2")).alias("v"))
         inflated = squared.withColumn("v", F.pow("v", F.lit(INFLATION)))
-        top = inflated.groupBy("col").agg(F.max("v").alias("top"))
-        m = cut(inflated.join(top, "col").where(F.col("v") >= PRUNE * F.col("top")).select("col", "row", "v"))
+        rank = F.row_number().over(Window.partitionBy("col").orderBy(F.desc("v"), "row"))
+        m = cut(inflated.withColumn("r", rank).where(F.col("r") <= STRONGEST).select("col", "row", "v"))
     return m.groupBy(F.col("col").alias("node")).agg(F.max_by("row", F.struct("v", -F.col("row"))).alias("root"))
 
 
 def _stitched(links: DataFrame) -> DataFrame:
-    """Final cluster of each node of the cross-block matrix, ``(node, final)``: levels of Markov clustering
-    until no link is left. The final number is the smallest node's."""
-    label = None
-    while True:
-        root = cut(distributed_mcl(links))
-        for _ in range(2):  # pointers to the end; what stays open is closed by the next level
-            jump = root.select(F.col("node").alias("root"), F.col("root").alias("r2"))
-            root = root.join(jump, "root").select("node", F.least("root", "r2").alias("root"))
-        root = cut(root)
-        label = root if label is None else cut(
-            label.join(root.select(F.col("node").alias("root"), F.col("root").alias("r2")), "root", "left").select("node", F.coalesce("r2", "root").alias("root"))
-        )
-        a, b = root.toDF("a", "ra"), root.toDF("b", "rb")
-        links = cut(
-            links.join(a, "a").join(b, "b").where("ra <> rb")
-            .groupBy(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).agg(F.sum("w").alias("w"))
-        )
-        if links.isEmpty():
-            low = label.groupBy("root").agg(F.min("node").alias("final"))
-            return label.join(low, "root").select("node", "final")
+    """Final group of each node of the cross-block matrix, ``(node, final)``: one level of Markov clustering, then the
+    closure of what is linked still. The final number is the smallest node's."""
+    root = cut(distributed_mcl(links))
+    a, b = root.toDF("a", "ra"), root.toDF("b", "rb")
+    left = links.join(a, "a").join(b, "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
+    return components(left.union(root.select(F.col("node").alias("a"), F.col("root").alias("b")))).toDF("node", "final")
 
 
 def clusters(points: DataFrame, radius: float = RADIUS, min_size: int = MIN_SIZE, tile: float = TILE, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Members of all groups of at least ``min_size`` records: ``(head_idx, idx, flow)``.
+    """Members of all groups of at least ``min_size`` records: ``(head_idx, idx, flow, attracted)``.
 
-    ``head_idx`` is the smallest idx of the group; ``flow`` is what the record's row of the first link matrix
-    receives (its weighted degree, before squaring and inflation), large for typical members. Records without idx, cloud or measured position take no part;
+    ``head_idx`` is the smallest idx of the group. ``attracted`` is what the record's row of the converged matrix receives
+    if every record sends out 1: large for attractors, 0 for records that keep no flow. ``flow`` is the same of the first
+    matrix (the weighted degree). A matrix ends at the rim of its block, so near the faces of tiles ``attracted`` follows
+    the tiles; groups and ``flow`` do not. Records without idx, cloud or measured position take no part;
     a missing label or -1 differs from none; repeated records count once; an empty table gives no rows;
     further columns are ignored.
     """
@@ -398,7 +445,7 @@ def clusters(points: DataFrame, radius: float = RADIUS, min_size: int = MIN_SIZE
     n = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     part = tiled.repartition(n, "block").sortWithinPartitions("block")
     out = cut(part.mapInArrow(lambda it: _blocks(it, radius, min_size), _BLOCK_SCHEMA))
-    inner = out.where("kind = 0").select("head", "idx", "flow")
+    inner = out.where("kind = 0").select("head", "idx", "flow", "attracted")
     edge = out.where("kind > 0")
     # the same record in several blocks links its clusters there
     links = (
@@ -407,21 +454,21 @@ def clusters(points: DataFrame, radius: float = RADIUS, min_size: int = MIN_SIZE
         .groupBy("a", "b").agg(F.count("*").cast("double").alias("w"))
     )
     links = cut(links)
-    members = edge.where("kind = 1").select("head", "idx", "flow")
+    members = edge.where("kind = 1").select("head", "idx", "flow", "attracted")
     if not links.isEmpty():
         final = _stitched(links)
-        members = members.join(final.withColumnRenamed("node", "head"), "head", "left").select(F.coalesce("final", "head").alias("head"), "idx", "flow")
+        members = members.join(final.withColumnRenamed("node", "head"), "head", "left").select(F.coalesce("final", "head").alias("head"), "idx", "flow", "attracted")
     sizes = members.groupBy("head").agg(F.count("*").alias("n"), F.min("idx").alias("low")).where(F.col("n") >= min_size)
-    crossing = members.join(sizes, "head").select(F.col("low").alias("head"), "idx", "flow")
-    return inner.union(crossing).select(F.col("head").alias("head_idx"), "idx", "flow")
+    crossing = members.join(sizes, "head").select(F.col("low").alias("head"), "idx", "flow", "attracted")
+    return inner.union(crossing).select(F.col("head").alias("head_idx"), "idx", "flow", "attracted")
 
 
 def described(points: DataFrame, typical: int = 3, **options) -> DataFrame:
-    """One row a group: ``(head_idx, size, typical)``, the most typical members being those of strongest flow,
-    ties by the smaller idx. The members are gathered by a bounded top-k before they are shuffled."""
+    """One row a group: ``(head_idx, size, typical)``, the most typical members being those of strongest flow:
+    of the converged matrix, then of the first, ties by the smaller idx. The members are gathered by a bounded top-k before they are shuffled."""
     m = clusters(points, **options)
     size = m.groupBy("head_idx").agg(F.count("*").alias("size"))
-    best = m.select("head_idx", F.struct((-F.round("flow", 9)).alias("f"), "idx").alias("s"))
+    best = m.select("head_idx", F.struct((-F.round("attracted", 6)).alias("a"), (-F.round("flow", 9)).alias("f"), "idx").alias("s"))
     top = None
     for k in range(typical):  # k-th strongest by repeated arg-min: no group is ever gathered
         left = best if top is None else best.join(top.select("head_idx", "at"), "head_idx").where("s > at").drop("at")

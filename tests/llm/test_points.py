@@ -93,16 +93,61 @@ def test_markov_steps_stay_within_components():
     a, b = r.integers(0, 100, 150), r.integers(0, 100, 150)
     a, b = np.r_[a, a + 100], np.r_[b, b + 100]
     ok = a != b
-    label = markov.multilevel_mcl(n, a[ok], b[ok], np.ones(ok.sum()))
+    label, _ = markov.multilevel_mcl(n, a[ok], b[ok], np.ones(ok.sum()))
     assert (label[a] == label[b]).all() and not set(label[:100]) & set(label[100:])
     # two cliques joined by one weak link come apart in one level of clustering
     c = [(i, j) for i in range(5) for j in range(i)]
     e = np.array(c + [(i + 5, j + 5) for i, j in c] + [(0, 5)])
     w = np.r_[np.ones(len(e) - 1), 0.05]
-    at = markov.sparse_mcl(10, e[:, 0], e[:, 1], w)
+    at, _ = markov.sparse_mcl(10, e[:, 0], e[:, 1], w)
     assert len(set(at[:5])) == 1 and len(set(at[5:])) == 1 and at[0] != at[5]
 
 
+def dense_mcl(n, a, b, w, rounds):
+    m = np.zeros((n, n))
+    m[a, b] = m[b, a] = w
+    m[np.arange(n), np.arange(n)] = np.where(m.max(0) > 0, m.max(0), 1)
+
+    def pruned(m):
+        m = m / m.sum(0)
+        for j in range(n):
+            m[m[:, j] < min(markov.PRUNE, m[:, j].max()), j] = 0
+            m[np.argsort(-m[:, j], kind="stable")[markov.STRONGEST :], j] = 0
+        return m / m.sum(0)
+
+    m = pruned(m)
+    for _ in range(rounds):
+        m = pruned((m @ m) ** markov.INFLATION)
+    return m
+
+
+@pytest.mark.parametrize("products", [4_000_000, 50])
+def test_sparse_steps_match_a_dense_matrix(products, monkeypatch):
+    """Attractors and what flows into them are those of Markov clustering, not of strongest links."""
+    monkeypatch.setattr(markov, "PRODUCTS", products)
+    r = np.random.default_rng(11)
+    n, other = 60, 0
+    for _ in range(5):
+        p = np.unique(r.integers(0, n, (150, 2)), axis=0)
+        p = np.unique(np.sort(p[p[:, 0] != p[:, 1]], axis=1), axis=0)
+        w = r.uniform(0.2, 1, len(p))
+        mass = r.integers(1, 9, n).astype(float)
+        to, flow = markov.sparse_mcl(n, p[:, 0], p[:, 1], w, mass)
+        m = dense_mcl(n, p[:, 0], p[:, 1], w, markov.ROUNDS)
+        assert np.allclose(flow, m @ mass, atol=0.05) and abs(flow.sum() - mass.sum()) < 1e-6
+        top = m.max(0)
+        assert (m[to, np.arange(n)] >= top - 1e-3).all()
+        other += (markov._roots(markov._strongest(n, p[:, 0], p[:, 1], w)) != markov._roots(to)).sum()
+    assert other > 50
+
+
+def test_a_hub_has_few_entries(spark, monkeypatch):
+    """A node linked to very many is squared by its strongest entries, and stays in one group with all of them."""
+    star = [(i, 0, 1.0 + i % 7) for i in range(1, 400)]
+    got = {q["node"]: q["final"] for q in markov._stitched(spark.createDataFrame(star, "a long, b long, w double")).collect()}
+    assert got == dict.fromkeys(range(400), 0)
+
+
 def test_distributed_step_matches_the_local_one(spark):
     c = [(i, j) for i in range(5) for j in range(i)]
     e = [(*p, 1.0) for p in c] + [(i + 5, j + 5, 1.0) for i, j in c] + [(5, 0, 0.05)]
