@@ -26,6 +26,7 @@ def p2_table(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Read off the index of the archive after it was written."""
     index, _, begins = small_files.pack(table(spark, d, "txt_files"))
     return small_files.same_files(index, begins)
 
@@ -34,16 +35,22 @@ def p3_index(spark: SparkSession, d: str) -> DataFrame:
     return small_files.pack(table(spark, d, "txt_files"))[0]
 
 
+def p3_restore(spark: SparkSession, d: str) -> DataFrame:
+    """Every file of the input, read back out of containers of 1 MiB."""
+    index, blocks, _ = small_files.pack(table(spark, d, "txt_files"), 1 << 20)
+    return small_files.restore(index, blocks).select("file_id", "save_path", F.decode("data", "UTF-8").alias("file_text"), "intact")
+
+
 def p3_containers(spark: SparkSession, d: str) -> DataFrame:
     """Each container with its number of bytes, the files stored whole and all files it restores, every file of the input read back and checked."""
     index, blocks, _ = small_files.pack(table(spark, d, "txt_files"), 1 << 20)
-    held = index.select("file_id", (F.col("stored_as") == F.col("file_id")).alias("whole"), (F.when(F.col("stored_as") == F.col("file_id"), F.col("length")).otherwise(0) + F.coalesce("patch_length", F.lit(0))).alias("n"))
-    back = small_files.restore(index, blocks).join(held, "file_id")
-    return back.groupBy("container_id").agg(F.count_if("whole").alias("n_files"), F.sum("n").alias("n_bytes"), F.min("intact").alias("intact"), F.count("*").alias("n_restored"))
+    back = small_files.restore(index, blocks).select("file_id", "intact")
+    held = index.join(back, "file_id", "left").groupBy("container_id").agg(F.count_if(F.col("stored_as") == F.col("file_id")).alias("n_files"), F.min(F.coalesce("intact", F.lit(False))).alias("intact"), F.count("*").alias("n_restored"))
+    return held.join(blocks.select("container_id", F.octet_length("block").alias("n_bytes")), "container_id")
 
 
 def queries():
-    return {"p2_found": p2_found, "p2_changes": p2_changes, "p2_versions": p2_versions, "p2_table": p2_table, "p3_found": p3_found, "p3_index": p3_index, "p3_containers": p3_containers}
+    return {"p2_found": p2_found, "p2_changes": p2_changes, "p2_versions": p2_versions, "p2_table": p2_table, "p3_found": p3_found, "p3_index": p3_index, "p3_restore": p3_restore, "p3_containers": p3_containers}
 
 
 _P2 = """
@@ -83,4 +90,8 @@ _P3 = f"""
 
 
 def oracle_sql():
-    return {"p2_found": _P2, "p3_found": _P3}
+    return {
+        "p2_found": _P2,
+        "p3_found": _P3,
+        "p3_restore": "SELECT DISTINCT file_id, save_path, coalesce(file_text, '') AS file_text, true AS intact FROM txt_files WHERE file_id IS NOT NULL AND save_path IS NOT NULL",
+    }

@@ -107,6 +107,20 @@ def test_every_file_comes_back(spark):
     assert lost.count() == len(rows) and lost.where("intact").count() == 0
 
 
+def test_archive_on_disk(spark, tmp_path):
+    """Written once, read by another reader, files found by any spelling of their path; a hot path goes to many containers."""
+    rows = [(i, f"/p/hot/./{i % 2}", f"{i},2,3\n" * 4) for i in range(40)] + [(100, "/p/a b", "1 2 3\n"), (101, "file:///p/a%20b", "1 2 3\n4 5 6\n")]
+    folder = f"file://{tmp_path}/archive"
+    small_files.write_archive(files(spark, rows), folder, 64)
+    index, blocks, begins = small_files.read_archive(spark, folder)
+    assert index.where("path = '/p/hot/0'").select("container_id").distinct().count() > 3
+    back = {r["file_id"]: bytes(r["data"]).decode() for r in small_files.restore(index, blocks).where("intact").collect()}
+    assert back == {i: t for i, _, t in rows}
+    found = small_files.lookup(index, blocks, ["\\p\\x\\..\\a b", "/none"]).collect()
+    assert {(r["file_id"], r["save_path"], bytes(r["data"]).decode(), r["intact"]) for r in found} == {(i, p, t, True) for i, p, t in rows[-2:]}
+    assert {(r["file_a"], r["file_b"]) for r in small_files.same_files(index, begins).collect()} == {(100, 101)}
+
+
 def test_pack_nothing(spark):
     index, blocks, begins = small_files.pack(files(spark, []))
     assert index.count() == 0 and blocks.count() == 0 and small_files.same_files(index, begins).count() == 0
