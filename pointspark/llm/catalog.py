@@ -50,6 +50,11 @@ def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
+def p7_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """What the latent search finds before the exact check."""
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), check=False).select("doc_id", "item_id", "cosine")
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     s = repetition.repeated_share(table(spark, d, "documents"))
     return s.where((F.col("n_words") >= 40) & (F.col("n_repeated") * 10 >= F.col("n_words") * 6)).select("doc_id")
@@ -64,7 +69,7 @@ def p8_lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_clusters": p1_clusters, "p4_found": p4_found, "p4_select": p4_select, "p5_found": p5_found, "p6_pack": p6_pack, "p6_fill": p6_fill, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_found": p8_found, "p8_share": p8_share, "p8_lines": p8_lines}
+    return {"p1_found": p1_found, "p1_clusters": p1_clusters, "p4_found": p4_found, "p4_select": p4_select, "p5_found": p5_found, "p6_pack": p6_pack, "p6_fill": p6_fill, "p7_found": p7_found, "p7_leaks": p7_leaks, "p7_candidates": p7_candidates, "p8_found": p8_found, "p8_share": p8_share, "p8_lines": p8_lines}
 
 
 _REPEATED = """

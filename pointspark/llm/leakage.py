@@ -1,16 +1,17 @@
 """Held-out passages that leak into documents: latent semantic retrieval with an exact check.
 
 1. One pass over all documents turns each text into words as a reader sees them and keeps the stretches that
-   are dense in words of the passages, as sequences of word numbers (-1 for any other word). A window with fewer
-   such words than a case needs cannot hold one, so nothing is lost. The same pass counts for each word of the
+   are dense in words of the passages, as sequences of word numbers (-1 for a word of no passage or answer). A window with
+   fewer such words than a case needs cannot hold one, so nothing is lost. The same pass counts for each word of the
    passages the documents that have it.
-2. Windows of passages and of the kept stretches are TF-IDF rows. Their leading right singular vectors come
+2. Windows of passages and of the kept stretches are sparse TF-IDF rows. Their leading right singular vectors come
    from a randomised SVD whose products with the matrix are summed over partitions (``latent_basis``).
 3. Each window of a stretch is compared by cosine in the latent space with all windows of the passages, held
-   in blocks, and leaves the passages of sufficiently similar windows as candidates.
+   in blocks, and leaves the passages of sufficiently similar windows as candidates (``candidates``). Nothing else makes a
+   candidate.
 4. A candidate is confirmed by its longest run of common words, or else by the least number of replaced,
    dropped and added words over any part of the passage that is long enough; the longest common subsequence
-   and the presence of the answer are reported with it.
+   and whether the answer follows in the same stretch are reported with it.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ LONG, EDITS = 30, 8  # or so many words in order, one in EDITS of them changed
 WINDOW, STRIDE = 24, 12
 MIN_KNOWN = 12  # words of the passages that a window must have
 RANK = 128
-COSINE = 0.4
+COSINE = 0.55
 SHORTEST = 5  # with one word in EDITS changed, so many words somewhere stay together
 #: The items are the stated query set, held by every task: so many at a time.
 BLOCK_ITEMS = 2_000
@@ -78,8 +79,10 @@ class Passages:
         h, begins = words.hashed(texts)
         answers, a_begins = words.hashed([as_read(r["answer"] or "") for r in items])
         self.item_id = np.array([r["item_id"] for r in items], np.int64)
-        self.vocabulary = np.unique(h)
-        ids = np.searchsorted(self.vocabulary, h)
+        self.vocabulary = np.unique(np.r_[h, answers])
+        ids, answers = np.searchsorted(self.vocabulary, h), np.searchsorted(self.vocabulary, answers)
+        self.counts = np.zeros(len(self.vocabulary), bool)  # words of answers only are told apart, but do not count
+        self.counts[ids] = True
         self.ids = [ids[begins[k] : begins[k + 1]] for k in range(len(items))]
         self.answers = [answers[a_begins[k] : a_begins[k + 1]] for k in range(len(items))]
         at, rows = [], []
@@ -88,33 +91,6 @@ class Passages:
                 rows.append(p[s : s + WINDOW])
                 at.append(k)
         self.window_item, self.windows = np.array(at, np.int64), rows
-        grams = [_grams(p) for p in self.ids]
-        key, k = np.concatenate(grams), np.repeat(np.arange(len(items)), [len(g) for g in grams])
-        o = np.argsort(key, kind="stable")
-        self.gram, self.gram_item = key[o], k[o]
-
-    def sharing(self, ids: np.ndarray) -> np.ndarray:
-        """For each item whether its passage has a run of SHORTEST words in common with these."""
-        g = np.unique(_grams(ids))
-        lo, hi = np.searchsorted(self.gram, g), np.searchsorted(self.gram, g, "right")
-        n = hi - lo
-        at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        out = np.zeros(len(self.ids), bool)
-        out[self.gram_item[at]] = True
-        return out
-
-
-def _grams(ids: np.ndarray) -> np.ndarray:
-    """A number for each run of SHORTEST known words."""
-    n = len(ids) - SHORTEST + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    x = np.asarray(ids).astype(np.int64)
-    key, known = np.zeros(n, np.uint64), np.ones(n, bool)
-    for k in range(SHORTEST):
-        key = words.mixed(key + x[k : k + n].astype(np.uint64) + np.uint64(1))
-        known &= x[k : k + n] >= 0
-    return key[known]
 
 
 def _known(h: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
@@ -123,7 +99,7 @@ def _known(h: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
     return np.where(vocabulary[at] == h, at, -1).astype(np.int32)
 
 
-def _stretches(batches: Iterator[pa.RecordBatch], vocabulary: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _stretches(batches: Iterator[pa.RecordBatch], vocabulary: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Rows (doc_id, at, words) for dense stretches; at the end one row without doc_id, the counts of documents."""
     seen = np.zeros(len(vocabulary), np.int64)
     docs = 0
@@ -135,7 +111,7 @@ def _stretches(batches: Iterator[pa.RecordBatch], vocabulary: np.ndarray) -> Ite
             h, begins = words.hashed(texts)
             ids = _known(h, vocabulary)
             doc = np.repeat(np.arange(len(texts)), np.diff(begins))
-            hit = ids >= 0
+            hit = (ids >= 0) & counts[ids]
             pairs = np.unique(doc[hit] * len(vocabulary) + ids[hit])
             seen += np.bincount(pairs % len(vocabulary), minlength=len(vocabulary))
             docs += len(texts)
@@ -164,19 +140,55 @@ def _stretches(batches: Iterator[pa.RecordBatch], vocabulary: np.ndarray) -> Ite
     yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([docs], pa.int32()), pa.array([seen.astype(np.int32)], pa.list_(pa.int32()))], names=names)
 
 
+def _begins(n: int) -> list[int]:
+    """Where the windows of n words begin: every half stride, and the last."""
+    return sorted({*range(0, max(1, n - WINDOW + 1), STRIDE // 2), max(0, n - WINDOW)})
+
+
 def _windows_of(ids: np.ndarray) -> list[np.ndarray]:
-    return [ids[s : s + WINDOW] for s in sorted({*range(0, max(1, len(ids) - WINDOW + 1), STRIDE // 2), max(0, len(ids) - WINDOW)})]
+    return [ids[s : s + WINDOW] for s in _begins(len(ids))]
+
+
+class Rows:
+    """TF-IDF rows of unit length in sparse form; words without weight are left out."""
+
+    def __init__(self, rows: list[np.ndarray], idf: np.ndarray):
+        n = np.fromiter((len(r) for r in rows), np.int64, len(rows))
+        flat = np.concatenate(rows) if len(rows) else np.zeros(0, np.int64)
+        row = np.repeat(np.arange(len(rows)), n)
+        ok = (flat >= 0) & (idf[flat] > 0)
+        key, count = np.unique(row[ok] * len(idf) + flat[ok], return_counts=True)
+        self.n, self.row, self.term = len(rows), key // len(idf), key % len(idf)
+        v = np.log1p(count) * idf[self.term]
+        self.v = v / np.sqrt(np.maximum(np.bincount(self.row, v * v, self.n), 1e-24))[self.row]
+
+    def times(self, q: np.ndarray) -> np.ndarray:
+        """A q."""
+        out = np.zeros((self.n, q.shape[1]), q.dtype)
+        if len(self.row):
+            first = np.flatnonzero(np.r_[True, self.row[1:] != self.row[:-1]])
+            out[self.row[first]] = np.add.reduceat(q[self.term] * self.v[:, None].astype(q.dtype), first, axis=0)
+        return out
 
+    def back(self, y: np.ndarray, out: np.ndarray) -> None:
+        """Add the transposed A times y to out."""
+        if len(self.row):
+            o = np.argsort(self.term, kind="stable")
+            t = self.term[o]
+            first = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
+            out[t[first]] += np.add.reduceat(y[self.row[o]] * self.v[o, None], first, axis=0)
 
-def _tfidf(rows: list[np.ndarray], idf: np.ndarray) -> np.ndarray:
-    """Rows of unit length; words outside the vocabulary have no weight."""
-    n = np.fromiter((len(r) for r in rows), np.int64, len(rows))
-    flat = np.concatenate(rows) if len(rows) else np.zeros(0, np.int64)
-    row = np.repeat(np.arange(len(rows)), n)
-    ok = flat >= 0
-    m = np.bincount(row[ok] * len(idf) + flat[ok], minlength=len(rows) * len(idf)).reshape(len(rows), len(idf))
-    m = np.log1p(m) * idf
-    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+
+def _many(rows: Iterator[np.ndarray], most: int = 512) -> Iterator[list[np.ndarray]]:
+    """Windows, ``most`` at a time, however many a stretch has."""
+    held: list[np.ndarray] = []
+    for r in rows:
+        held.append(r)
+        if len(held) == most:
+            yield held
+            held = []
+    if held:
+        yield held
 
 
 def latent_basis(stretches: DataFrame, passages: Passages, idf: np.ndarray, rank: int = RANK, power: int = 2) -> np.ndarray:
@@ -188,15 +200,14 @@ def latent_basis(stretches: DataFrame, passages: Passages, idf: np.ndarray, rank
     n_terms = len(idf)
     width = min(n_terms, rank + 8)
     q = np.linalg.qr(np.random.default_rng(7).standard_normal((n_terms, width)))[0]
-    own = _tfidf(passages.windows, idf)
+    own = [Rows(w, idf) for w in _many(iter(passages.windows))]
 
     def product(q: np.ndarray) -> np.ndarray:
         def part(it):
             s = np.zeros((n_terms, width))
-            for b in it:
-                for at in range(0, len(b), 256):
-                    a = _tfidf([w for r in b["words"].iloc[at : at + 256] for w in _windows_of(np.asarray(r))], idf)
-                    s += a.T @ (a @ q)
+            for w in _many(w for b in it for r in b["words"] for w in _windows_of(np.asarray(r))):
+                a = Rows(w, idf)
+                a.back(a.times(q), s)
             yield pd.DataFrame({"s": [s.tobytes()]})
 
         def total(it):
@@ -207,7 +218,9 @@ def latent_basis(stretches: DataFrame, passages: Passages, idf: np.ndarray, rank
             yield pd.DataFrame({"s": [s.tobytes()]})
 
         parts = stretches.select("words").mapInPandas(part, "s binary").repartition(4).mapInPandas(total, "s binary").collect()
-        s = own.T @ (own @ q)
+        s = np.zeros((n_terms, width))
+        for a in own:
+            a.back(a.times(q), s)
         for r in parts:
             s = s + np.frombuffer(r["s"]).reshape(n_terms, width)
         return s
@@ -281,47 +294,54 @@ def _confirmed(ids: np.ndarray, hits: dict[int, list[int]], passages: Passages)
     return out
 
 
-def _candidates(batches: Iterator[pd.DataFrame], passages: Passages, idf: np.ndarray, basis: np.ndarray, cosine: float, check: bool) -> Iterator[pd.DataFrame]:
-    def unit(a):
-        a = (a @ basis).astype(np.float32)
+def _has_run(ids: np.ndarray, run: np.ndarray) -> bool:
+    """Whether the words of the run come one after the other."""
+    n = len(ids) - len(run) + 1
+    if not len(run) or n <= 0:
+        return False
+    ok = np.ones(n, bool)
+    for k, w in enumerate(run):
+        ok &= ids[k : k + n] == w
+    return bool(ok.any())
+
+
+def _retrieved(batches: Iterator[pd.DataFrame], passages: Passages, idf: np.ndarray, basis: np.ndarray, cosine: float, check: bool) -> Iterator[pd.DataFrame]:
+    """Candidates of each stretch by cosine in the latent space; with ``check`` those of them that leak."""
+    small = basis.astype(np.float32)
+
+    def unit(rows):
+        a = Rows(rows, idf).times(small)
         return a / np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-9)
 
-    target = unit(_tfidf(passages.windows, idf))
+    target = np.concatenate([unit(w) for w in _many(iter(passages.windows))])
     item = passages.window_item
-    answer_ids = [_known(a, passages.vocabulary) for a in passages.answers]
     for b in batches:
         rows = []
-        for doc_id, at, ids in zip(b["doc_id"], b["at"], b["words"], strict=True):
+        for doc_id, ids in zip(b["doc_id"], b["words"], strict=True):
             ids = np.asarray(ids)
-            starts = sorted({*range(0, max(1, len(ids) - WINDOW + 1), STRIDE // 2), max(0, len(ids) - WINDOW)})
-            w = [ids[s : s + WINDOW] for s in starts]
+            starts = _begins(len(ids))
             hits: dict[int, list[int]] = {}
-            for c in range(0, len(w), 512):
-                i, j = np.nonzero(unit(_tfidf(w[c : c + 512], idf)) @ target.T >= cosine)
-                j = item[j]
-                if check:  # the exact check begins here: without a common run a candidate cannot be a case
-                    shared = passages.sharing(ids) if c == 0 else shared
-                    i, j = i[shared[j]], j[shared[j]]
-                for s, k in zip(i.tolist(), j.tolist(), strict=True):
-                    hits.setdefault(k, []).append(starts[c + s])
+            best: dict[int, float] = {}
+            for c, w in enumerate(_many(ids[s : s + WINDOW] for s in starts)):
+                like = unit(w) @ target.T
+                i, j = np.nonzero(like >= cosine)
+                for s, k, v in zip(i.tolist(), item[j].tolist(), like[i, j].tolist(), strict=True):
+                    hits.setdefault(k, []).append(starts[512 * c + s])
+                    best[k] = max(best.get(k, -1.0), v)
             if not check:
-                rows += [(doc_id, passages.item_id[k], 0, 0, False) for k in hits]
+                rows += [(doc_id, passages.item_id[k], v, 0, 0, False) for k, v in best.items()]
                 continue
-            have = set(ids.tolist())
-            rows += [
-                (doc_id, passages.item_id[k], run, lcs, bool(len(answer_ids[k])) and all(a in have for a in answer_ids[k].tolist()))
-                for k, run, lcs in _confirmed(ids, hits, passages)
-            ]
-        yield pd.DataFrame(rows, columns=["doc_id", "item_id", "run", "lcs", "answer"])
+            rows += [(doc_id, passages.item_id[k], best[k], run, lcs, _has_run(ids, passages.answers[k])) for k, run, lcs in _confirmed(ids, hits, passages)]
+        yield pd.DataFrame(rows, columns=["doc_id", "item_id", "cosine", "run", "lcs", "answer"])
 
 
 def leaks(documents: DataFrame, items: DataFrame, cosine: float = COSINE, rank: int = RANK, check: bool = True) -> DataFrame:
-    """``(doc_id, item_id, run, lcs, answer)``: the items that each document gives away.
+    """``(doc_id, item_id, cosine, run, lcs, answer)``: the items that each document gives away.
 
     A case has RUN consecutive words of the passage, or LONG or more in order of which at most one in EDITS is
     replaced, dropped or followed by an added word. ``run`` and ``lcs`` are the longest run and subsequence of the
-    passage's words in the document's best stretch, ``answer`` tells whether all words of the answer are in it.
-    With ``check=False`` the candidates of the latent search come out unconfirmed. Null or wordless texts and
+    passage's words in the document's best stretch, ``answer`` tells whether the words of the answer come one after the
+    other in a stretch that gives the item away. With ``check=False`` the candidates of the latent search come out unconfirmed. Null or wordless texts and
     passages, and null ids, give no cases; copies of a document each have their own; extra columns are ignored.
     Items are the stated query set: they are read to the driver in blocks of BLOCK_ITEMS, every document is
     compared with every block.
@@ -329,7 +349,7 @@ def leaks(documents: DataFrame, items: DataFrame, cosine: float = COSINE, rank:
     spark = documents.sparkSession
     wanted = items.where(F.col("item_id").isNotNull() & F.col("passage").isNotNull()).groupBy("item_id").agg(F.min(F.struct("passage", "answer")).alias("s"))
     wanted = wanted.select("item_id", "s.passage", "s.answer").orderBy("item_id")
-    schema = "doc_id long, item_id long, run int, lcs int, answer boolean"
+    schema = "doc_id long, item_id long, cosine double, run int, lcs int, answer boolean"
     result, after = None, None
     while True:
         rows = (wanted if after is None else wanted.where(F.col("item_id") > after)).limit(BLOCK_ITEMS).collect()
@@ -343,21 +363,21 @@ def leaks(documents: DataFrame, items: DataFrame, cosine: float = COSINE, rank:
         result = found if result is None else result.union(found)
     if result is None:
         return spark.createDataFrame([], schema)
-    return result.groupBy("doc_id", "item_id").agg(F.max("run").alias("run"), F.max("lcs").alias("lcs"), F.max("answer").alias("answer"))
+    return result.groupBy("doc_id", "item_id").agg(F.max("cosine").alias("cosine"), F.max("run").alias("run"), F.max("lcs").alias("lcs"), F.max("answer").alias("answer"))
 
 
 def _block(documents: DataFrame, passages: Passages, cosine: float, rank: int, check: bool, schema: str) -> DataFrame:
     d = documents.select("doc_id", "text").where(F.col("doc_id").isNotNull())
-    vocabulary = passages.vocabulary
-    kept = cut(d.mapInArrow(lambda it: _stretches(it, vocabulary), "doc_id long, at int, words array<int>"))
+    vocabulary, in_passage = passages.vocabulary, passages.counts
+    kept = cut(d.mapInArrow(lambda it: _stretches(it, vocabulary, in_passage), "doc_id long, at int, words array<int>"))
     # documents by word: summed word by word, one row a partition
     counts = kept.where("doc_id IS NULL").select("at", F.posexplode("words").alias("term", "n")).groupBy("term").agg(F.sum("n").alias("n")).collect()
     n_docs = kept.where("doc_id IS NULL").agg(F.sum("at")).first()[0] or 0
     df = np.zeros(len(vocabulary))
     for r in counts:
         df[r["term"]] = r["n"]
-    idf = np.log((1 + n_docs) / (1 + df)) + 0.1
+    idf = np.where(in_passage, np.log((1 + n_docs) / (1 + df)) + 0.1, 0.0)
     stretches = kept.where("doc_id IS NOT NULL")
     basis = latent_basis(stretches, passages, idf, rank)
     n = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return stretches.repartition(n, "doc_id", "at").mapInPandas(lambda it: _candidates(it, passages, idf, basis, cosine, check), schema)
+    return stretches.repartition(n, "doc_id", "at").mapInPandas(lambda it: _retrieved(it, passages, idf, basis, cosine, check), schema)

@@ -177,6 +177,50 @@ def test_leaks(spark):
     assert leakage.leaks(df, it.limit(0)).count() == 0 and leakage.leaks(df.limit(0), it).count() == 0
 
 
+def test_answers(spark):
+    """The answer counts where its words follow each other in the stretch, also words that no passage has."""
+    p, q = passage(1), passage(2)
+    items = [(1, "s", "do", " ".join(p), "zebra"), (2, "s", "do", " ".join(q), "blue whale"), (3, "s", "do", " ".join(passage(5)), None)]
+    texts = [" ".join(p[:20]) + " unheard ofwords " + " ".join(p[20:40]), " ".join(p[:30]) + " Zebra!", " ".join(q[:30]) + " whale blue", " ".join(q[:30]) + " the BLUE-whale it was", " ".join(passage(5))]
+    it = spark.createDataFrame(items, "item_id long, suite string, instruction string, passage string, answer string")
+    got = {(r["doc_id"], r["item_id"]): r["answer"] for r in leakage.leaks(docs(spark, texts), it).collect()}
+    assert got == {(0, 1): False, (1, 1): True, (2, 2): False, (3, 2): True, (4, 3): False}
+
+
+def test_latent_search_by_itself(spark):
+    """Candidates come from the cosine alone: all leaks are among them, most other pairs are not, and a limit of 1 leaves none."""
+    items = [(k, "s", "do", " ".join(passage(k + 10)), "") for k in range(20)]
+    it = spark.createDataFrame(items, "item_id long, suite string, instruction string, passage string, answer string")
+    r = random.Random(3)
+    texts = []
+    for k in range(20):
+        w = passage(k + 10)[10:50]
+        for j in range(4, 40, 9):
+            w[j] = "zzz"
+        texts.append("some words in front " + " ".join(w) + " and behind " + " ".join(r.sample(passage(k + 50), 20)))
+    df = docs(spark, texts)
+    found = {(q["doc_id"], q["item_id"]) for q in leakage.leaks(df, it, check=False).collect()}
+    assert found >= {(k, k) for k in range(20)} and len(found) < 200  # of 400 pairs
+    assert {(q["doc_id"], q["item_id"]) for q in leakage.leaks(df, it).collect()} == {(k, k) for k in range(20)}
+    assert leakage.leaks(df, it, cosine=1.01).count() == 0
+
+
+def test_sparse_rows_match_a_dense_matrix():
+    r = np.random.default_rng(2)
+    idf = np.r_[r.uniform(0.1, 3, 40), 0.0]
+    rows = [r.integers(-1, 41, r.integers(0, 30)) for _ in range(50)]
+    dense = np.zeros((50, 41))
+    for k, w in enumerate(rows):
+        for t in w[w >= 0]:
+            dense[k, t] += 1
+    dense = np.log1p(dense) * idf
+    dense /= np.maximum(np.linalg.norm(dense, axis=1, keepdims=True), 1e-12)
+    a, q, y = leakage.Rows(rows, idf), r.normal(size=(41, 5)), r.normal(size=(50, 5))
+    out = np.zeros((41, 5))
+    a.back(y, out)
+    assert np.allclose(a.times(q), dense @ q) and np.allclose(out, dense.T @ y)
+
+
 def test_items_in_blocks(spark, monkeypatch):
     ps = [passage(20 + k) for k in range(5)]
     it = spark.createDataFrame([(k, " ".join(p), "") for k, p in enumerate(ps)], "item_id long, passage string, answer string")
