@@ -125,11 +125,21 @@ def angle_bin(value: Column, bins: int = 11) -> Column:
     return F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.floor((value + math.pi) * (bins / (2 * math.pi))))).cast("int")
 
 
+#: Fixed values of the mix that gives labels their colours: a factor and a mask, then by rounds how far the number is
+#: shifted onto itself and the factor that follows; all modulo 2^32.
+_COLOR_FIRST = (2654435761, 61)
+_COLOR_ROUNDS = ((16, 9), (4, 668265261), (15, 1))
+
+
 def label_color(label: Column) -> Column:
-    """A stable colour (r, g, b in 0..1) of a label, white for 0."""
-    h = F.pmod(label.cast("long") * 2654435761, F.lit(4294967296))
-    channel = lambda shift: F.when(label == 0, 1.0).otherwise(F.pmod(F.shiftright(h, shift), F.lit(256)) / 255.0)
-    return F.struct(channel(16).alias("r"), channel(8).alias("g"), channel(0).alias("b"))
+    """A stable colour (r, g, b in 0..1) of a label, white for 0: the three low bytes of the mixed label, red the lowest."""
+    h = F.pmod(label.cast("long") * _COLOR_FIRST[0], F.lit(1 << 32))
+    extra = F.lit(_COLOR_FIRST[1])
+    for shift, factor in _COLOR_ROUNDS:
+        h = F.pmod(h.bitwiseXOR(F.shiftright(h, shift)).bitwiseXOR(extra) * factor, F.lit(1 << 32))
+        extra = F.lit(0)
+    byte = lambda k: F.when(label == 0, 1.0).otherwise(F.shiftright(h, 8 * k).bitwiseAND(F.lit(255)) / 255.0)
+    return F.struct(byte(0).alias("r"), byte(1).alias("g"), byte(2).alias("b"))
 
 
 def is_collinear(p1: Vec, p2: Vec, p3: Vec) -> Column:

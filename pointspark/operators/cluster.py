@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pointspark.functions.vec import cell_index, linear_voxel_id
@@ -37,6 +37,17 @@ def voxel_counts(voxelized: DataFrame, min_pts: int) -> DataFrame:
     return g.withColumn("is_core", F.col("n") >= min_pts)
 
 
+def voxel_offsets(voxels: DataFrame) -> DataFrame:
+    """``(voxel_id, n, start)``: how many points lie in voxels of smaller id. Counted within layers of the grid, whose totals
+    are then added up, so that no task orders all voxels."""
+    v = voxels.select("voxel_id", "n", "iz")
+    before = lambda by: by.rowsBetween(Window.unboundedPreceding, -1)
+    layers = v.groupBy("iz").agg(F.sum("n").alias("s"))
+    layers = layers.select("iz", F.coalesce(F.sum("s").over(before(Window.orderBy("iz"))), F.lit(0)).alias("below"))
+    own = F.coalesce(F.sum("n").over(before(Window.partitionBy("iz").orderBy("voxel_id"))), F.lit(0))
+    return v.withColumn("own", own).join(layers, "iz").select("voxel_id", "n", (F.col("own") + F.col("below")).alias("start"))
+
+
 def voxel_adjacency(voxels: DataFrame) -> DataFrame:
     """``(src, dst)``: existing voxels whose indices differ by at most 1 on every axis, the voxel itself included."""
     r = F.array(*[F.lit(i) for i in (-1, 0, 1)])

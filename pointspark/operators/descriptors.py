@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from pointspark.functions.linalg import with_eigenvector
 from pointspark.functions.vec import angle_bin, binning_weight, col3, cross3, dot3, pair_features, spherical_in_frame, unit_bin
-from pointspark.operators.shape import eigenvalues, weighted_covariance
+from pointspark.operators.neighbors import knn
+from pointspark.operators.shape import eigenvalues, normals, weighted_covariance
 from pointspark.session import cut
 
 FPFH_BINS = 11
@@ -87,3 +88,10 @@ def shot(neighbors: DataFrame, normals: DataFrame, radius: float, azimuth: int =
     h = p.groupBy("idx", F.col("s.bin").alias("bin")).agg(F.sum("s.w").alias("v"))
     h = h.withColumn("norm", F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy("idx"))))
     return h.select("idx", "bin", F.when(F.col("norm") > 1e-6, F.col("v") / F.col("norm")).otherwise(F.col("v")).alias("v"))
+
+
+def shot_descriptor(points: DataFrame, k: int, radius: float, azimuth: int = 8, elevation: int = 2, radial: int = 2, cosine: int = 11) -> DataFrame:
+    """``(idx, f)``: the SHOT vector of each point of a cloud, 352 numbers by default: neighbours, normals, frames and
+    histograms in one call. Points without a frame or without a neighbour that has a normal have none."""
+    nb = cut(knn(points, k))
+    return dense(shot(nb, normals(nb), radius, azimuth, elevation, radial, cosine), azimuth * elevation * radial * cosine)

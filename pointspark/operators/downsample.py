@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pointspark.functions.vec import col3, normal_angles
+from pointspark.operators.components import numbered
 from pointspark.session import cut
 
 _SALTS = 32
@@ -40,13 +41,13 @@ def normal_buckets(normals: DataFrame, ratio: float) -> DataFrame:
 def quotas(buckets: DataFrame, target: int) -> DataFrame:
     """``(bucket, n, quota)``: an equal share each, one more for the first ones, no more than the bucket holds.
 
-    There are at most as many buckets as the sampling has cells, so they are ranked as one small group.
+    Buckets are numbered in order without bringing them together in one task.
     """
     sizes = buckets.groupBy("bucket").agg(F.count("*").alias("n"))
+    sizes = cut(numbered(sizes, "bucket", "no"))
     k = sizes.count()
     base, more = divmod(target, k) if k else (0, 0)
-    rank = F.row_number().over(Window.orderBy("bucket"))
-    return sizes.select("bucket", "n", F.least("n", F.lit(base) + (rank <= more).cast("int")).cast("long").alias("quota"))
+    return sizes.select("bucket", "n", F.least("n", F.lit(base) + (F.col("no") < more).cast("int")).cast("long").alias("quota"))
 
 
 def portable_hash(idx: Column, seed: int) -> Column:

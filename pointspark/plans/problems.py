@@ -14,11 +14,15 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_changes(spark: SparkSession, d: str) -> DataFrame:
-    return schema_drift.changes(table(spark, d, "pcd_header"))
+    return schema_drift.changes(table(spark, d, "pcd_header")).drop("captured_at")
 
 
 def p2_versions(spark: SparkSession, d: str) -> DataFrame:
-    return schema_drift.versions(table(spark, d, "pcd_header"))
+    return schema_drift.versions(table(spark, d, "pcd_header")).drop("fingerprint")
+
+
+def p2_migrations(spark: SparkSession, d: str) -> DataFrame:
+    return schema_drift.migrations(table(spark, d, "pcd_header"))
 
 
 def p2_table(spark: SparkSession, d: str) -> DataFrame:
@@ -50,26 +54,32 @@ def p3_containers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries():
-    return {"p2_found": p2_found, "p2_changes": p2_changes, "p2_versions": p2_versions, "p2_table": p2_table, "p3_found": p3_found, "p3_index": p3_index, "p3_restore": p3_restore, "p3_containers": p3_containers}
+    return {"p2_found": p2_found, "p2_changes": p2_changes, "p2_versions": p2_versions, "p2_migrations": p2_migrations, "p2_table": p2_table, "p3_found": p3_found, "p3_index": p3_index, "p3_restore": p3_restore, "p3_containers": p3_containers}
 
 
 _P2 = """
     WITH h AS (SELECT DISTINCT file_id, sensor_id, captured_at, fields, sizes, types, counts, lower(regexp_replace(data_type, '^\\s+|\\s+$', '', 'g')) AS st FROM pcd_header
                WHERE fields IS NOT NULL AND sizes IS NOT NULL AND types IS NOT NULL AND counts IS NOT NULL
                AND len(fields) = len(sizes) AND len(fields) = len(types) AND len(fields) = len(counts)),
-    o AS (SELECT file_id, st, lag(file_id) OVER w AS prev, lag(st) OVER w AS pst FROM (SELECT DISTINCT file_id, sensor_id, captured_at, st FROM h) WINDOW w AS (PARTITION BY sensor_id ORDER BY captured_at, file_id)),
+    o AS (SELECT file_id, sensor_id, captured_at, st, lag(file_id) OVER w AS prev, lag(st) OVER w AS pst FROM (SELECT DISTINCT file_id, sensor_id, captured_at, st FROM h) WINDOW w AS (PARTITION BY sensor_id ORDER BY captured_at, file_id)),
     f AS (SELECT DISTINCT file_id, pos, lower(regexp_replace(fields[pos], '^\\s+|\\s+$', '', 'g')) AS name, sizes[pos] AS s, upper(trim(types[pos])) AS t, counts[pos] AS c
           FROM (SELECT *, unnest(range(1, len(fields) + 1)) AS pos FROM h)),
     nw AS (SELECT o.file_id, o.prev, f.pos, f.name, f.s, f.t, f.c FROM o JOIN f ON f.file_id = o.file_id WHERE o.prev IS NOT NULL),
     od AS (SELECT o.file_id, f.pos, f.name, f.s, f.t, f.c FROM o JOIN f ON f.file_id = o.prev),
     ad AS (SELECT * FROM nw WHERE NOT EXISTS (SELECT 1 FROM od WHERE od.file_id = nw.file_id AND od.name = nw.name)),
     rm AS (SELECT * FROM od WHERE NOT EXISTS (SELECT 1 FROM nw WHERE od.file_id = nw.file_id AND od.name = nw.name)),
-    rn AS (SELECT ad.file_id, ad.name, rm.name AS was FROM ad JOIN rm ON ad.file_id = rm.file_id AND ad.pos = rm.pos AND ad.s = rm.s AND ad.t = rm.t AND ad.c = rm.c)
-    SELECT file_id, 'renamed' AS change_kind, name AS field_name FROM rn
-    UNION SELECT file_id, 'added', name FROM ad WHERE NOT EXISTS (SELECT 1 FROM rn WHERE rn.file_id = ad.file_id AND rn.name = ad.name)
-    UNION SELECT file_id, 'removed', name FROM rm WHERE NOT EXISTS (SELECT 1 FROM rn WHERE rn.file_id = rm.file_id AND rn.was = rm.name)
-    UNION SELECT nw.file_id, 'retyped', nw.name FROM nw JOIN od ON od.file_id = nw.file_id AND od.name = nw.name WHERE nw.s <> od.s OR nw.t <> od.t OR nw.c <> od.c
-    UNION SELECT file_id, 'storage', 'data' FROM o WHERE prev IS NOT NULL AND st <> pst
+    rn AS (SELECT ad.file_id, ad.name, rm.name AS was FROM ad JOIN rm ON ad.file_id = rm.file_id AND ad.pos = rm.pos AND ad.s = rm.s AND ad.t = rm.t AND ad.c = rm.c),
+    ch AS (SELECT file_id, 'renamed' AS change_kind, name AS field_name, was AS old_name, NULL AS detail FROM rn
+    UNION SELECT file_id, 'added', name, NULL, NULL FROM ad WHERE NOT EXISTS (SELECT 1 FROM rn WHERE rn.file_id = ad.file_id AND rn.name = ad.name)
+    UNION SELECT file_id, 'removed', name, NULL, NULL FROM rm WHERE NOT EXISTS (SELECT 1 FROM rn WHERE rn.file_id = rm.file_id AND rn.was = rm.name)
+    UNION SELECT nw.file_id, 'retyped', nw.name, NULL, od.t || ' ' || od.s || ' ' || od.c || ' -> ' || nw.t || ' ' || nw.s || ' ' || nw.c FROM nw JOIN od ON od.file_id = nw.file_id AND od.name = nw.name WHERE nw.s <> od.s OR nw.t <> od.t OR nw.c <> od.c
+    UNION SELECT file_id, 'storage', 'data', NULL, pst || ' -> ' || st FROM o WHERE prev IS NOT NULL AND st <> pst)
+"""
+_P2_VERSIONS = _P2 + """,
+    ly AS (SELECT file_id, string_agg(name || '/' || t || '/' || s || '/' || c, ',' ORDER BY pos) AS ly FROM f GROUP BY file_id),
+    lo AS (SELECT o.file_id, sensor_id, captured_at, ly || '/' || st AS ly FROM o JOIN ly ON ly.file_id = o.file_id),
+    nx AS (SELECT *, CASE WHEN ly <> lag(ly) OVER (PARTITION BY sensor_id ORDER BY captured_at, file_id) THEN 1 ELSE 0 END AS fresh FROM lo)
+    SELECT file_id, sensor_id, CAST(sum(fresh) OVER (PARTITION BY sensor_id ORDER BY captured_at, file_id) AS BIGINT) AS version FROM nx
 """
 
 
@@ -91,7 +101,9 @@ _P3 = f"""
 
 def oracle_sql():
     return {
-        "p2_found": _P2,
+        "p2_found": _P2 + "SELECT file_id, change_kind, field_name FROM ch",
+        "p2_changes": _P2 + "SELECT ch.file_id, sensor_id, change_kind, field_name, old_name, detail FROM ch JOIN o ON o.file_id = ch.file_id",
+        "p2_versions": _P2_VERSIONS,
         "p3_found": _P3,
         "p3_restore": "SELECT DISTINCT file_id, save_path, coalesce(file_text, '') AS file_text, true AS intact FROM txt_files WHERE file_id IS NOT NULL AND save_path IS NOT NULL",
     }

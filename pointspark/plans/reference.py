@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import math
+import struct
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pointspark.functions import vec
@@ -192,7 +193,11 @@ def collinear_triples(spark, d):
     return p.select("idx", vec.is_collinear(vec.col3("x", "y", "z"), vec.col3("u", "v", "w"), vec.col3("p", "q", "r")).alias("collinear"))
 
 
-@_q("SELECT DISTINCT label, CASE WHEN label = 0 THEN 1.0 ELSE CAST(((CAST(label AS BIGINT) * 2654435761) % 4294967296) // 65536 % 256 AS DOUBLE) / 255.0 END AS r, CASE WHEN label = 0 THEN 1.0 ELSE CAST(((CAST(label AS BIGINT) * 2654435761) % 4294967296) // 256 % 256 AS DOUBLE) / 255.0 END AS g, CASE WHEN label = 0 THEN 1.0 ELSE CAST(((CAST(label AS BIGINT) * 2654435761) % 4294967296) % 256 AS DOUBLE) / 255.0 END AS b FROM embeddings")
+@_q(
+    "WITH h0 AS (SELECT DISTINCT label, (CAST(label AS BIGINT) * 2654435761) % 4294967296 AS u FROM embeddings), h1 AS (SELECT label, (xor(xor(u, u >> 16), 61) * 9) % 4294967296 AS u FROM h0), "
+    "h2 AS (SELECT label, (xor(u, u >> 4) * 668265261) % 4294967296 AS u FROM h1), h3 AS (SELECT label, xor(u, u >> 15) AS u FROM h2) "
+    "SELECT label, CASE WHEN label = 0 THEN 1.0 ELSE (u % 256) / 255.0 END AS r, CASE WHEN label = 0 THEN 1.0 ELSE ((u >> 8) % 256) / 255.0 END AS g, CASE WHEN label = 0 THEN 1.0 ELSE ((u >> 16) % 256) / 255.0 END AS b FROM h3"
+)
 def label_colors(spark, d):
     return table(spark, d, "embeddings").select("label").distinct().select("label", vec.label_color(F.col("label")).alias("c")).select("label", "c.*")
 
@@ -276,12 +281,7 @@ def voxel_core(spark, d):
 
 @_q(f"WITH {_L}, c AS (SELECT voxel_id, count(*) AS n FROM lx GROUP BY voxel_id) SELECT voxel_id, n, CAST(coalesce(sum(n) OVER (ORDER BY voxel_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM c")
 def voxel_offsets(spark, d):
-    """Exclusive running count over voxels, by slices of the grid so that no task orders all of them."""
-    c = cluster.voxel_counts(cluster.voxelize(fx.line_cloud(spark, d), L_BOX, 2.0), 10).select("voxel_id", "n", "iz")
-    w = Window.partitionBy("iz").orderBy("voxel_id").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = c.groupBy("iz").agg(F.sum("n").alias("s"))
-    ahead = ahead.select("iz", F.coalesce(F.sum("s").over(Window.orderBy("iz").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
-    return c.withColumn("own", F.coalesce(F.sum("n").over(w), F.lit(0))).join(ahead, "iz").select("voxel_id", "n", (F.col("own") + F.col("ahead")).alias("start"))
+    return cluster.voxel_offsets(cluster.voxel_counts(cluster.voxelize(fx.line_cloud(spark, d), L_BOX, 2.0), 10))
 
 
 def _evox(g: int) -> str:
@@ -423,9 +423,34 @@ def lrf(spark, d):
     return descriptors.reference_frame(_nb(spark, d, 16), 0.15).select("idx", *_r(*_AXES, digits=4))
 
 
-@_q()
+def _shares_sql(value: str, step: float, top: float, out: str) -> str:
+    """A list of (bin, weight) shares of a value, as ``binning_weight`` gives them."""
+    last = int(top / step + 1e-9)
+    v = f"(({value}) / {step!r})"
+    one = lambda b: f"[{{'b': {b}, 'w': 1.0::DOUBLE}}]"
+    return f"CASE WHEN {v} < 0 THEN {one(0)} WHEN floor({v}) >= {last} THEN {one(last - 1)} ELSE [{{'b': CAST(floor({v}) AS INTEGER), 'w': 1 - ({v} - floor({v}))}}, {{'b': CAST(least(floor({v}) + 1, {last - 1}) AS INTEGER), 'w': {v} - floor({v})}}] END AS {out}"
+
+
+_SHOT = (
+    f"{_LRF}, {EN}, pr AS (SELECT nb.idx, dist, dx*xx + dy*xy + dz*xz AS lx, dx*yx + dy*yy + dz*yz AS ly, dx*zx + dy*zy + dz*zz AS lz, greatest(-1.0, least(1.0, zx*nx + zy*ny + zz*nz)) AS co FROM nb JOIN lf ON lf.idx = nb.idx JOIN en ON en.idx = nb.nidx WHERE dist <= 0.15 AND xx IS NOT NULL), "
+    f"ax AS (SELECT idx, {_shares_sql('dist', 0.075, 0.15, 'r')}, {_shares_sql('CASE WHEN dist > 1e-6 THEN acos(greatest(-1.0, least(1.0, lz / dist))) ELSE 0.0 END', math.pi / 2, math.pi, 'e')}, "
+    f"{_shares_sql(f'atan2(ly, lx) + {math.pi!r}', 2 * math.pi / 8, 2 * math.pi, 'a')}, {_shares_sql('co + 1', 2 / 11, 2, 'c')} FROM pr), "
+    "u1 AS (SELECT idx, unnest(r) AS r, e, a, c FROM ax), u2 AS (SELECT idx, r, unnest(e) AS e, a, c FROM u1), u3 AS (SELECT idx, r, e, unnest(a) AS a, c FROM u2), u4 AS (SELECT idx, r, e, a, unnest(c) AS c FROM u3), "
+    "hi AS (SELECT idx, CAST(((r.b * 2 + e.b) * 8 + a.b) * 11 + c.b AS INTEGER) AS bin, sum(r.w * e.w * a.w * c.w) AS v FROM u4 WHERE r.w * e.w * a.w * c.w > 0 GROUP BY ALL), "
+    "no AS (SELECT *, sqrt(sum(v * v) OVER (PARTITION BY idx)) AS norm FROM hi)"
+)
+
+
+@_q(f"{_SHOT} SELECT idx, bin, round(CASE WHEN norm > 1e-6 THEN v / norm ELSE v END, 4) + 0.0 AS v FROM no WHERE v / norm > 1e-3")
 def shot_hist(spark, d):
-    return descriptors.shot(cut(_nb(spark, d, 16)), fx.pseudo_normals(spark, d), 0.15)
+    """Bins that hold more than a thousandth, as rounding decides whether the others are there at all."""
+    return descriptors.shot(cut(_nb(spark, d, 16)), fx.pseudo_normals(spark, d), 0.15).where("v > 1e-3").select("idx", "bin", *_r("v", digits=4))
+
+
+@_q()
+def shot_vectors(spark, d):
+    """From the cloud to the vector of 352 numbers of each point, normals worked out on the way."""
+    return descriptors.shot_descriptor(fx.cloud(spark, d), 16, 0.15)
 
 
 # ---------------------------------------------------------------- registration
@@ -533,6 +558,92 @@ def pcd_read(spark, d):
     return clouds.decode_files(g.select(F.col("file_path").alias("path"), F.concat("head", body).alias("content")))
 
 
+def _put(spark, path: str, data: bytes) -> None:
+    """A small file on the shared file system."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at)
+    out.write(bytearray(data))
+    out.close()
+
+
+def _folder(spark) -> str:
+    return f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"
+
+
+_HEAD = "# .PCD v.7\nVERSION .7\nFIELDS x y z intensity label\nSIZE 4 4 4 4 4\nTYPE F F F F I\nCOUNT 1 1 1 1 1\nWIDTH 3\nHEIGHT 1\nPOINTS 3\nDATA "
+_THREE = [(0.5, 0.25, -1.0, 7.0, 3), (1.5, -0.125, 2.0, 0.5, -1), (-3.0, 0.0, 8.0, 1.0, 12)]
+
+
+def _pcd_folder(spark) -> str:
+    """Two files of the same three points, ascii and binary, and one of the coordinates only."""
+    at = _folder(spark)
+    _put(spark, f"{at}/a.pcd", (_HEAD + "ascii\n" + "".join(" ".join(map(str, p)) + "\n" for p in _THREE)).encode())
+    _put(spark, f"{at}/b.pcd", (_HEAD + "binary\n").encode() + b"".join(struct.pack("<ffffi", *p) for p in _THREE))
+    _put(spark, f"{at}/c.pcd", b"VERSION .7\nFIELDS x y z\nSIZE 8 8 8\nTYPE F F F\nCOUNT 1 1 1\nWIDTH 2\nHEIGHT 1\nDATA ascii\n1 2 3\n4 5 6\n")
+    return at
+
+
+_PCD_ROWS = ", ".join(f"('{n}', {i}, {p[0]!r}, {p[1]!r}, {p[2]!r}, {p[3]!r}, {p[4]})" for n in ("a.pcd", "b.pcd") for i, p in enumerate(_THREE)) + ", ('c.pcd', 0, 1.0, 2.0, 3.0, 1.0, -1), ('c.pcd', 1, 4.0, 5.0, 6.0, 1.0, -1)"
+
+
+def _named(df):
+    return df.withColumn("name", F.regexp_extract("path", r"([^/]+)$", 1)).drop("path")
+
+
+@_q(f"SELECT name, CAST(idx AS BIGINT) AS idx, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, CAST(z AS DOUBLE) AS z, CAST(intensity AS DOUBLE) AS intensity, CAST(label AS INTEGER) AS label FROM (VALUES {_PCD_ROWS}) t(name, idx, x, y, z, intensity, label)")
+def pcd_files(spark, d):
+    return _named(clouds.read_pcd(spark, _pcd_folder(spark)))
+
+
+@_q("SELECT name, version, CAST(points AS INTEGER) AS points, data_type, has_rgb, valid, n_fields FROM (VALUES ('a.pcd', '.7', 3, 'ascii', false, true, CAST(5 AS INTEGER)), ('b.pcd', '.7', 3, 'binary', false, true, 5), ('c.pcd', '.7', 2, 'ascii', false, true, 3)) t(name, version, points, data_type, has_rgb, valid, n_fields)")
+def pcd_header_files(spark, d):
+    h = _named(clouds.pcd_headers(spark, _pcd_folder(spark)))
+    return h.select("name", "version", "points", "data_type", "has_rgb", "valid", F.size("fields").alias("n_fields"))
+
+
+@_q(f"WITH {E} SELECT idx, CAST(CAST(x AS FLOAT) AS DOUBLE) AS x, CAST(CAST(y AS FLOAT) AS DOUBLE) AS y, CAST(CAST(z AS FLOAT) AS DOUBLE) AS z, CAST(1.0 AS DOUBLE) AS intensity FROM (SELECT row_number() OVER (ORDER BY idx) - 1 AS idx, x, y, z FROM e WHERE idx < 100)")
+def bin_frames(spark, d):
+    """A packed frame of the first points, with half a row too much."""
+    rows = fx.cloud(spark, d).where("idx < 100").orderBy("idx").select("x", "y", "z").collect()
+    at = f"{_folder(spark)}/0.bin"
+    _put(spark, at, b"".join(struct.pack("<ffff", *r, 1.0) for r in rows) + b"\0" * 8)
+    return clouds.read_bin(spark, at).select("idx", "x", "y", "z", "intensity")
+
+
+_OFF = "OFF\n4 2 0\n0 0 0\n1 0 0\n1 1 0\n0 1 0\n3 0 1 2\n3 0 2 3\n"
+
+
+def _off_folder(spark) -> str:
+    at = _folder(spark)
+    for c, part, name in (("chair", "train", "chair_0001"), ("chair", "test", "chair_0002"), ("desk", "train", "desk_0001")):
+        _put(spark, f"{at}/{c}/{part}/{name}.off", _OFF.encode())
+    return at
+
+
+@_q("SELECT * FROM (VALUES ('chair', 'train', 'chair_0001'), ('chair', 'test', 'chair_0002'), ('desk', 'train', 'desk_0001')) t(\"class\", \"split\", name)")
+def mesh_files(spark, d):
+    return clouds.list_files(spark, _off_folder(spark)).select("class", "split", "name")
+
+
+@_q("SELECT * FROM (VALUES ('chair', 'train', CAST(256 AS BIGINT), true), ('chair', 'test', 256, true), ('desk', 'train', 256, true)) t(\"class\", \"split\", n, inside)")
+def mesh_to_points(spark, d):
+    """Meshes of a tree turned into text and read again: as many points as wanted, all on the surface."""
+    to = _folder(spark)
+    clouds.off_to_points(spark, _off_folder(spark), to)
+    p = clouds.read_txt_xyz(spark, to)
+    part = lambda k: F.regexp_extract("path", f"{k}=([^/]+)", 1)
+    ok = F.min(F.col("x").between(0, 1) & F.col("y").between(0, 1) & (F.col("z") == 0))
+    return p.groupBy(part("class").alias("class"), part("split").alias("split")).agg(F.count("*").alias("n"), ok.alias("inside"))
+
+
+@_q("SELECT * FROM (VALUES (CAST(0 AS BIGINT), 0.0::DOUBLE, 0.0::DOUBLE, 1.0::DOUBLE), (1, 0.0, 0.0, 1.0), (2, 0.0, 0.0, 1.0), (3, 0.0, 0.0, 1.0)) t(vid, nx, ny, nz)")
+def mesh_vertex_normals(spark, d):
+    at = _folder(spark)
+    _put(spark, f"{at}/one.off", _OFF.encode())
+    return clouds.vertex_normals(*clouds.read_off(spark, at)).select("vid", *_r("nx", "ny", "nz"))
+
+
 @_q()
 def off_sample(spark, d):
     """Points on the surface of a mesh whose triangles join three consecutive points each."""

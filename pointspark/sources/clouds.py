@@ -86,39 +86,41 @@ class PcdHeader:
 
 
 def parse_pcd_header(data: bytes) -> PcdHeader:
-    """Header of a PCD file. Blank lines and comments are skipped, unknown keys ignored; it ends with DATA. Without
-    POINTS, width times height holds; the header is ``valid`` if there is a point."""
-    h, at = PcdHeader(), 0
-    while at < len(data):
-        end = data.find(b"\n", at)
-        end = len(data) if end < 0 else end
-        line = data[at:end].decode("latin-1").strip()
-        at = end + 1
-        if not line or line.startswith("#"):
-            continue
-        key, *v = line.split()
-        key = key.upper()
-        if key == "VERSION":
-            h.version = " ".join(v)
-        elif key == "FIELDS":
-            h.fields = v
-            h.has_rgb = any(f.lower() in ("rgb", "rgba") for f in v)
-        elif key == "SIZE":
-            h.sizes = [int(x) for x in v]
-        elif key == "TYPE":
-            h.types = [x.upper() for x in v]
-        elif key == "COUNT":
-            h.counts = [int(x) for x in v]
-        elif key in ("WIDTH", "HEIGHT", "POINTS"):
-            setattr(h, key.lower(), int(v[0]))
-        elif key == "DATA":
-            h.data_type, h.offset = v[0].lower(), at
-            break
-    if h.points == 0:
-        h.points = h.width * h.height
+    """Header of a PCD file. Blank lines and comments are skipped, unknown keys ignored; it ends with DATA. A value that is no
+    number counts as 0. Without POINTS, width times height holds; the header is ``valid`` if there is a point."""
+    h, at, ended = PcdHeader(), 0, False
+    while at < len(data) and not ended:
+        stop = data.find(b"\n", at)
+        stop = len(data) if stop < 0 else stop
+        key, _, rest = data[at:stop].decode("latin-1").strip().partition(" ")
+        at, ended = stop + 1, key.upper() == "DATA"
+        if key.upper() in _KEYS:
+            name, read = _KEYS[key.upper()]
+            setattr(h, name, read(rest.split()))
+    h.offset = at if ended else 0
+    h.has_rgb = bool({f.lower() for f in h.fields} & {"rgb", "rgba"})
+    h.points = h.points or h.width * h.height
     return h
 
 
+def _whole(v: str) -> int:
+    return int(v) if v.lstrip("+-").isdigit() else 0
+
+
+#: What is read from a line of the header, by its key.
+_KEYS = {
+    "VERSION": ("version", " ".join),
+    "FIELDS": ("fields", list),
+    "SIZE": ("sizes", lambda v: [_whole(x) for x in v]),
+    "TYPE": ("types", lambda v: [x.upper() for x in v]),
+    "COUNT": ("counts", lambda v: [_whole(x) for x in v]),
+    "WIDTH": ("width", lambda v: _whole(v[0]) if v else 0),
+    "HEIGHT": ("height", lambda v: _whole(v[0]) if v else 0),
+    "POINTS": ("points", lambda v: _whole(v[0]) if v else 0),
+    "DATA": ("data_type", lambda v: v[0].lower() if v else ""),
+}
+
+
 def pcd_headers(spark: SparkSession, path: str) -> DataFrame:
     """One row a file: ``(path, version, fields, sizes, types, counts, width, height, points, data_type, has_rgb, valid)``."""
 
@@ -247,6 +249,20 @@ def read_off(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return v, f
 
 
+def vertex_normals(vertices: DataFrame, faces: DataFrame) -> DataFrame:
+    """``(mesh, vid, nx, ny, nz)``: unit mean of the normals of a vertex's faces, each weighted by its area; null where they
+    cancel out, no row for a vertex without faces."""
+    f = faces
+    for k in range(3):
+        f = f.join(vertices.select("mesh", F.col("vid").alias(f"v{k}"), *[F.col(c).alias(f"{c}{k}") for c in "xyz"]), ["mesh", f"v{k}"])
+    a, b = [F.col(f"{c}1") - F.col(f"{c}0") for c in "xyz"], [F.col(f"{c}2") - F.col(f"{c}0") for c in "xyz"]
+    n = [a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0]]
+    g = f.select("mesh", F.explode(F.array("v0", "v1", "v2")).alias("vid"), *[v.alias(f"n{c}") for v, c in zip(n, "xyz", strict=True)])
+    g = g.groupBy("mesh", "vid").agg(*[F.sum(f"n{c}").alias(f"n{c}") for c in "xyz"])
+    size = F.sqrt(F.col("nx") * F.col("nx") + F.col("ny") * F.col("ny") + F.col("nz") * F.col("nz"))
+    return g.withColumn("size", size).select("mesh", "vid", *[F.when(F.col("size") > 0, F.col(f"n{c}") / F.col("size")).alias(f"n{c}") for c in "xyz"])
+
+
 def sample_surface(vertices: DataFrame, faces: DataFrame, num_points: int = 4096, seed: int = 1) -> DataFrame:
     """``(mesh, idx, x, y, z)``: points spread evenly over the area of each mesh, min(num_points, max(256, faces // 10)).
 

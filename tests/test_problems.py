@@ -50,6 +50,36 @@ def test_one_table(spark):
     assert r[1, 1]["corrupt"] and r[1, 2]["corrupt"] and r[2, 1]["corrupt"] and not r[1, 0]["corrupt"]
 
 
+def test_migrations_are_chained(spark):
+    import struct
+
+    h = spark.createDataFrame([
+        head(1, 1, 0, ["x", "i", "n"], types=["F", "F", "I"], sizes=[4, 4, 8]),
+        head(2, 1, 1, ["x", "inten", "n"], types=["F", "F", "I"], sizes=[4, 4, 8]),
+        head(3, 1, 2, ["x", "intensity", "n"], "binary", types=["F", "F", "I"], sizes=[8, 4, 8]),
+        head(4, 1, 3, ["x", "n"], types=["F", "I"], sizes=[8, 8]),
+        head(5, 2, 0, ["i", "u"], "binary", types=["I", "U"], sizes=[2, 8]),  # another sensor has no such renames
+        head(6, 3, 0, ["a", "b"]), head(7, 3, 1, ["b", "c"]), head(8, 3, 2, ["a", "c"]),  # a ends, then b becomes a
+    ], H)
+    big = 2**53 + 1
+    b = spark.createDataFrame([
+        (1, 0, bytearray(b"1 2 %d" % big)), (2, 0, bytearray(b"nan 3 4.0")), (2, 1, bytearray(b"1 3 4.5")), (3, 0, bytearray(struct.pack("<dfq", 2.5, 7, -big))), (4, 0, bytearray(b"9 8")),
+        (5, 0, bytearray(struct.pack("<hQ", -3, 2**64 - 1))), (6, 0, bytearray(b"1 2")), (8, 0, bytearray(b"3 4")),
+    ], "file_id long, rec_no int, payload binary")
+    t = schema_drift.one_table(h, b)
+    assert dict(t.dtypes) == {"file_id": "bigint", "rec_no": "int", "sensor_id": "bigint", "corrupt": "boolean", "a": "double", "a_v0": "double", "c": "double", "i": "bigint", "intensity": "double", "n": "bigint", "u": "decimal(20,0)", "x": "double"}
+    r = {(q["file_id"], q["rec_no"]): q for q in t.collect()}
+    assert (r[1, 0]["intensity"], r[1, 0]["n"]) == (2.0, big) and (r[3, 0]["intensity"], r[3, 0]["n"], r[3, 0]["x"]) == (7.0, -big, 2.5)
+    assert r[2, 0]["x"] != r[2, 0]["x"] and r[2, 0]["n"] == 4 and r[2, 1]["corrupt"] and r[4, 0]["intensity"] is None
+    assert (r[5, 0]["i"], int(r[5, 0]["u"]), r[5, 0]["intensity"]) == (-3, 2**64 - 1, None)
+    assert (r[6, 0]["a_v0"], r[6, 0]["a"]) == (1.0, 2.0) and (r[8, 0]["a"], r[8, 0]["c"]) == (3.0, 4.0)
+    m = {(q["sensor_id"], q["version"], q["column_name"], q["rule"], q["step"]): q["detail"] for q in schema_drift.migrations(h).collect()}
+    assert m[1, 0, "intensity", "rename", 0] == "i -> inten in version 1" and m[1, 0, "intensity", "rename", 1] == "inten -> intensity in version 2"
+    assert m[1, 0, "x", "cast", 0] == "F 4 -> double" and m[1, 2, "x", "keep", 0] is None and m[1, 3, "intensity", "default", 0] == "null"
+    assert m[2, 0, "i", "cast", 0] == "I 2 -> bigint" and m[2, 0, "u", "keep", 0] is None
+    assert schema_drift.migrations(h.limit(0)).count() == 0
+
+
 def test_field_names_that_clash(spark):
     h = spark.createDataFrame([head(1, 1, 0, ["file_id", "a b", "", "q`r", "x.y"])], H)
     r = schema_drift.one_table(h, spark.createDataFrame([(1, 0, bytearray(b"1 2 3 4 5"))], "file_id long, rec_no int, payload binary"))
