@@ -30,7 +30,8 @@ RADIUS = 1.1
 TILE = 16.0
 #: Delegates of a group at least.
 DELEGATES = 2
-#: A tile with more records is dealt out to several parts; core-sets of parts compose like those of tiles.
+#: A tile with more records is dealt out to parts of about so many by a hash of idx; core-sets of parts compose like those
+#: of tiles. What is chosen of a place may follow it, the places do not.
 PART_ROWS = 500_000
 
 _CORE = "cloud_id string, n_wanted int, delegates int, idx long, x double, y double, z double, seed long, low long, n long"
@@ -72,7 +73,7 @@ def _core_set(g: pd.DataFrame, radius: float) -> pd.DataFrame:
 
 
 def _core_sets(batches: Iterator[pd.DataFrame], radius: float) -> Iterator[pd.DataFrame]:
-    """Core-sets of tiles; the rows of a partition come in order of tile. A tile is cut where it gets too long."""
+    """Core-sets of tiles; the rows of a partition come in order of tile."""
     held = None
     for b in batches:
         held = b if held is None else pd.concat([held, b], ignore_index=True)
@@ -81,9 +82,6 @@ def _core_sets(batches: Iterator[pd.DataFrame], radius: float) -> Iterator[pd.Da
             continue
         tile = held["tile"].to_numpy()
         if tile[0] == tile[-1]:
-            if len(held) >= PART_ROWS:
-                yield _core_set(held, radius)
-                held = None
             continue
         last = int(np.flatnonzero(tile != tile[-1])[-1]) + 1
         done, held = held.iloc[:last], held.iloc[last:]
@@ -144,6 +142,8 @@ def local_search(p: np.ndarray, group: np.ndarray, n: int) -> tuple[np.ndarray,
         d = ((p - p[k]) ** 2).sum(1)
         best, first = (d if first else np.minimum(best, d)), False
     far = lambda k: np.sqrt(((p - p[k]) ** 2).sum(1))
+    order, everyone = np.argsort(group, kind="stable"), np.arange(m)
+    first_of = np.searchsorted(group[order], np.arange(group.max() + 2))
     swapped = True
     while swapped:
         swapped = False
@@ -152,17 +152,19 @@ def local_search(p: np.ndarray, group: np.ndarray, n: int) -> tuple[np.ndarray,
             to_all += far(k)
         least = max(1e-9, 1e-12 * to_all.max())
         for q in np.flatnonzero(~chosen):
-            if chosen[q]:
+            g = group[q]
+            # a full group only exchanges its own
+            at = order[first_of[g] : first_of[g + 1]] if used[g] >= most else everyone
+            at = at[chosen[at]]
+            if not len(at):
                 continue
-            d = far(q)
-            out = chosen & ((group == group[q]) | (used[group[q]] < most))
-            gain = np.where(out, to_all[q] - d - to_all, -np.inf)
-            k = int(gain.argmax())
-            if gain[k] > least:
+            gain = to_all[q] - np.sqrt(((p[at] - p[q]) ** 2).sum(1)) - to_all[at]
+            k = int(at[gain.argmax()])
+            if gain.max() > least:
                 chosen[k], chosen[q] = False, True
                 used[group[k]] -= 1
-                used[group[q]] += 1
-                to_all += d - far(k)
+                used[g] += 1
+                to_all += far(q) - far(k)
                 swapped = True
     return np.flatnonzero(chosen), float(to_all[chosen].sum() / 2)
 
