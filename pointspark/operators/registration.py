@@ -18,7 +18,7 @@ from pointspark.operators.descriptors import dense, fpfh
 from pointspark.operators.keypoints import iss
 from pointspark.operators.neighbors import Target, knn, positions, runs
 from pointspark.operators.shape import normals
-from pointspark.session import cut
+from pointspark.session import BROADCAST_ROWS, cut
 
 #: Targets travel with the plan if they have no more numbers than this (counted).
 BROADCAST_NUMBERS = 1_000_000
@@ -263,6 +263,87 @@ def icp_point_to_point(source: DataFrame, target: DataFrame, params: IcpParams |
     return IcpResult(t, "iterations", history)
 
 
+def _motion(x: np.ndarray) -> np.ndarray:
+    """The rigid motion of a rotation vector and a shift."""
+    k = np.array([[0, -x[2], x[1]], [x[2], 0, -x[0]], [-x[1], x[0], 0]])
+    angle = np.linalg.norm(x[:3])
+    step = np.eye(4)
+    step[:3, :3] += k * (np.sinc(angle / np.pi)) + k @ k * (0.5 * np.sinc(angle / (2 * np.pi)) ** 2)
+    step[:3, 3] = x[3:]
+    return step
+
+
+_SUMS = ["n", "loss", *[f"a{i}{j}" for i in range(6) for j in range(i, 6)], *[f"b{i}" for i in range(6)]]
+
+
+def _weighted(pairs: DataFrame, metric) -> tuple[int, float, np.ndarray]:
+    """Number and mean loss of pairs, and the small motion that lays their sources onto their targets best.
+
+    ``metric(batch)`` gives for each pair a 3x3 metric, a weight and a loss. Each partition adds up 6x6 normal equations.
+    """
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(_SUMS))
+        for b in batches:
+            p, t = (np.stack([b.column(f"{s}{c}").to_numpy() for c in "xyz"], 1) for s in "st")
+            m, w, loss = metric(b)
+            a = np.zeros((len(p), 3, 6))
+            a[:, 0, 1], a[:, 0, 2], a[:, 1, 0], a[:, 1, 2], a[:, 2, 0], a[:, 2, 1] = p[:, 2], -p[:, 1], -p[:, 2], p[:, 0], p[:, 1], -p[:, 0]
+            a[:, range(3), range(3, 6)] = 1
+            am = np.einsum("nki,nkl,n->nil", a, m, w)
+            h, g = np.einsum("nil,nlj->ij", am, a), np.einsum("nil,nl->i", am, t - p)
+            total += np.r_[len(p), loss.sum(), h[np.triu_indices(6)], g]
+        yield pa.RecordBatch.from_arrays([pa.array([v]) for v in total], names=_SUMS)
+
+    r = pairs.mapInArrow(part, ", ".join(f"{c} double" for c in _SUMS)).agg(*[F.sum(c).alias(c) for c in _SUMS]).first()
+    n = int(r["n"] or 0)
+    if n < 6:
+        return n, 0.0, np.eye(4)
+    h = np.array([[r[f"a{min(i, j)}{max(i, j)}"] for j in range(6)] for i in range(6)])
+    return n, r["loss"] / n, _motion(np.linalg.lstsq(h, np.array([r[f"b{i}"] for i in range(6)]), rcond=None)[0])
+
+
+def _rounds(step, params: IcpParams) -> IcpResult:
+    """Moves by ``step(t) -> (pairs, loss, motion)`` until one of the ends of ``icp_point_to_point``."""
+    t = np.eye(4) if params.initial is None else np.array(params.initial, float).reshape(4, 4)
+    history: list[float] = []
+    for _ in range(params.max_iterations):
+        n, loss, motion = step(t)
+        if n < 6:
+            return IcpResult(t, "few", history)
+        history.append(loss)
+        if loss < params.euclidean_fitness_epsilon:
+            return IcpResult(t, "fitness", history)
+        new = motion @ t
+        change = float(np.linalg.norm(new - t))
+        t = new
+        if change < params.transformation_epsilon:
+            return IcpResult(t, "transformation", history)
+    return IcpResult(t, "iterations", history)
+
+
+def icp_plane_to_plane(source: DataFrame, source_normals: DataFrame, target: DataFrame, target_normals: DataFrame, params: IcpParams | None = None, flat: float = 1e-3) -> IcpResult:
+    """Like point to point, but both points of a pair stand for a piece of surface: their covariance is 1 along the surface
+    and ``flat`` across it, and a pair counts by the inverse of the sum of both. Points without a normal take no part."""
+    params = params or IcpParams()
+    normal = lambda n, key, p: n.where("nx IS NOT NULL").select(F.col("idx").alias(key), *[F.col(f"n{c}").alias(f"{p}{c}") for c in "xyz"])
+    sn, tn = cut(normal(source_normals, "src_idx", "u")), cut(normal(target_normals, "tgt_idx", "v"))
+    s, g = cut(positions(source)), Target(target)
+
+    def step(t: np.ndarray):
+        turn = t[:3, :3]
+
+        def metric(b):
+            u, v = (np.stack([b.column(f"{p}{c}").to_numpy() for c in "xyz"], 1) for p in "uv")
+            u = u @ turn.T
+            c = 2 * np.eye(3) - (1 - flat) * (u[:, :, None] * u[:, None] + v[:, :, None] * v[:, None])
+            return np.linalg.inv(c), np.ones(len(u)), b.column("dist").to_numpy()
+
+        return _weighted(_closest(s, g, t, params.max_correspondence_distance).join(sn, "src_idx").join(tn, "tgt_idx"), metric)
+
+    return _rounds(step, params)
+
+
 def icp_point_to_plane(source: DataFrame, target: DataFrame, target_normals: DataFrame, params: IcpParams | None = None) -> IcpResult:
     """Like point to point, but each round solves the linearised distance to the target's tangent planes: 6 x 6 normal
     equations that are one aggregate."""
@@ -284,12 +365,7 @@ def icp_point_to_plane(source: DataFrame, target: DataFrame, target_normals: Dat
             return IcpResult(t, "fitness", history)
         m = np.array([[r[f"a{min(i, j)}{max(i, j)}"] for j in range(6)] for i in range(6)])
         x = np.linalg.lstsq(m, np.array([r[f"b{i}"] for i in range(6)]), rcond=None)[0]
-        k = np.array([[0, -x[2], x[1]], [x[2], 0, -x[0]], [-x[1], x[0], 0]])
-        angle = np.linalg.norm(x[:3])
-        step = np.eye(4)
-        step[:3, :3] += k * (np.sinc(angle / np.pi)) + k @ k * (0.5 * np.sinc(angle / (2 * np.pi)) ** 2)
-        step[:3, 3] = x[3:]
-        new = step @ t
+        new = _motion(x) @ t
         change = float(np.linalg.norm(new - t))
         t = new
         if change < params.transformation_epsilon:
@@ -305,6 +381,33 @@ def ndt_cells(target: DataFrame, cell: float, min_pts: int = 5) -> DataFrame:
     return p.groupBy(*key).agg(F.count("*").alias("n"), *[F.avg(c).alias(f"m{c}") for c in "xyz"], *cov).where(F.col("n") >= min_pts)
 
 
+def ndt(source: DataFrame, target: DataFrame, cell: float, min_pts: int = 5, params: IcpParams | None = None) -> IcpResult:
+    """Rigid transform by normal distributions: each source point is drawn to the mean of its target voxel by the inverse of
+    the voxel's covariance, weighted by its likelihood there. Points in voxels without a distribution take no part.
+    Variances are at least a thousandth of the voxel's largest. The loss of a round is 1 minus the mean likelihood."""
+    params = params or IcpParams()
+    cells = cut(ndt_cells(target, cell, min_pts))
+    if cells.count() <= BROADCAST_ROWS:
+        cells = F.broadcast(cells)
+    s = cut(positions(source))
+
+    def metric(b):
+        get = lambda *names: [b.column(n).to_numpy() for n in names]
+        xx, xy, xz, yy, yz, zz = get("cxx", "cxy", "cxz", "cyy", "cyz", "czz")
+        w, v = np.linalg.eigh(np.stack([xx, xy, xz, xy, yy, yz, xz, yz, zz], 1).reshape(-1, 3, 3))
+        w = np.maximum(w, np.maximum(1e-3 * w[:, -1:], 1e-12))
+        m = np.einsum("nij,nj,nkj->nik", v, 1 / w, v)
+        d = np.stack(get("tx", "ty", "tz"), 1) - np.stack(get("sx", "sy", "sz"), 1)
+        like = np.exp(-0.5 * np.einsum("ni,nij,nj->n", d, m, d))
+        return m, like, 1 - like
+
+    def step(t: np.ndarray):
+        moved = transform(s, t).select(*[F.floor(F.col(c) / cell).cast("long").alias(f"i{c}") for c in "xyz"], *[F.col(c).alias(f"s{c}") for c in "xyz"])
+        return _weighted(moved.join(cells, ["ix", "iy", "iz"]).withColumnsRenamed({f"m{c}": f"t{c}" for c in "xyz"}), metric)
+
+    return _rounds(step, params)
+
+
 def keypoint_features(points: DataFrame, k: int, nms_radius: float, radius: float, g21: float = 0.35, g32: float = 0.75) -> DataFrame:
     """``(idx, f)``: FPFH of the ISS keypoints of a cloud."""
     n = cut(knn(points, k))

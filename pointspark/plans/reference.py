@@ -521,6 +521,20 @@ def icp_plane_pose(spark, d):
     return _pose(spark, r.transform)
 
 
+@_q()
+def icp_surface_pose(spark, d):
+    """Plane to plane."""
+    p, g = fx.cloud(spark, d), fx.moved_cloud(spark, d)
+    r = registration.icp_plane_to_plane(p, cut(shape.normals(neighbors.knn(p, 16))), g, cut(shape.normals(neighbors.knn(g, 16))), registration.IcpParams(0.5, 60, 1e-9, 1e-9))
+    return _pose(spark, r.transform, reason=r.reason)
+
+
+@_q()
+def ndt_pose(spark, d):
+    r = registration.ndt(fx.cloud(spark, d), fx.moved_cloud(spark, d), 0.2, 5, registration.IcpParams(max_iterations=40, transformation_epsilon=1e-6, euclidean_fitness_epsilon=0))
+    return _pose(spark, r.transform, reason=r.reason)
+
+
 @_q()
 def initial_pose(spark, d):
     """Keypoints, descriptors, matching and robust fit of the two clouds."""

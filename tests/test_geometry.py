@@ -220,6 +220,37 @@ def test_ransac_and_icp(spark, xyz):
     assert registration.icp_point_to_point(p, registration.transform(p, rotation_z(0, (500, 0, 0)))).reason == "few"
 
 
+def test_plane_to_plane_and_ndt(spark):
+    r = np.random.default_rng(6)
+    walls = np.concatenate([np.c_[r.uniform(0, 4, (300, 2)), r.normal(0, 0.01, 300)], np.c_[r.normal(0, 0.01, 300), r.uniform(0, 4, (300, 2))], np.c_[r.uniform(0, 4, 300), r.normal(0, 0.01, 300), r.uniform(0, 4, 300)]])
+    t = rotation_z(3, (0.05, -0.04, 0.03))
+    p = cloud(spark, walls)
+    g = registration.transform(p, t)
+    i = registration.icp_plane_to_plane(p, shape.normals(neighbors.knn(p, 8)), g, shape.normals(neighbors.knn(g, 8)), registration.IcpParams(0.5, 30, 1e-7, 1e-9))
+    assert np.abs(i.transform - t).max() < 5e-3
+    n = registration.ndt(p, g, 1.0, 5, registration.IcpParams(max_iterations=30, transformation_epsilon=1e-5, euclidean_fitness_epsilon=0))
+    assert np.abs(n.transform - t).max() < 3e-2 and n.history[-1] < n.history[0]
+    assert registration.ndt(p, cloud(spark, []), 1.0).reason == "few"
+    assert registration.icp_plane_to_plane(p, shape.normals(neighbors.knn(p, 8)).limit(0), g, shape.normals(neighbors.knn(g, 8))).reason == "few"
+
+
+def test_label_colours(spark):
+    def mixed(label):
+        x = label * 2654435761 % 2**32
+        x = (x ^ 61 ^ (x >> 16)) * 9 % 2**32
+        x = (x ^ (x >> 4)) * 668265261 % 2**32
+        x ^= x >> 15
+        return [(x >> 8 * k & 255) / 255 for k in range(3)]
+
+    got = {r["v"]: list(r["c"]) for r in spark.createDataFrame([(v,) for v in (-2, -1, 0, 1, 77, 2**31 - 1)], "v int").select("v", vec.label_color(F.col("v")).alias("c")).collect()}
+    assert got == {v: [1.0, 1.0, 1.0] if v == 0 else mixed(v) for v in got}
+
+
+def test_shot_vector_of_a_cloud(spark, xyz):
+    f = descriptors.shot_descriptor(cloud(spark, xyz), 8, 1.0).collect()
+    assert len(f) > 200 and all(len(r["f"]) == 352 and abs(np.linalg.norm(r["f"]) - 1) < 1e-6 for r in f)
+
+
 def test_scalar_functions(spark):
     df = spark.createDataFrame([(-0.2,), (0.0,), (0.26,), (0.99,), (1.0,), (5.0,)], "v double")
     b = [[(x["bin"], round(x["w"], 6)) for x in r["b"]] for r in df.select(vec.binning_weight(F.col("v"), 0.5, 1.0).alias("b")).collect()]
