@@ -42,6 +42,11 @@ def p6_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(packing.pack(table(spark, d, "documents"), specs), specs)
 
 
+def p6_assigned(spark: SparkSession, d: str) -> DataFrame:
+    """Which texts each capacity has in its containers: all of them."""
+    return packing.pack(table(spark, d, "documents"), table(spark, d, "container_specs")).select("spec_id", "doc_id").distinct()
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p7_leaks(spark, d).select("doc_id", "item_id")
 
@@ -69,7 +74,7 @@ def p8_lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_clusters": p1_clusters, "p4_found": p4_found, "p4_select": p4_select, "p5_found": p5_found, "p6_pack": p6_pack, "p6_fill": p6_fill, "p7_found": p7_found, "p7_leaks": p7_leaks, "p7_candidates": p7_candidates, "p8_found": p8_found, "p8_share": p8_share, "p8_lines": p8_lines}
+    return {"p1_found": p1_found, "p1_clusters": p1_clusters, "p4_found": p4_found, "p4_select": p4_select, "p5_found": p5_found, "p6_pack": p6_pack, "p6_fill": p6_fill, "p6_assigned": p6_assigned, "p7_found": p7_found, "p7_leaks": p7_leaks, "p7_candidates": p7_candidates, "p8_found": p8_found, "p8_share": p8_share, "p8_lines": p8_lines}
 
 
 _REPEATED = """
@@ -82,6 +87,39 @@ _REPEATED = """
 """
 
 SQL = {
+    # all pairs of neighbouring cells, and labels handed on until none changes
+    "p1_found": """
+        WITH RECURSIVE p AS MATERIALIZED (SELECT DISTINCT idx, cloud_id, x, y, z, CASE WHEN label = -1 THEN NULL ELSE label END AS l, CAST(floor(x / 0.5) AS BIGINT) AS cx, CAST(floor(y / 0.5) AS BIGINT) AS cy, CAST(floor(z / 0.5) AS BIGINT) AS cz FROM points
+            WHERE idx IS NOT NULL AND cloud_id IS NOT NULL AND x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL AND NOT isnan(x) AND NOT isnan(y) AND NOT isnan(z) AND NOT (x = 0 AND y = 0 AND z = 0)),
+        o AS (SELECT i, j, k FROM range(-1, 2) a(i), range(-1, 2) b(j), range(-1, 2) c(k)),
+        q AS (SELECT idx, cloud_id, x, y, z, l, cx + i AS cx, cy + j AS cy, cz + k AS cz FROM p, o),
+        e AS MATERIALIZED (SELECT q.idx AS a, p.idx AS b FROM q JOIN p USING (cloud_id, cx, cy, cz) WHERE q.idx <> p.idx AND (q.l = p.l OR q.l IS NULL OR p.l IS NULL)
+            AND (q.x-p.x)*(q.x-p.x) + (q.y-p.y)*(q.y-p.y) + (q.z-p.z)*(q.z-p.z) <= 0.25),
+        cc(idx, head) USING KEY (idx) AS (SELECT idx, idx AS head FROM p UNION
+            (SELECT e.b, min(w.head) FROM cc w JOIN e ON e.a = w.idx JOIN recurring.cc r ON r.idx = e.b WHERE w.head < r.head GROUP BY e.b))
+        SELECT head AS head_idx, idx FROM (SELECT head, idx, count(*) OVER (PARTITION BY head) AS n FROM cc) WHERE n >= 10 AND head <> idx
+    """,
+    # brute force over all pairs of vectors
+    "p5_found": """
+        WITH v AS MATERIALIZED (SELECT DISTINCT vec_id, CAST(feat AS DOUBLE[]) AS f FROM shot_feat WHERE vec_id IS NOT NULL AND len(feat) = 352
+                   AND len(list_filter(feat, lambda t: t IS NOT NULL AND NOT isnan(t) AND NOT isinf(t))) = 352 AND len(list_filter(feat, lambda t: t <> 0)) > 0),
+        d AS (SELECT a.vec_id AS a, b.vec_id AS b, list_distance(a.f, b.f) AS dist FROM v a JOIN v b ON a.vec_id <> b.vec_id),
+        r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY dist, b) AS k FROM d)
+        SELECT DISTINCT least(a, b) AS vec_a, greatest(a, b) AS vec_b FROM r WHERE k <= 5 AND dist <= 0.38
+    """,
+    "p6_assigned": "SELECT DISTINCT spec_id, doc_id FROM container_specs, documents WHERE doc_id IS NOT NULL AND spec_id IS NOT NULL",
+    # lines counted over the documents of a host
+    "p8_lines": """
+        WITH d AS (SELECT doc_id, coalesce(repo, chr(1)) AS h, regexp_extract_all(text, '[^\r\n]*(?:\r\n|\n|\r)|[^\r\n]+') AS s FROM documents WHERE doc_id IS NOT NULL),
+        l AS (SELECT doc_id, h, unnest(s) AS line, unnest(range(len(s))) AS pos FROM d),
+        n AS (SELECT *, trim(regexp_replace(regexp_replace(lower(line), '[0-9]', '0', 'g'), '[ \t\n\x0B\f\r]+', ' ', 'g')) AS nl FROM l),
+        o AS (SELECT h, nl FROM n WHERE nl <> '' GROUP BY h, nl HAVING count(DISTINCT doc_id) > 10),
+        m AS (SELECT n.*, o.nl IS NOT NULL AS gone FROM n LEFT JOIN o ON o.h = n.h AND o.nl = n.nl),
+        a AS (SELECT doc_id, count(*) FILTER (nl <> '') AS n_lines, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(line, '' ORDER BY pos) FILTER (NOT gone), '') AS kept FROM m GROUP BY doc_id),
+        b AS (SELECT t.doc_id, t.text, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, kept FROM documents t LEFT JOIN a ON a.doc_id = t.doc_id),
+        c AS (SELECT *, CASE WHEN n_lines > 0 THEN 1 - CAST(n_removed AS DOUBLE) / n_lines ELSE 1.0 END AS kept_share FROM b)
+        SELECT doc_id, n_lines, n_removed, kept_share, kept_share < 0.5 AS depleted, CASE WHEN n_removed > 0 THEN kept ELSE text END AS kept_text FROM c
+    """,
     # brute force over all pairs of records of the requested clouds
     "p4_found": """
         WITH p AS (SELECT DISTINCT idx, cloud_id, x, y, z FROM points JOIN (SELECT DISTINCT cloud_id FROM subset_requests) USING (cloud_id)

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from pointspark.llm.points import measured
 from pointspark.operators.components import components
-from pointspark.session import cut
+from pointspark.session import cut, drop_cut
 
 RADIUS = 0.5
 MIN_SIZE = 10
@@ -408,7 +408,8 @@ def distributed_mcl(links: DataFrame, rounds: int = 3) -> DataFrame:
     # a hub links to many, but has few entries in its column: as many products as entries times STRONGEST at most
     rank = F.row_number().over(Window.partitionBy("col").orderBy(F.desc("v"), "row"))
     m = m.withColumn("r", rank).where(F.col("r") <= STRONGEST).select("col", "row", "v")
-    for _ in range(rounds):
+    for k in range(rounds):
+        old = m
         total = m.groupBy("col").agg(F.sum("v").alias("total"))
         m = m.join(total, "col").select("col", "row", (F.col("v") / F.col("total")).alias("v"))
         left = m.select("col", F.col("row").alias("k"), F.col("v").alias("v1"))
@@ -417,6 +418,8 @@ def distributed_mcl(links: DataFrame, rounds: int = 3) -> DataFrame:
         inflated = squared.withColumn("v", F.pow("v", F.lit(INFLATION)))
         rank = F.row_number().over(Window.partitionBy("col").orderBy(F.desc("v"), "row"))
         m = cut(inflated.withColumn("r", rank).where(F.col("r") <= STRONGEST).select("col", "row", "v"))
+        if k:
+            drop_cut(old)
     return m.groupBy(F.col("col").alias("node")).agg(F.max_by("row", F.struct("v", -F.col("row"))).alias("root"))
 
 

@@ -18,6 +18,7 @@ from pathlib import Path
 
 import pandas as pd
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,10 +32,10 @@ RANKS = "byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
-def _measure(batches: Iterator[pa.RecordBatch], folder: str, name: str) -> Iterator[pa.RecordBatch]:
+def _measure(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[pa.RecordBatch]:
     import tiktoken
 
-    with Path(folder, name).open("rb") as f:
+    with Path(SparkFiles.get(name)).open("rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     e = tiktoken.Encoding(name, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
     for b in batches:
@@ -43,9 +44,12 @@ def _measure(batches: Iterator[pa.RecordBatch], folder: str, name: str) -> Itera
 
 
 def token_counts(documents: DataFrame, folder: str = TOKENIZERS, name: str = RANKS) -> DataFrame:
-    """``(doc_id, n_tokens)`` of whole texts; null texts have 0 tokens, rows without doc_id are left out."""
+    """``(doc_id, n_tokens)`` of whole texts; null texts have 0 tokens, rows without doc_id are left out.
+
+    The vocabulary file is read where the driver runs and sent to the executors."""
+    documents.sparkSession.sparkContext.addFile(str(Path(folder, name).resolve()))
     d = documents.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
-    return d.mapInArrow(lambda it: _measure(it, folder, name), "doc_id long, n_tokens long")
+    return d.mapInArrow(lambda it: _measure(it, name), "doc_id long, n_tokens long")
 
 
 # ---------------------------------------------------------------- the plan
