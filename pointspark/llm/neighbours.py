@@ -42,7 +42,7 @@ DEGREE, BEAM, AT_ONCE = 12, 16, 4
 #: Pairs whose distance is worked out at a time.
 EXACT = 4096
 #: Vectors of a block at most, as far as the sample tells; of a cell that is not divided again.
-BLOCK_ROWS, FINE_ROWS = 16_384, 4096
+BLOCK_ROWS, FINE_ROWS = 40_000, 4096
 #: Axes that preselect; pairs of one vector in a list up to which all are worked out.
 AXES, FEW = 64, 64
 
