@@ -412,7 +412,7 @@ def keypoint_features(points: DataFrame, k: int, nms_radius: float, radius: floa
     """``(idx, f)``: FPFH of the ISS keypoints of a cloud."""
     n = cut(knn(points, k))
     key = cut(iss(n, nms_radius, g21, g32).where("is_keypoint").select("idx"))
-    return dense(fpfh(n, normals(n), k, radius, key), 33)
+    return dense(fpfh(n, cut(normals(n)), k, radius, key), 33)
 
 
 def initial_pose(source: DataFrame, target: DataFrame, k: int = 32, nms_radius: float = 5.0, radius: float = 5.0, g21: float = 0.35, g32: float = 0.75, max_feature_dist: float = 20.0, iterations: int = 500, threshold: float = 15.0, min_inliers: float = 0.3, seed: int = 1) -> RansacResult:
