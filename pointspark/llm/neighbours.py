@@ -61,6 +61,19 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
+def _as_bytes(x: np.ndarray) -> pa.Array:
+    """One binary value a row: cheaper to hand between Python and the JVM than lists of numbers."""
+    x = np.ascontiguousarray(x)
+    ends = np.arange(len(x) + 1, dtype=np.int64) * x.shape[1] * x.itemsize
+    return pa.Array.from_buffers(pa.large_binary(), len(x), [None, pa.py_buffer(ends), pa.py_buffer(x)]).cast(pa.binary())
+
+
+def _of_bytes(column: pa.ChunkedArray, dim: int) -> np.ndarray:
+    c = column.combine_chunks().cast(pa.large_binary())
+    first = np.frombuffer(c.buffers()[1], np.int64)[c.offset] // 4
+    return np.frombuffer(c.buffers()[2], np.float32)[first : first + len(c) * dim].reshape(-1, dim)
+
+
 def _sq(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T, 0)
 
@@ -207,8 +220,7 @@ def _post(batches: Iterator[pa.RecordBatch], heads: Heads, blocks: np.ndarray, d
             own, at = own[row], lists[row]
             cell = base[at] + np.minimum(own, other) * blocks[at] + np.maximum(own, other)
             side = np.where(own == other, 0, np.where(own < other, 1, 2))
-            rows = pa.array(i[row])
-            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(side, pa.int32()), b.column(0).take(rows), b.column(1).take(rows)], names=["cell", "side", "vec_id", "feat"])
+            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(side, pa.int32()), pa.array(ids[i[row]]), _as_bytes(x[i[row]])], names=["cell", "side", "vec_id", "feat"])
 
 
 def _exact(x: np.ndarray, i: np.ndarray, y: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -307,7 +319,7 @@ def _cells(batches: Iterator[pa.RecordBatch], axes: tuple[np.ndarray, np.ndarray
     for t in _runs(batches, "cell"):
         ids = t.column("vec_id").to_numpy()
         once = np.unique(ids, return_index=True)[1]  # a repeated row counts once
-        ids, side, x = ids[once], t.column("side").to_numpy()[once], _matrix(t.column("feat"), dim).astype(np.float32)[once]
+        ids, side, x = ids[once], t.column("side").to_numpy()[once], _of_bytes(t.column("feat"), dim)[once]
         flat = ((x - mean) @ turn).astype(np.float32)
         for rows in _parts(flat, near, slack):
             here = [rows[side[rows] == n] for n in (0, 1, 2)]
@@ -374,7 +386,7 @@ def most_similar(vectors: DataFrame, k: int = 5, limit: float | None = None, dim
     heads = Heads(fit_heads(x, max(1, min(total // LIST_ROWS, len(x) // LEAF)), near), slack)
     in_sample = np.bincount(np.concatenate([at for _, at in _lists(heads, x)]), minlength=len(heads.c))
     blocks = np.maximum(1, np.ceil(in_sample * (total / len(x)) / BLOCK_ROWS)).astype(np.int64)
-    posted = indexed.mapInArrow(lambda it: _post(it, heads, blocks, dim), "cell long, side int, vec_id long, feat array<float>")
+    posted = indexed.mapInArrow(lambda it: _post(it, heads, blocks, dim), "cell long, side int, vec_id long, feat binary")
     found = posted.repartition(n_parts, "cell").sortWithinPartitions("cell").mapInArrow(lambda it: _cells(it, axes, dim, k, most, near, slack), "a long, b long, dist double")
     best = found.repartition(n_parts, "a").groupBy("a", "b").agg(F.min("dist").alias("dist"))
     best = best.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy("dist", "b"))).where(F.col("r") <= k).drop("r")
