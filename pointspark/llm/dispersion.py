@@ -129,7 +129,10 @@ def local_search(p: np.ndarray, group: np.ndarray, n: int) -> tuple[np.ndarray,
     most = -(-n // (int(group.max()) + 1))
     used = np.zeros(int(group.max()) + 1, np.int64)
     chosen = np.zeros(m, bool)
-    best = ((p - p.mean(0)) ** 2).sum(1)
+    x, y, z = (np.ascontiguousarray(p[:, c]) for c in range(3))
+    far2 = lambda a, b, c: (x - a) ** 2 + (y - b) ** 2 + (z - c) ** 2
+    far = lambda k: np.sqrt(far2(x[k], y[k], z[k]))
+    best = far2(*p.mean(0))
     first = True
     for _ in range(n):  # farthest-first start within the matroid
         open_ = ~chosen & (used[group] < most)
@@ -139,9 +142,8 @@ def local_search(p: np.ndarray, group: np.ndarray, n: int) -> tuple[np.ndarray,
         k = int(np.where(open_, best, -1).argmax())
         chosen[k] = True
         used[group[k]] += 1
-        d = ((p - p[k]) ** 2).sum(1)
+        d = far2(x[k], y[k], z[k])
         best, first = (d if first else np.minimum(best, d)), False
-    far = lambda k: np.sqrt(((p - p[k]) ** 2).sum(1))
     order, everyone = np.argsort(group, kind="stable"), np.arange(m)
     first_of = np.searchsorted(group[order], np.arange(group.max() + 2))
     swapped = True
