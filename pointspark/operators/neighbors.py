@@ -184,26 +184,33 @@ class Space:
 
 
 def _divided(points: DataFrame, k: int) -> Space | None:
-    """Space divided for these points ``(x, y, z)``: one pass, of each partition its share of the sample; None if empty."""
-    share = max(LEAST, SAMPLE // max(1, points.rdd.getNumPartitions()))
+    """Space divided for these points ``(x, y, z)``: one pass, of each partition a part of its points, put together by one
+    task to SAMPLE at most, as many of each partition as its points are worth; None if there are no points."""
+    share = max(64, SAMPLE // int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+    def packed(n: int, p: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([np.ascontiguousarray(p).tobytes()], pa.binary())], names=["n", "p"])
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, held = 0, np.zeros((0, 4))
         for b in batches:
             p = _xyz(b)
-            u = np.random.default_rng(n).random(len(p))
-            held = np.concatenate([held, np.column_stack([p, u])])
+            held = np.concatenate([held, np.column_stack([p, np.random.default_rng(n).random(len(p))])])
             if len(held) > 2 * share:
                 held = held[np.argpartition(held[:, 3], share)[:share]]
             n += len(p)
-        held = held[np.argsort(held[:, 3])[:share], :3]
-        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([np.ascontiguousarray(held).tobytes()], pa.binary())], names=["n", "p"])
-
-    parts = [(r["n"], np.frombuffer(r["p"]).reshape(-1, 3)) for r in points.select("x", "y", "z").mapInArrow(part, "n long, p binary").collect() if r["n"]]
-    if not parts:
-        return None
-    rate = min(len(p) / n for n, p in parts)  # as many of each partition as its rows are worth
-    return Space(np.concatenate([p[: max(1, int(np.ceil(rate * n)))] for n, p in parts]), sum(n for n, _ in parts), k)
+        if n:
+            yield packed(n, held[np.argsort(held[:, 3])[:share], :3])
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = sorted((n, p) for b in batches for n, p in zip(b.column("n").to_pylist(), b.column("p").to_pylist(), strict=True))
+        if parts:
+            n = sum(m for m, _ in parts)
+            rate = min([SAMPLE / n, *(len(p) / 24 / m for m, p in parts)])
+            yield packed(n, np.concatenate([np.frombuffer(p).reshape(-1, 3)[: max(1, int(np.ceil(rate * m)))] for m, p in parts]))
+
+    one = points.select("x", "y", "z").mapInArrow(part, "n long, p binary").repartition(1).mapInArrow(total, "n long, p binary").first()
+    return None if one is None else Space(np.frombuffer(one["p"]).reshape(-1, 3), one["n"], k)
 
 
 # ---------------------------------------------------------------- blocks as partitions
