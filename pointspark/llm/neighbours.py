@@ -356,8 +356,9 @@ def most_similar(vectors: DataFrame, k: int = 5, limit: float | None = None, dim
     """
     spark = vectors.sparkSession
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    v = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<float>").alias("feat"))
-    v = v.where(F.col("vec_id").isNotNull() & usable(F.col("feat"), dim)).withColumn("copy", F.xxhash64("feat"))
+    raw = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<float>").alias("feat"))
+    hashed = lambda v: v.where(F.col("vec_id").isNotNull() & usable(F.col("feat"), dim)).withColumn("copy", F.xxhash64("feat"))
+    v = hashed(raw)
     # ids and hashes only; the vectors themselves are read again where they are needed
     ids = cut(v.groupBy("vec_id").agg(F.max("copy").alias("copy"), F.min("copy").alias("other")))
     low = ids.select("copy", "vec_id").withColumn("rank", F.row_number().over(Window.partitionBy("copy").orderBy("vec_id"))).where(F.col("rank") <= k + 1)
@@ -371,22 +372,25 @@ def most_similar(vectors: DataFrame, k: int = 5, limit: float | None = None, dim
     n_out, total = out.count(), low.count()
     if not total:
         return copies
-    indexed = v
-    if n_out:
-        small = F.broadcast(out) if n_out <= BROADCAST_ROWS else out
-        indexed = v.join(small, (F.col("vec_id") == F.col("o_id")) & (F.col("o_copy").isNull() | (F.col("copy") != F.col("o_copy"))), "left_anti")
-    indexed = indexed.select("vec_id", "feat")
+    small = F.broadcast(out) if n_out <= BROADCAST_ROWS else out
+
+    def indexed(v: DataFrame) -> DataFrame:
+        if n_out:
+            v = v.join(small, (F.col("vec_id") == F.col("o_id")) & (F.col("o_copy").isNull() | (F.col("copy") != F.col("o_copy"))), "left_anti")
+        return v.select("vec_id", "feat")
+
     share = SAMPLE / total
-    sample = indexed if share >= 1 else indexed.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 32)) < int(share * (1 << 32)))
+    sample = indexed(v if share >= 1 else hashed(raw.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 32)) < int(share * (1 << 32)))))
     x = np.concatenate([np.frombuffer(r["m"], np.float32).reshape(-1, dim) for r in sample.select("feat").mapInArrow(lambda it: _packed(it, dim), "m binary").collect()] or [np.zeros((1, dim), np.float32)])
     x = x[np.lexsort(x[:, :8].T)]
     axes = fit_axes(x)
     near = limit if limit is not None else _usual(x, k)
     most, slack = np.inf if limit is None else limit, SLACK * near
     heads = Heads(fit_heads(x, max(1, min(total // LIST_ROWS, len(x) // LEAF)), near), slack)
-    in_sample = np.bincount(np.concatenate([at for _, at in _lists(heads, x)]), minlength=len(heads.c))
-    blocks = np.maximum(1, np.ceil(in_sample * (total / len(x)) / BLOCK_ROWS)).astype(np.int64)
-    posted = indexed.mapInArrow(lambda it: _post(it, heads, blocks, dim), "cell long, side int, vec_id long, feat binary")
+    own = np.concatenate([_sq(x[f : f + 512], heads.c).argmin(1) for f in range(0, len(x), 512)])
+    # as a vector goes to about two lists
+    blocks = np.maximum(1, np.ceil(2 * np.bincount(own, minlength=len(heads.c)) * (total / len(x)) / BLOCK_ROWS)).astype(np.int64)
+    posted = indexed(v).mapInArrow(lambda it: _post(it, heads, blocks, dim), "cell long, side int, vec_id long, feat binary")
     found = posted.repartition(n_parts, "cell").sortWithinPartitions("cell").mapInArrow(lambda it: _cells(it, axes, dim, k, most, near, slack), "a long, b long, dist double")
     best = found.repartition(n_parts, "a").groupBy("a", "b").agg(F.min("dist").alias("dist"))
     best = best.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy("dist", "b"))).where(F.col("r") <= k).drop("r")
