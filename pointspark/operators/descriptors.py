@@ -82,10 +82,13 @@ def shot(neighbors: DataFrame, normals: DataFrame, radius: float, azimuth: int =
         binning_weight(alpha + math.pi, 2 * math.pi / azimuth, 2 * math.pi).alias("a"),
         binning_weight(cos + 1, 2 / cosine, 2).alias("c"),
     )
-    both = lambda outer, inner, bins: F.flatten(F.transform(outer, lambda x: F.transform(inner, lambda y: F.struct((x["bin"] * bins + y["bin"]).alias("bin"), (x["w"] * y["w"]).alias("w")))))
-    shares = both(both(both(F.col("r"), F.col("e"), elevation), F.col("a"), azimuth), F.col("c"), cosine)
-    p = p.select("idx", F.explode(F.filter(shares, lambda s: s["w"] > 0)).alias("s"))
-    h = p.groupBy("idx", F.col("s.bin").alias("bin")).agg(F.sum("s.w").alias("v"))
+    # the shares of one axis after the other: each doubles the rows, and all of it is generated code
+    p = p.select("idx", "e", "a", "c", F.explode("r").alias("s")).select("idx", "e", "a", "c", F.col("s.bin").alias("bin"), F.col("s.w").alias("w"))
+    for axis, bins, left in (("e", elevation, ("a", "c")), ("a", azimuth, ("c",)), ("c", cosine, ())):
+        p = p.where("w > 0").select("idx", *left, "bin", "w", F.explode(axis).alias("s"))
+        p = p.select("idx", *left, (F.col("bin") * bins + F.col("s.bin")).alias("bin"), (F.col("w") * F.col("s.w")).alias("w"))
+    p = p.where("w > 0")
+    h = p.groupBy("idx", "bin").agg(F.sum("w").alias("v"))
     h = h.withColumn("norm", F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy("idx"))))
     return h.select("idx", "bin", F.when(F.col("norm") > 1e-6, F.col("v") / F.col("norm")).otherwise(F.col("v")).alias("v"))
 

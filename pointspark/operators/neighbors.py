@@ -336,15 +336,15 @@ def knn(points: DataFrame, k: int) -> DataFrame:
     space = _divided(_placed(points), k)
     if space is None:
         return points.sparkSession.createDataFrame([], _FOUND)
-    blocked = _blocked(positions(points), space)
-    if len(space.lows) == 1:
-        return _by_block(blocked).mapInArrow(lambda it: _own_blocks(it, space, k), _KINDS).select(*[c.split()[0] for c in _FOUND.split(", ")])
-    blocked = cut(blocked)
+    names = [c.split()[0] for c in _FOUND.split(", ")]
+    if len(space.lows) == 1:  # one task has them all, so nothing is laid out or visited
+        one = positions(points).select(F.lit(0).cast("long").alias("block"), "idx", "x", "y", "z").coalesce(1)
+        return one.mapInArrow(lambda it: _own_blocks(it, space, k), _KINDS).select(*names)
+    blocked = cut(_blocked(positions(points), space))
     extra = None
     if space.hot:
         blocked, extra = _without_hot(blocked, space, k)
     out = cut(_by_block(blocked).mapInArrow(lambda it: _own_blocks(it, space, k), _KINDS))
-    names = [c.split()[0] for c in _FOUND.split(", ")]
     asked = out.where("kind = 2").select("block", "idx", F.col("dx").alias("x"), F.col("dy").alias("y"), F.col("dz").alias("z"), F.col("dist").alias("bound"))
     again = out.where("kind = 1").union(_visited(asked, blocked, k))
     found = out.where("kind = 0").select(*names).union(_merged(again, k))
