@@ -20,6 +20,15 @@ def p1_clusters(spark: SparkSession, d: str) -> DataFrame:
     return markov.described(table(spark, d, "points"))
 
 
+def p1_sizes(spark: SparkSession, d: str) -> DataFrame:
+    return markov.described(table(spark, d, "points")).select("head_idx", "size")
+
+
+def p4_counts(spark: SparkSession, d: str) -> DataFrame:
+    """How many records of each requested cloud were chosen."""
+    return p4_select(spark, d).groupBy("cloud_id").agg(F.countDistinct("idx").alias("n"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return p4_select(spark, d).select("cloud_id", "head_idx").distinct()
 
@@ -74,7 +83,7 @@ def p8_lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_clusters": p1_clusters, "p4_found": p4_found, "p4_select": p4_select, "p5_found": p5_found, "p6_pack": p6_pack, "p6_fill": p6_fill, "p6_assigned": p6_assigned, "p7_found": p7_found, "p7_leaks": p7_leaks, "p7_candidates": p7_candidates, "p8_found": p8_found, "p8_share": p8_share, "p8_lines": p8_lines}
+    return {"p1_found": p1_found, "p1_clusters": p1_clusters, "p1_sizes": p1_sizes, "p4_found": p4_found, "p4_select": p4_select, "p4_counts": p4_counts, "p5_found": p5_found, "p6_pack": p6_pack, "p6_fill": p6_fill, "p6_assigned": p6_assigned, "p7_found": p7_found, "p7_leaks": p7_leaks, "p7_candidates": p7_candidates, "p8_found": p8_found, "p8_share": p8_share, "p8_lines": p8_lines}
 
 
 _REPEATED = """
@@ -86,9 +95,8 @@ _REPEATED = """
     s AS (SELECT doc_id, count(*) AS n_words, CAST(sum(rep) AS BIGINT) AS n_repeated FROM r GROUP BY doc_id)
 """
 
-SQL = {
-    # all pairs of neighbouring cells, and labels handed on until none changes
-    "p1_found": """
+# all pairs of records of neighbouring cells, and the smallest idx handed on until none changes
+_LINKED = """
         WITH RECURSIVE p AS MATERIALIZED (SELECT DISTINCT idx, cloud_id, x, y, z, CASE WHEN label = -1 THEN NULL ELSE label END AS l, CAST(floor(x / 0.5) AS BIGINT) AS cx, CAST(floor(y / 0.5) AS BIGINT) AS cy, CAST(floor(z / 0.5) AS BIGINT) AS cz FROM points
             WHERE idx IS NOT NULL AND cloud_id IS NOT NULL AND x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL AND NOT isnan(x) AND NOT isnan(y) AND NOT isnan(z) AND NOT (x = 0 AND y = 0 AND z = 0)),
         o AS (SELECT i, j, k FROM range(-1, 2) a(i), range(-1, 2) b(j), range(-1, 2) c(k)),
@@ -97,7 +105,15 @@ SQL = {
             AND (q.x-p.x)*(q.x-p.x) + (q.y-p.y)*(q.y-p.y) + (q.z-p.z)*(q.z-p.z) <= 0.25),
         cc(idx, head) USING KEY (idx) AS (SELECT idx, idx AS head FROM p UNION
             (SELECT e.b, min(w.head) FROM cc w JOIN e ON e.a = w.idx JOIN recurring.cc r ON r.idx = e.b WHERE w.head < r.head GROUP BY e.b))
-        SELECT head AS head_idx, idx FROM (SELECT head, idx, count(*) OVER (PARTITION BY head) AS n FROM cc) WHERE n >= 10 AND head <> idx
+"""
+
+SQL = {
+    "p1_found": _LINKED + "SELECT head AS head_idx, idx FROM (SELECT head, idx, count(*) OVER (PARTITION BY head) AS n FROM cc) WHERE n >= 10 AND head <> idx",
+    "p1_sizes": _LINKED + "SELECT head AS head_idx, count(*) AS size FROM cc GROUP BY head HAVING count(*) >= 10",
+    "p4_counts": """
+        WITH w AS (SELECT cloud_id, max(n_wanted) AS wanted FROM subset_requests GROUP BY cloud_id),
+        m AS (SELECT cloud_id, count(DISTINCT idx) AS there FROM points WHERE x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL AND NOT isnan(x) AND NOT isnan(y) AND NOT isnan(z) AND NOT (x = 0 AND y = 0 AND z = 0) GROUP BY cloud_id)
+        SELECT cloud_id, CAST(least(wanted, there) AS BIGINT) AS n FROM w JOIN m USING (cloud_id) WHERE wanted > 0
     """,
     # brute force over all pairs of vectors
     "p5_found": """
