@@ -557,10 +557,19 @@ def txt_roundtrip(spark, d):
     return clouds.read_txt_xyz(spark, path).select(*[(F.col(c) + 0.0).alias(c) for c in "xyz"], "intensity", "label")
 
 
+@_q(f"WITH {E} SELECT CAST(row_number() OVER (ORDER BY idx) - 1 AS BIGINT) AS idx, round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y, round(z, 6) + 0.0 AS z FROM e")
+def txt_running_index(spark, d):
+    """One file in order of idx: what is read counts its lines."""
+    path = _folder(spark)
+    clouds.write_txt(fx.cloud(spark, d).repartition(1).sortWithinPartitions("idx"), path)
+    return clouds.read_txt_xyz(spark, path).select("idx", *[(F.col(c) + 0.0).alias(c) for c in "xyz"])
+
+
 @_q()
 def pcd_read(spark, d):
     """Whole PCD files put together from their headers and records, and read again."""
-    h = table(spark, d, "pcd_header").where("fields IS NOT NULL AND size(fields) = size(sizes) AND size(fields) = size(types) AND size(fields) = size(counts)").dropDuplicates(["file_id"])
+    h = table(spark, d, "pcd_header").where("fields IS NOT NULL AND size(fields) = size(sizes) AND size(fields) = size(types) AND size(fields) = size(counts)")
+    h = h.groupBy("file_id").agg(F.min_by(F.struct(*h.columns), F.struct("registered_at", "captured_at", "file_path")).alias("h")).select("h.*")  # as first registered
     join = lambda c: F.concat_ws(" ", F.transform(c, lambda v: F.trim(v.cast("string"))))
     text = F.concat(F.lit("VERSION .7\nFIELDS "), join("fields"), F.lit("\nSIZE "), join("sizes"), F.lit("\nTYPE "), F.upper(join("types")), F.lit("\nCOUNT "), join("counts"), F.lit("\nWIDTH "), F.col("width").cast("string"), F.lit("\nHEIGHT "), F.col("height").cast("string"), F.lit("\nPOINTS "), F.col("points").cast("string"), F.lit("\nDATA "), F.lower(F.trim("data_type")), F.lit("\n"))
     b = table(spark, d, "pcd_body").groupBy("file_id", "rec_no").agg(F.min("payload").alias("payload"))
