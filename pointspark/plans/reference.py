@@ -521,12 +521,12 @@ def icp_plane_pose(spark, d):
     return _pose(spark, r.transform)
 
 
-@_q()
+@_q(_TRUE)
 def icp_surface_pose(spark, d):
     """Plane to plane."""
     p, g = fx.cloud(spark, d), fx.moved_cloud(spark, d)
     r = registration.icp_plane_to_plane(p, cut(shape.normals(neighbors.knn(p, 16))), g, cut(shape.normals(neighbors.knn(g, 16))), registration.IcpParams(0.5, 60, 1e-9, 1e-9))
-    return _pose(spark, r.transform, reason=r.reason)
+    return _pose(spark, r.transform)
 
 
 @_q()
@@ -535,11 +535,11 @@ def ndt_pose(spark, d):
     return _pose(spark, r.transform, reason=r.reason)
 
 
-@_q()
+@_q(_TRUE)
 def initial_pose(spark, d):
     """Keypoints, descriptors, matching and robust fit of the two clouds."""
     r = registration.initial_pose(fx.cloud(spark, d), fx.moved_cloud(spark, d), 8, 0.1, 0.12, 0.6, 0.75, 20.0, 500, 0.02, 0.1)
-    return _pose(spark, r.transform, inliers=r.inliers, matches=r.matches)
+    return _pose(spark, r.transform)
 
 
 @_q(f"WITH {E} SELECT CAST(floor(x / 0.1) AS BIGINT) AS ix, CAST(floor(y / 0.1) AS BIGINT) AS iy, CAST(floor(z / 0.1) AS BIGINT) AS iz, count(*) AS n, round(avg(x), 6) + 0.0 AS mx, round(avg(y), 6) + 0.0 AS my, round(avg(z), 6) + 0.0 AS mz, " + ", ".join(f"round(covar_pop({p[0]}, {p[1]}), 6) + 0.0 AS c{p}" for p in _P) + " FROM e GROUP BY 1, 2, 3 HAVING count(*) >= 5")
