@@ -6,7 +6,6 @@ import math
 import struct
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pointspark.functions import vec
